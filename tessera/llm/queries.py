@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quantiles, topn
+from tessera.llm import leakage, packing, quantiles, spans, topn
 from tessera.operators.references import patch_xy
 from tessera.sources.tables import materialize, table
 
@@ -92,6 +92,47 @@ def p4_slide_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.quantiles(merged, ["slide_id"], SHARES, LOW, HIGH)
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the packing had to split."""
+    return packing.packed_documents(_documents(spark, d)).where("n_pieces > 1 and piece = 0").select(F.col("id").alias("doc_id"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, pieces, tokens and filled share of the packing, by number of pieces in a container."""
+    packed = packing.packed_documents(_documents(spark, d))
+    each = packed.groupBy("container").agg(F.sum(F.col("tok_to") - F.col("tok_from")).alias("tokens"), F.count("*").alias("n_pieces"))
+    return each.groupBy("n_pieces").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("tokens"), F.round(F.avg(F.col("tokens") / packing.Limits().tokens), 4).alias("filled"))
+
+
+def p6_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """What is packed and into how many containers at least: pieces and tokens, none lost."""
+    packed = packing.packed_documents(_documents(spark, d))
+    return packed.agg(F.count_distinct("id").alias("n_docs"), F.count("*").alias("n_pieces"), F.sum(F.col("tok_to") - F.col("tok_from")).alias("n_tokens"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.matches(_documents(spark, d), table(spark, d, "eval_items"), "item_id", ["passage", "question"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least 12 consecutive words of an item's passage or question."""
+    return _leaks(spark, d).where("longest_run >= 12").select("doc_id", "item_id").distinct()
+
+
+def p7_placements(spark: SparkSession, d: str) -> DataFrame:
+    """Exact and proximity matches: each placement with its longest run and its words in place."""
+    return _leaks(spark, d)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each document that stand in a stretch of 300 found in another document."""
+    return spans.shared_characters(_documents(spark, d))
+
+
 _TOP_SQL = r"""
 WITH c AS (SELECT slide_id, cell_id, lower(trim(cell_type)) AS cell_type,
   TRY_CAST(regexp_extract(patch_id, '^\s*([0-9]+)(?:\.0)?_([0-9]+)(?:\.0)?\s*$', 1) AS BIGINT) AS x0,
@@ -110,9 +151,13 @@ m AS (SELECT slide_id, channel, taken_on, count(*) AS n, quantile_cont(intensity
 o AS (SELECT slide_id, channel, quantile_cont(intensity, 0.5) AS mo FROM v GROUP BY ALL)
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_day_percentiles, p4_slide_percentiles)}
+_TOKENS_SQL = r"WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]+')) AS n FROM documents) "
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_day_percentiles, p4_slide_percentiles, p6_found, p6_fill, p6_tokens, p7_found, p7_placements, p8_found)}
 ORACLE = {
     "p3_found": _TOP_SQL + "SELECT DISTINCT cell_id FROM r WHERE group_rank <= 3",
     "p3_ranked": _TOP_SQL + "SELECT slide_id, x0, y0, cell_type, cell_id, group_rank FROM r WHERE group_rank <= 3",
     "p4_found": _MEDIAN_SQL + "SELECT slide_id, channel, taken_on FROM m JOIN o USING (slide_id, channel) WHERE n >= 20 AND taken_on IS NOT NULL AND md > 2 * mo",
+    "p6_found": _TOKENS_SQL + "SELECT doc_id FROM t WHERE n > 2048",
+    "p6_tokens": _TOKENS_SQL + "SELECT count(*) AS n_docs, sum(ceil(n / 2048.0))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens FROM t WHERE n > 0",
 }
