@@ -1,7 +1,8 @@
 """Registered queries and their SQL twins."""
 
-from tessera.plans import training
-from tessera.plans.training import p5_report as flagship
+from tessera.plans import celltyping, training
+from tessera.plans.celltyping import assigned_patch_summary as flagship
 
-QUERIES = training.QUERIES
-ORACLE = training.ORACLE
+_PARTS = (training, celltyping)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
