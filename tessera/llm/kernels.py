@@ -103,6 +103,17 @@ def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield a, hashes, np.searchsorted(ends, starts)
 
 
+def placed_words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the text, hash, place among its words) of each word, in order."""
+    last, before = -1, 0
+    for first, hashes, index in word_hashes(texts):
+        pos = np.arange(len(index)) - np.searchsorted(index, index, "left")
+        if len(index) and len(texts[first]) >= _SEGMENT and index[-1] == 0:  # one of several pieces
+            before = before if last == first else 0
+            pos, last, before = pos + before, first, before + len(index)
+        yield first + index, hashes, pos
+
+
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letter = _LETTER[data]
     control = np.flatnonzero(letter[1:] & (data[:-1] == 92)) + 1
@@ -125,8 +136,8 @@ def _long_word_hashes(index: int, text: bytes) -> Iterator[tuple[int, np.ndarray
     at = 0
     while at < len(text):
         to = min(len(text), at + _SEGMENT // 2)
-        while to < len(text) and to - at < _SEGMENT - 8 and (_ALNUM[text[to]] or _ALNUM[text[to - 1]]):
-            to += 1  # cut between words
+        while to < len(text) and to - at < _SEGMENT - 8 and (_ALNUM[text[to - 1]] or text[to - 1] == 92):
+            to += 1  # cut behind a separator; only a word of half a segment is cut itself
         starts, hashes = _words(np.frombuffer(b"\n" + text[at:to] + b"\n", np.uint8))
         yield index, hashes, np.zeros(len(starts), np.int64)
         at = to

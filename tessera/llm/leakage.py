@@ -18,22 +18,21 @@ from tessera.sources.tables import materialize
 
 #: Bytes of evaluation text in a block: bounds the terms that are sent to the tasks.
 BLOCK_BYTES = 32 << 20
+KEYS = ["item_id", "field", "version"]
 
 
 def item_terms(items: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """(item_id, field, pos, term) of every word of the items' texts."""
-    flat = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.explode(F.create_map(*[x for c in text_cols for x in (F.lit(c), F.col(c).cast("string"))])).alias("field", "text")).where("text is not null")
+    """(item_id, field, version, pos, term) of every word of the items' texts; ``version`` tells apart texts of rows that repeat an id."""
+    flat = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.explode(F.create_map(*[x for c in text_cols for x in (F.lit(c), F.col(c).cast("string"))])).alias("field", "text")).where("text is not null and item_id is not null").distinct().withColumn("version", F.xxhash64("text")).select("item_id", "field", "version", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fields = batch.column(0), batch.column(1)
-            for first, hashes, index in kernels.word_hashes(kernels.binary_column(batch.column(2))):
-                rows = pa.array(first + index)
-                begin = np.searchsorted(index, index, "left")
-                yield pa.RecordBatch.from_arrays([ids.take(rows), fields.take(rows), pa.array((np.arange(len(index)) - begin).astype(np.int32)), pa.array(hashes.view(np.int64))], names=["item_id", "field", "pos", "term"])
+            ids, fields, versions = (batch.column(i) for i in range(3))
+            for index, hashes, pos in kernels.placed_words(kernels.binary_column(batch.column(3))):
+                rows = pa.array(index)
+                yield pa.RecordBatch.from_arrays([ids.take(rows), fields.take(rows), versions.take(rows), pa.array(pos.astype(np.int32)), pa.array(hashes.view(np.int64))], names=[*KEYS, "pos", "term"])
 
-    # a text longer than a segment comes in pieces: renumber its words in the order of the pieces
-    return flat.mapInArrow(run, "item_id bigint, field string, pos int, term bigint")
+    return flat.mapInArrow(run, "item_id bigint, field string, version bigint, pos int, term bigint")
 
 
 def _vocabulary(terms: DataFrame) -> np.ndarray:
@@ -68,29 +67,23 @@ def postings(docs: DataFrame, vocabulary) -> DataFrame:
         terms = vocabulary.value
         for batch in batches:
             ids, texts = batch.column(0), kernels.binary_column(batch.column(1))
-            carried, before = -1, 0
-            for first, hashes, index in kernels.word_hashes(texts):
-                begin = np.searchsorted(index, index, "left")
-                pos = np.arange(len(index)) - begin
-                if len(index) and len(texts[first]) >= kernels.CHUNK:  # perhaps one of several pieces
-                    before = before if carried == first else 0
-                    pos, carried, before = pos + before, first, before + len(index)
+            for index, hashes, pos in kernels.placed_words(texts):
                 hit = np.flatnonzero(_lookup(hashes, terms) >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[hit].view(np.int64)), ids.take(pa.array(first + index[hit])), pa.array(pos[hit].astype(np.int64))], names=["term", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[hit].view(np.int64)), ids.take(pa.array(index[hit])), pa.array(pos[hit].astype(np.int64))], names=["term", "doc_id", "pos"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").mapInArrow(run, "term bigint, doc_id bigint, pos bigint")
 
 
 def _rarest(terms: DataFrame, counts: DataFrame, words: int) -> DataFrame:
-    """(item_id, field, a_term, a_pos, b_term, b_pos): the two rarest places of each window of ``words`` words that can occur at all."""
+    """(KEYS, a_term, a_pos, b_term, b_pos): the two rarest places of each window of ``words`` words that can occur at all."""
     rated = terms.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ahead = Window.partitionBy("item_id", "field").orderBy("pos").rowsBetween(0, words - 1)
+    ahead = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(0, words - 1)
     place = F.struct("n", "pos", "term")
     two = F.slice(F.array_sort(F.collect_list(place).over(ahead)), 1, 2)
-    windows = rated.select("item_id", "field", two.alias("two"), F.count("*").over(ahead).alias("size")).where(F.col("size") == words)
+    windows = rated.select(*KEYS, two.alias("two"), F.count("*").over(ahead).alias("size")).where(F.col("size") == words)
     a, b = F.element_at("two", 1), F.try_element_at("two", F.lit(2))
     b = F.coalesce(b, a)
-    return windows.where(a["n"] > 0).select("item_id", "field", a["term"].alias("a_term"), a["pos"].alias("a_pos"), b["term"].alias("b_term"), b["pos"].alias("b_pos")).distinct()
+    return windows.where(a["n"] > 0).select(*KEYS, a["term"].alias("a_term"), a["pos"].alias("a_pos"), b["term"].alias("b_term"), b["pos"].alias("b_pos")).distinct()
 
 
 def _block_matches(docs: DataFrame, terms: DataFrame, words: int) -> DataFrame:
@@ -105,16 +98,16 @@ def _block_matches(docs: DataFrame, terms: DataFrame, words: int) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, field string, first_word bigint, longest_run bigint, n_matched bigint")
     index = materialize(postings(docs, sc.broadcast(wanted)), "postings")
     # offset-adjusted intersection of the two rarest lists of each window
-    first = index.join(rare, index.term == rare.a_term).select("doc_id", "item_id", "field", (F.col("pos") - F.col("a_pos")).alias("shift"), "b_term", (F.col("pos") - F.col("a_pos") + F.col("b_pos")).alias("b_at"))
+    first = index.join(rare, index.term == rare.a_term).select("doc_id", *KEYS, (F.col("pos") - F.col("a_pos")).alias("shift"), "b_term", (F.col("pos") - F.col("a_pos") + F.col("b_pos")).alias("b_at"))
     second = index.select(F.col("doc_id"), F.col("term").alias("b_term"), F.col("pos").alias("b_at"))
-    placed = materialize(first.join(second, ["doc_id", "b_term", "b_at"], "left_semi").select("doc_id", "item_id", "field", "shift").distinct(), "placed")
+    placed = materialize(first.join(second, ["doc_id", "b_term", "b_at"], "left_semi").select("doc_id", *KEYS, "shift").distinct(), "placed")
     # the lists of all terms, in the documents that are left
     full = postings(docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi"), known)
-    expected = placed.join(terms, ["item_id", "field"]).select("doc_id", "item_id", "field", "shift", "term", F.col("pos").alias("word"), (F.col("shift") + F.col("pos")).alias("pos"))
+    expected = placed.join(terms, KEYS).select("doc_id", *KEYS, "shift", "term", F.col("pos").alias("word"), (F.col("shift") + F.col("pos")).alias("pos"))
     matched = expected.join(full, ["doc_id", "term", "pos"], "left_semi")
-    by = Window.partitionBy("doc_id", "item_id", "field", "shift").orderBy("word")
-    runs = matched.withColumn("run", F.col("word") - F.row_number().over(by)).groupBy("doc_id", "item_id", "field", "shift", "run").agg(F.count("*").alias("n"))
-    return runs.groupBy("doc_id", "item_id", "field", "shift").agg(F.max("n").alias("longest_run"), F.sum("n").alias("n_matched")).withColumnRenamed("shift", "first_word")
+    by = Window.partitionBy("doc_id", *KEYS, "shift").orderBy("word")
+    runs = matched.withColumn("run", F.col("word") - F.row_number().over(by)).groupBy("doc_id", *KEYS, "shift", "run").agg(F.count("*").alias("n"))
+    return runs.groupBy("doc_id", *KEYS, "shift").agg(F.max("n").alias("longest_run"), F.sum("n").alias("n_matched")).withColumnRenamed("shift", "first_word").drop("version")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str, text_cols: list[str], words: int = 12) -> DataFrame:
