@@ -83,4 +83,5 @@ def interpolate(points: DataFrame, curve: DataFrame, x: str) -> DataFrame:
 def correlation(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Pearson r per key over rows where both are set; 0 with fewer than 3 or without spread."""
     ok = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return ok.groupBy(*keys).agg(F.when((F.count("*") >= 3) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b)).otherwise(0.0).alias("r"))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return ok.groupBy(*keys).agg(F.when(F.count("*") >= 3, F.coalesce(r, F.lit(0.0))).otherwise(0.0).alias("r"))
