@@ -1,0 +1,178 @@
+"""Whole-tile pipelines: one row a (patch, channel) with the raster as bytes, kernels per patch inside Arrow batches.
+
+A slide in pixel rows would be 10^10 rows; tiles keep it at one row per patch and channel, and readers of few
+channels never load the others. A patch's rows are gathered by patch key, so a group is as large as one tile
+times the channels asked for, whatever the slide.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators import fields, kernels
+
+Emit = Iterator[tuple]
+
+
+def per_patch(tiles: DataFrame, channels: Sequence[int], kernel: Callable[[str, dict[int, np.ndarray]], Emit], schema: pa.Schema, ddl: str) -> DataFrame:
+    """Rows that ``kernel(patch_id, channel -> array)`` yields for each patch; a patch without some channel has fewer arrays."""
+    wanted = tiles.where(F.col("channel").isin(*channels)).groupBy("patch_id").agg(F.collect_list(F.struct("channel", "h", "w", "dtype", "data")).alias("planes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for patch, planes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                arrays = {p["channel"]: np.frombuffer(p["data"], np.dtype(p["dtype"])).reshape(p["h"], p["w"]) for p in planes.as_py()}
+                rows = list(kernel(patch, arrays))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return wanted.mapInArrow(run, ddl)
+
+
+def norm(plane: np.ndarray, low: float = 1.0, high: float = 99.0) -> np.ndarray:
+    """Clipped to two percentiles and scaled to [0, 1]; a constant plane is 0."""
+    plane = plane.astype(float)
+    lo, hi = np.percentile(plane, [low, high])
+    return (np.clip(plane, lo, hi) - lo) / (hi - lo) if hi > lo else np.zeros(plane.shape)
+
+
+def otsu(plane: np.ndarray) -> np.ndarray:
+    """The part above the best threshold of 256 levels of a plane in [0, 1]; the lowest of equals."""
+    level = (np.clip(plane, 0, 1) * 255).astype(int)
+    n = np.bincount(level.ravel(), minlength=256).astype(float)
+    w0, s0 = np.cumsum(n), np.cumsum(n * np.arange(256))
+    w1 = w0[-1] - w0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = np.where((w0 > 0) & (w1 > 0), w0 * w1 * (s0 / w0 - (s0[-1] - s0) / w1) ** 2, -1.0)
+    best = int(between.argmax())
+    return level > (best if between[best] > 0 else 0)
+
+
+@dataclass(frozen=True)
+class LayerOptions:
+    """Channels by role (None where a panel has no such marker) and the parameters of the supply layers."""
+
+    cd31: int
+    ki67: int
+    sma: int | None = None
+    pcna: int | None = None
+    mpp: float = 1.0
+    oxygen_um: float = fields.OXYGEN_UM
+    glucose_um: float = fields.GLUCOSE_UM
+    sma_reach: int = 2
+    open_size: int = 0
+    close_size: int = 0
+    min_area: int = 0
+    noisy: float = 0.98
+    bin_um: float = 10.0
+
+    def __post_init__(self) -> None:
+        kernels.odd("open_size", self.open_size)
+        kernels.odd("close_size", self.close_size)
+        if not 0 < self.noisy <= 1:
+            raise ValueError("noisy must be in (0, 1]")
+        if self.min_area < 0 or self.sma_reach < 0:
+            raise ValueError("min_area and sma_reach must be >= 0")
+        if self.bin_um <= 0 or self.mpp <= 0:
+            raise ValueError("bin_um and mpp must be > 0")
+
+
+def vessel_mask(planes: dict[int, np.ndarray], o: LayerOptions) -> tuple[np.ndarray, str]:
+    """Vessels of a tile and how they were found: ok, empty_fallback, noisy_fallback or empty."""
+    plain = otsu(norm(planes[o.cd31]))
+    mask = plain
+    if o.sma is not None and o.sma in planes:
+        muscle = otsu(norm(planes[o.sma]))
+        mask = plain | (muscle & kernels.dilate(plain, kernels.ellipse(2 * o.sma_reach + 1)))
+    mask = kernels.clean(mask, o.open_size, o.close_size, o.min_area)
+    if not mask.any():
+        return (plain, "empty_fallback") if plain.any() else (mask, "empty")
+    return (plain, "noisy_fallback") if mask.mean() >= o.noisy else (mask, "ok")
+
+
+def layers(tiles: DataFrame, o: LayerOptions) -> DataFrame:
+    """(patch_id, layer, h, w, data, status, bins, sums): vessel mask, oxygen and glucose maps of each patch.
+
+    Maps are float32 in [0, 1], 1 at a vessel. ``bins`` counts pixels and ``sums`` adds normalised Ki67 by
+    distance bin, on the mask's row, so that a slide's profile is a plain sum over patches.
+    """
+    schema = pa.schema([("patch_id", pa.string()), ("layer", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary()), ("status", pa.string()), ("bins", pa.list_(pa.int64())), ("sums", pa.list_(pa.float64()))])
+    n_bins = int(np.ceil(o.oxygen_um / o.bin_um)) + 1
+
+    def kernel(patch: str, planes: dict[int, np.ndarray]) -> Emit:
+        if o.cd31 not in planes or o.ki67 not in planes:
+            return
+        mask, status = vessel_mask(planes, o)
+        dist = kernels.edt(mask) * o.mpp
+        demand = norm(planes[o.ki67])
+        if o.pcna is not None and o.pcna in planes:
+            demand = np.maximum(demand, norm(planes[o.pcna]))
+        at = np.minimum(np.where(np.isfinite(dist), dist, o.oxygen_um * 2) // o.bin_um, n_bins - 1).astype(int).ravel()
+        bins, sums = np.bincount(at, minlength=n_bins), np.bincount(at, weights=norm(planes[o.ki67]).ravel(), minlength=n_bins)
+        oxygen = 1 - np.minimum(dist / o.oxygen_um, 1)
+        uptake = np.sqrt((fields.BASE + fields.DEMAND * demand) / fields.BASE)
+        glucose = np.where(mask, 1.0, np.exp(-np.minimum(dist, 1e9) * uptake / o.glucose_um))
+        for name, plane in (("vessels", mask), ("oxygen", oxygen.astype(np.float32)), ("glucose", glucose.astype(np.float32))):
+            first = name == "vessels"
+            yield patch, name, *plane.shape, plane.tobytes(), status, bins.tolist() if first else None, sums.tolist() if first else None
+
+    wanted = [c for c in (o.cd31, o.ki67, o.sma, o.pcna) if c is not None]
+    return per_patch(tiles, wanted, kernel, schema, "patch_id string, layer string, h int, w int, data binary, status string, bins array<bigint>, sums array<double>")
+
+
+def layer_profile(made: DataFrame, bin_um: float) -> DataFrame:
+    """Mean Ki67 by distance over all patches of ``layers``: partial sums per task, one row a bin."""
+    rows = made.where("layer = 'vessels'").select(F.posexplode(F.arrays_zip("bins", "sums")).alias("bin", "z"))
+    sums = rows.groupBy("bin").agg(F.sum("z.bins").alias("pixel_count"), F.sum("z.sums").alias("total"))
+    return sums.select("bin", ((F.col("bin") + 0.5) * bin_um).alias("distance_um"), "pixel_count", F.try_divide("total", "pixel_count").alias("mean"))
+
+
+def contour_means(cells: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(patch_id, cell_id, channel, area, mean) of every channel under each cell's outline.
+
+    ``cells`` has patch_id, cell_id (text) and points (array of structs x, y). An outline of fewer than 3 points
+    or without a pixel on the tile has no row. One row per patch and channel meets the patch's outlines, so
+    channels of one patch run in parallel; outlines use the tile's own pixels.
+    """
+    outlines = cells.where(F.size("points") >= 3).groupBy("patch_id").agg(F.collect_list(F.struct("cell_id", "points")).alias("outlines"))
+    joined = tiles.join(outlines, "patch_id").select("patch_id", "channel", "h", "w", "dtype", "data", "outlines")
+    schema = pa.schema([("patch_id", pa.string()), ("cell_id", pa.string()), ("channel", pa.int32()), ("area", pa.int64()), ("mean", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                plane = np.frombuffer(r["data"], np.dtype(r["dtype"])).reshape(r["h"], r["w"])
+                rows = []
+                for cell in r["outlines"]:
+                    inside = kernels.fill_polygon(np.array([(p["x"], p["y"]) for p in cell["points"]]), r["h"], r["w"])
+                    if area := int(inside.sum()):
+                        rows.append((r["patch_id"], cell["cell_id"], r["channel"], area, float(plane[inside].mean())))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return joined.mapInArrow(run, "patch_id string, cell_id string, channel int, area bigint, mean double")
+
+
+def cell_masks(cells: DataFrame, keys: Sequence[str], label: str, size: int) -> DataFrame:
+    """(keys, label, n_cells, on): pixels covered by the outlines of each label on each patch, overlaps once."""
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    groups = cells.where(F.size("points") >= 3).groupBy(*keys, label).agg(F.collect_list("points").alias("outlines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, on = [], []
+            for outlines in batch.column(batch.num_columns - 1):
+                mask = np.zeros((size, size), bool)
+                for points in outlines.as_py():
+                    mask |= kernels.fill_polygon(np.array([(p["x"], p["y"]) for p in points]), size, size)
+                n.append(len(outlines))
+                on.append(int(mask.sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int32()), pa.array(on, pa.int32())], names=[*keys, label, "n_cells", "n_on"])
+
+    return groups.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, label)) + ", n_cells int, n_on int")
