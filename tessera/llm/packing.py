@@ -88,7 +88,9 @@ def pack(counts: DataFrame, limits: Limits = Limits(), shard_items: int = 2000)
         return shard.assign(container=[f"{s}-{n}" for s, n in zip(shard.shard, number)]).drop(columns="shard")
 
     schema = "id bigint, piece int, n_pieces int, tok_from bigint, tok_to bigint, loss bigint, container string"
-    return cut.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
+    # the rows are small and the work is not: a fixed number of partitions, which Spark doesn't merge by bytes
+    tasks = min(shards, max(4 * counts.sparkSession.sparkContext.defaultParallelism, shards // 32))
+    return cut.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards))).repartition(tasks, "shard").groupBy("shard").applyInPandas(run, schema)
 
 
 def packed_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
