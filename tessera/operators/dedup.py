@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import materialize
+
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt_on: Sequence[str], salts: int) -> tuple[DataFrame, DataFrame]:
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
@@ -32,3 +34,17 @@ def later_copies(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sa
     """The rows that ``keep_first`` leaves out, each exactly once; same handling of hot and null keys."""
     heads, rest = _ranked(df, keys, order, salt_on, salts)
     return heads.where("__n > 1").unionByName(rest).drop("__n", "__salt")
+
+
+def ordinals(df: DataFrame, order: Sequence[Column], name: str = "ordinal") -> DataFrame:
+    """Rows numbered from 1 in a total order, without bringing them into one task.
+
+    Rows are range-partitioned and sorted; each task numbers its own, and a table of one row a partition
+    says where it begins. Ties beyond ``order`` get different numbers; an empty table stays empty.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialize(sorted_.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}), "sorted")
+    within = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    ends = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = ends.withColumn("__start", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__start")
+    return numbered.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + within + 1).drop("__part", "__id", "__start")

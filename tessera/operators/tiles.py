@@ -44,14 +44,8 @@ def norm(plane: np.ndarray, low: float = 1.0, high: float = 99.0) -> np.ndarray:
 
 def otsu(plane: np.ndarray) -> np.ndarray:
     """The part above the best threshold of 256 levels of a plane in [0, 1]; the lowest of equals."""
-    level = (np.clip(plane, 0, 1) * 255).astype(int)
-    n = np.bincount(level.ravel(), minlength=256).astype(float)
-    w0, s0 = np.cumsum(n), np.cumsum(n * np.arange(256))
-    w1 = w0[-1] - w0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = np.where((w0 > 0) & (w1 > 0), w0 * w1 * (s0 / w0 - (s0[-1] - s0) / w1) ** 2, -1.0)
-    best = int(between.argmax())
-    return level > (best if between[best] > 0 else 0)
+    level = (np.clip(plane, 0, 1) * 255).astype(np.uint8)
+    return level > kernels.otsu_level(level)
 
 
 @dataclass(frozen=True)

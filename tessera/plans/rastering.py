@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,6 +177,18 @@ def jacobi_steps(spark: SparkSession, d: str) -> DataFrame:
     return fields.diffused(f, K, SIDE, "source", "k", 3).select("tile", "x", "y", r6(F.col("u")).alias("u"))
 
 
+def tissue_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """Tissue share of each tile taken as a colour overview."""
+    rgb = ("cd31", "sma", "ki67")
+    out = rasters.tile_map(channels(spark, d), K, SIDE, rgb, lambda t: {"tissue": kernels.tissue(np.stack([np.clip(t[c], 0, 255) for c in rgb], -1).astype(np.uint8))}, {"tissue": "boolean"})
+    return out.groupBy("tile").agg(r6(F.avg(F.col("tissue").cast("int"))).alias("tissue"))
+
+
+def vessel_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles with any vessel pixel, and how many."""
+    return _masked(spark, d, "cd31").groupBy("tile").agg(F.count_if(F.col("cd31") > F.col("cd31_t") + 150).alias("n_on")).where("n_on > 0")
+
+
 BIN, LIMIT = 2.6, 40.0
 
 
@@ -275,7 +288,7 @@ _FIT = _PROFILE + (
 _RAMP = {c: "CASE " + " ".join(f"WHEN t < {b[0]} THEN floor({a[i]} + (greatest(t, {a[0]}) - {a[0]}) / {b[0] - a[0]} * {b[i] - a[i]})::INT" for a, b in zip(ANCHORS, ANCHORS[1:])) + f" ELSE {ANCHORS[-1][i]} END" for i, c in enumerate("rgb", 1)}
 _SPOTS = ", " + CELLS_SQL + ", spots AS (SELECT cell_id, type_cellvit, cell_id // 1000 AS tile, x % 72 AS x, y % 72 AS y FROM cells) "
 
-QUERIES = {f.__name__: f for f in (padded_window, overview, pyramid_levels, level_choice, percentile_norm, minmax_u8, max_projection, alpha_blend, lut_colour, otsu_mask, mask_logic, mask_fallback, dilate_rect, sma_refine, components, cleaned_mask, box_filter, edt_clamped, consumption, wkb_field, jacobi_steps, dist_profile, profile_corr, best_d, point_in_raster, rect_zonal_mean)}
+QUERIES = {f.__name__: f for f in (padded_window, overview, pyramid_levels, level_choice, percentile_norm, minmax_u8, max_projection, alpha_blend, lut_colour, otsu_mask, mask_logic, mask_fallback, dilate_rect, sma_refine, components, cleaned_mask, box_filter, edt_clamped, consumption, wkb_field, jacobi_steps, dist_profile, profile_corr, best_d, point_in_raster, rect_zonal_mean, tissue_fraction, vessel_tiles)}
 ORACLE = {
     "padded_window": _PX + "SELECT t.tile, wx.i::INT AS wx, wy.i::INT AS wy, coalesce(cd31, 0)::BIGINT AS cd31 FROM (SELECT DISTINCT tile FROM px) t, (SELECT unnest(range(32)) AS i) wx, (SELECT unnest(range(32)) AS i) wy LEFT JOIN px ON px.tile = t.tile AND px.x = wx.i - 8 AND px.y = wy.i - 8",
     "overview": _PX + "SELECT tile, (x // 5)::INT AS x, (y // 5)::INT AS y, cd31 FROM px WHERE x % 5 = 0 AND y % 5 = 0 AND x < 60 AND y < 60",
@@ -301,4 +314,5 @@ ORACLE = {
     "best_d": _FIT + "SELECT d, round(r, 6) AS r FROM r ORDER BY r.r DESC, d LIMIT 1",
     "point_in_raster": _CD + _SPOTS + "SELECT s.tile, count(*) AS n, count(*) FILTER (WHERE coalesce(cd31_on, FALSE)) AS n_hit, round((count(*) FILTER (WHERE coalesce(cd31_on, FALSE))) / count(*) * 100, 6) AS hit_pct, count(DISTINCT type_cellvit) AS n_types FROM spots s LEFT JOIN m ON s.tile = m.tile AND s.x = m.x AND s.y = m.y GROUP BY s.tile",
     "rect_zonal_mean": _PX + _SPOTS + ", b AS (SELECT tile, cell_id, x AS x0, y AS y0, least(x + 2 + cell_id % 3, 64) AS x1, least(y + 2 + cell_id % 4, 64) AS y1 FROM spots) SELECT b.tile, cell_id, any_value((x1-x0)*(y1-y0))::BIGINT AS area, round(coalesce(sum(cd31), 0) / any_value((x1-x0)*(y1-y0)), 6) AS mean_cd31, round(coalesce(sum(ki67), 0) / any_value((x1-x0)*(y1-y0)), 6) AS mean_ki67 FROM b LEFT JOIN px ON px.tile = b.tile AND px.x >= x0 AND px.x < x1 AND px.y >= y0 AND px.y < y1 WHERE x1 > x0 AND y1 > y0 GROUP BY b.tile, cell_id",
+    "vessel_tiles": _CD + "SELECT tile, count(*) AS n_on FROM m WHERE cd31 > cd31_t + 150 GROUP BY tile",
 }

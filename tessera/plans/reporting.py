@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markers, scores
 from tessera.operators import grids, reports
-from tessera.operators.dedup import keep_first
+from tessera.operators.dedup import keep_first, ordinals
 from tessera.plans.fixtures import CELLS_SQL, cells
+from tessera.sources.files import split_suffix
 from tessera.sources.tables import table
 
 
@@ -270,6 +271,19 @@ def sample_patches(spark: SparkSession, d: str) -> DataFrame:
     return index.select("slide_id", "patch_id").distinct().withColumn("n", F.row_number().over(by)).where("n <= 12")
 
 
+def cell_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """Running cell numbers in the order of patch name (as text) and row."""
+    c = _assignments(spark, d).where("patch_id is not null").select("row_id", "patch_id")
+    return ordinals(c, [F.asc("patch_id"), F.asc("row_id")], "cell_number").select("row_id", "cell_number")
+
+
+def stem_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Stems and suffixes of file names, some of them under image suffixes."""
+    base = F.regexp_extract("file_path", "([^/]+)$", 1)
+    name = F.when(F.col("file_id") % 4 == 0, F.concat(base, F.lit(".OME.tif"))).when(F.col("file_id") % 4 == 1, F.concat(F.lit("a.b"), F.lit(".tiff"))).when(F.col("file_id") % 4 == 2, F.regexp_replace(base, r"\.json$", "")).otherwise(base)
+    return table(spark, d, "stage_files").select("file_id", *[v.alias(k) for k, v in split_suffix(name).items()])
+
+
 _GAP = "list_reverse_sort([coalesce(CASE WHEN isnan(p_final_cancer) THEN NULL ELSE p_final_cancer END, 0), coalesce(CASE WHEN isnan(p_final_immune) THEN NULL ELSE p_final_immune END, 0), coalesce(CASE WHEN isnan(p_final_healthy) THEN NULL ELSE p_final_healthy END, 0)])"
 _W = f"WITH w AS (SELECT *, lower(trim(cell_type)) AS ct, {_GAP}[1] - {_GAP}[2] AS gap, CASE lower(cell_type_confidence) WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS cs FROM cell_assignments) "
 _SUMMARY = "count(*) AS n_cells, sum(coalesce(is_mismatch::INT, 0))::BIGINT AS mismatch_count, count(*) FILTER (WHERE lower(cell_type_confidence) = 'low') AS low_confidence_count"
@@ -282,7 +296,7 @@ _NULLNAN = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
 _CANON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in markers.canonical_by_normal().items())
 _POLY = "WITH " + CELLS_SQL + ", p AS (SELECT cell_id, x::DOUBLE AS x, y::DOUBLE AS y, (cell_id % 40 + 3)::DOUBLE AS r FROM cells), c AS (SELECT cell_id, unnest(range(5)) AS i, unnest([x, x + r, x + 0.5*r, x - 0.5*r, x - r]) AS px, unnest([y - r, y - 0.25*r, y + r, y + r, y - 0.25*r]) AS py FROM p), e AS (SELECT a.cell_id, a.px, a.py, b.px AS qx, b.py AS qy FROM c a JOIN c b ON a.cell_id = b.cell_id AND b.i = (a.i + 1) % 5), m AS (SELECT cell_id, sum(px*qy - qx*py) AS t, sum((px+qx)*(px*qy - qx*py)) AS sx, sum((py+qy)*(px*qy - qx*py)) AS sy, min(px) AS min_x, min(py) AS min_y, max(px) AS max_x, max(py) AS max_y FROM e GROUP BY cell_id) "
 
-QUERIES = {f.__name__: f for f in (patch_summary, top_patches, representative_cells, agree_medium_disagree, class_margin, confusion_3x3, class_panel, best_marker, display_counts, majority_type, channel_panel, channel_lookup, alias_canonical, keep_first_cells, patch_grid, tissue_patches, mx_overlap, extent_check, coord_convert, dense_tile, bounds_split, available_patches, todo_patches, missing_counts, patch_key_union, affine_boxes, best_crop, crop_parse, polygon_moments, json_cells, safe_numbers, sample_patches)}
+QUERIES = {f.__name__: f for f in (patch_summary, top_patches, representative_cells, agree_medium_disagree, class_margin, confusion_3x3, class_panel, best_marker, display_counts, majority_type, channel_panel, channel_lookup, alias_canonical, keep_first_cells, patch_grid, tissue_patches, mx_overlap, extent_check, coord_convert, dense_tile, bounds_split, available_patches, todo_patches, missing_counts, patch_key_union, affine_boxes, best_crop, crop_parse, polygon_moments, json_cells, safe_numbers, sample_patches, cell_ordinals, stem_parse)}
 ORACLE = {
     "patch_summary": _W + f"SELECT slide_id, patch_id, {_SUMMARY}, round(avg(cs), 6) AS mean_confidence_score, round(avg(gap), 6) AS mean_final_margin, round(sum(coalesce(is_mismatch::INT, 0)) / count(*), 6) AS mismatch_rate FROM w GROUP BY slide_id, patch_id",
     "top_patches": _W + f"SELECT slide_id, patch_id, n_cells, mismatch_count, low_confidence_count, round(rate, 6) AS mismatch_rate FROM (SELECT slide_id, patch_id, {_SUMMARY}, sum(coalesce(is_mismatch::INT, 0)) / count(*) AS rate FROM w WHERE slide_id IS NOT NULL AND patch_id IS NOT NULL GROUP BY slide_id, patch_id) ORDER BY rate DESC, low_confidence_count DESC, n_cells DESC, slide_id, patch_id LIMIT 25",
@@ -315,5 +329,6 @@ ORACLE = {
     "polygon_moments": _POLY + "SELECT cell_id, round(abs(t)/2, 6) AS area, round(sx/(3*t), 6) AS cx, round(sy/(3*t), 6) AS cy, round(min_x, 6) AS min_x, round(min_y, 6) AS min_y, round(max_x, 6) AS max_x, round(max_y, 6) AS max_y FROM m WHERE abs(t)/2 BETWEEN 30 AND 6000",
     "json_cells": "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS k FROM events",
     "safe_numbers": "SELECT row_id, coalesce(TRY_CAST(cell_type_confidence AS DOUBLE), 0.0) AS conf, coalesce(CASE WHEN isnan(ki67) THEN NULL ELSE ki67 END, 0.0) AS ki67, CASE lower(trim(cell_type_confidence)) WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS score FROM cell_assignments",
+    "cell_ordinals": "SELECT row_id, row_number() OVER (ORDER BY patch_id, row_id) AS cell_number FROM cell_assignments WHERE patch_id IS NOT NULL",
+    "stem_parse": "WITH n AS (SELECT file_id, regexp_extract(file_path, '([^/]+)$', 1) AS b FROM stage_files), m AS (SELECT file_id, CASE file_id % 4 WHEN 0 THEN b || '.OME.tif' WHEN 1 THEN 'a.b.tiff' WHEN 2 THEN regexp_replace(b, '\\.json$', '') ELSE b END AS name FROM n), x AS (SELECT file_id, name, regexp_extract(name, '(?i)(\\.ome\\.tiff|\\.ome\\.tif|\\.tiff|\\.tif|\\.[^.]*)$', 1) AS s FROM m) SELECT file_id, name[:length(name) - length(s)] AS stem, CASE WHEN s = '' THEN '.tif' ELSE s END AS suffix FROM x",
 }
-

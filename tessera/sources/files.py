@@ -23,6 +23,12 @@ def patch_of(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, PATCH_NAME, 1), F.lit(""))
 
 
+def split_suffix(name: Column) -> dict[str, Column]:
+    """stem and suffix of a file name, whatever the case; the longest image suffix counts as one."""
+    suffix = F.regexp_extract(name, r"(?i)(\.ome\.tiff|\.ome\.tif|\.tiff|\.tif|\.[^.]*)$", 1)
+    return {"stem": F.left(name, F.length(name) - F.length(suffix)), "suffix": F.when(suffix == "", ".tif").otherwise(suffix)}
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Manifests, one row a file with an explicit schema; patches are empty and patch_size is 256 where absent."""
     raw = spark.read.schema(INDEX_SCHEMA).json(path, multiLine=True).withColumn("path", F.col("_metadata.file_path"))

@@ -205,6 +205,21 @@ def test_kernel_values():
     assert box.sum() == 20 and box[1:5, 2:7].all() and not kernels.fill_polygon(np.array([[1, 1], [2, 2]]), 8, 8).any()
 
 
+def test_tissue_and_median():
+    rgb = np.full((40, 40, 3), 240, np.uint8)
+    rgb[8:30, 8:30] = (180, 60, 120)
+    mask = kernels.tissue(rgb)
+    assert mask[10:28, 10:28].all() and not mask[:6].any() and not mask[34:].any()
+    plane = np.arange(25).reshape(5, 5)
+    padded = np.pad(plane, 1, mode="edge")
+    assert all(kernels.median(plane, 3)[y, x] == np.median(padded[y : y + 3, x : x + 3]) for y in range(5) for x in range(5))
+    assert kernels.saturation(np.array([[[0, 0, 0], [255, 0, 0], [100, 50, 75]]], np.uint8)).tolist() == [[0, 255, 128]]
+    one_on = np.zeros((9, 9), bool)
+    one_on[4, 4] = True
+    even = np.ones((4, 4), bool)
+    assert np.array_equal(kernels.erode(kernels.dilate(one_on, even), even), one_on)
+
+
 def pixels(spark, array, key="t"):
     return spark.createDataFrame([(key, int(x), int(y), int(v)) for (y, x), v in np.ndenumerate(np.asarray(array))], "tile string, x int, y int, v bigint")
 

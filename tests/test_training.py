@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import compaction, nested, references
-from tessera.operators.dedup import keep_first, later_copies
+from tessera.operators.dedup import keep_first, later_copies, ordinals
 from tessera.plans import training
 from tessera.sources import lenient
 from tessera.sources.tables import materialize, table
@@ -153,6 +153,12 @@ def test_keep_first_of_a_hot_key(spark):
     assert keep_first(df.limit(0), ["k"], [F.asc("id")], ["id"]).count() == 0
 
 
+def test_ordinals(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("v"), (F.col("id") % 3).alias("ordinal_of"))
+    assert [r.ordinal for r in ordinals(df, [F.asc("v")]).orderBy("v").collect()] == list(range(1, 501))
+    assert ordinals(df.limit(0), [F.asc("v")]).count() == 0
+
+
 def test_materialize_reads_back(spark):
     df = spark.range(10).withColumn("a", F.array("id"))
     assert materialize(df, "t").orderBy("id").collect() == df.collect()
