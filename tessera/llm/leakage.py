@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
+from tessera.llm.texts import documents
 from tessera.sources.tables import materialize
 
 #: Bytes of evaluation text in a block: bounds the terms that are sent to the tasks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 KEYS = ["item_id", "field", "version"]
+ROW = ["doc_id", "copy"]
 
 
 def item_terms(items: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -61,17 +63,18 @@ def term_counts(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 def postings(docs: DataFrame, vocabulary) -> DataFrame:
-    """(term, doc_id, pos) of each occurrence of the broadcast terms; pos counts all words of the document."""
+    """(term, doc_id, copy, pos) of each occurrence of the broadcast terms; pos counts all words of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = vocabulary.value
         for batch in batches:
-            ids, texts = batch.column(0), kernels.binary_column(batch.column(1))
+            ids, copies, texts = batch.column(0), batch.column(1), kernels.binary_column(batch.column(2))
             for index, hashes, pos in kernels.placed_words(texts):
                 hit = np.flatnonzero(_lookup(hashes, terms) >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[hit].view(np.int64)), ids.take(pa.array(index[hit])), pa.array(pos[hit].astype(np.int64))], names=["term", "doc_id", "pos"])
+                row = pa.array(index[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[hit].view(np.int64)), ids.take(row), copies.take(row), pa.array(pos[hit].astype(np.int64))], names=["term", *ROW, "pos"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").mapInArrow(run, "term bigint, doc_id bigint, pos bigint")
+    return docs.select(*ROW, "text").mapInArrow(run, "term bigint, doc_id bigint, copy bigint, pos bigint")
 
 
 def _rarest(terms: DataFrame, counts: DataFrame, words: int) -> DataFrame:
@@ -98,16 +101,16 @@ def _block_matches(docs: DataFrame, terms: DataFrame, words: int) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, field string, first_word bigint, longest_run bigint, n_matched bigint")
     index = materialize(postings(docs, sc.broadcast(wanted)), "postings")
     # offset-adjusted intersection of the two rarest lists of each window
-    first = index.join(rare, index.term == rare.a_term).select("doc_id", *KEYS, (F.col("pos") - F.col("a_pos")).alias("shift"), "b_term", (F.col("pos") - F.col("a_pos") + F.col("b_pos")).alias("b_at"))
-    second = index.select(F.col("doc_id"), F.col("term").alias("b_term"), F.col("pos").alias("b_at"))
-    placed = materialize(first.join(second, ["doc_id", "b_term", "b_at"], "left_semi").select("doc_id", *KEYS, "shift").distinct(), "placed")
+    first = index.join(rare, index.term == rare.a_term).select(*ROW, *KEYS, (F.col("pos") - F.col("a_pos")).alias("shift"), "b_term", (F.col("pos") - F.col("a_pos") + F.col("b_pos")).alias("b_at"))
+    second = index.select(*ROW, F.col("term").alias("b_term"), F.col("pos").alias("b_at"))
+    placed = materialize(first.join(second, [*ROW, "b_term", "b_at"], "left_semi").select(*ROW, *KEYS, "shift").distinct(), "placed")
     # the lists of all terms, in the documents that are left
-    full = postings(docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi"), known)
-    expected = placed.join(terms, KEYS).select("doc_id", *KEYS, "shift", "term", F.col("pos").alias("word"), (F.col("shift") + F.col("pos")).alias("pos"))
-    matched = expected.join(full, ["doc_id", "term", "pos"], "left_semi")
-    by = Window.partitionBy("doc_id", *KEYS, "shift").orderBy("word")
-    runs = matched.withColumn("run", F.col("word") - F.row_number().over(by)).groupBy("doc_id", *KEYS, "shift", "run").agg(F.count("*").alias("n"))
-    return runs.groupBy("doc_id", *KEYS, "shift").agg(F.max("n").alias("longest_run"), F.sum("n").alias("n_matched")).withColumnRenamed("shift", "first_word").drop("version")
+    full = postings(docs.join(placed.select(*ROW).distinct(), ROW, "left_semi"), known)
+    expected = placed.join(terms, KEYS).select(*ROW, *KEYS, "shift", "term", F.col("pos").alias("word"), (F.col("shift") + F.col("pos")).alias("pos"))
+    matched = expected.join(full, [*ROW, "term", "pos"], "left_semi")
+    by = Window.partitionBy(*ROW, *KEYS, "shift").orderBy("word")
+    runs = matched.withColumn("run", F.col("word") - F.row_number().over(by)).groupBy(*ROW, *KEYS, "shift", "run").agg(F.count("*").alias("n"))
+    return runs.groupBy(*ROW, *KEYS, "shift").agg(F.max("n").alias("longest_run"), F.sum("n").alias("n_matched")).withColumnRenamed("shift", "first_word").drop("version", "copy")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str, text_cols: list[str], words: int = 12) -> DataFrame:
@@ -117,10 +120,10 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str, text_cols: list[str]
     of at least ``words`` words are returned (exact phrases); placements whose two rarest terms of some
     window stand right, but that are broken elsewhere, come with a shorter run (proximity matches). Texts
     of fewer words, null texts and null items match nothing; repeated items each match; null and empty
-    documents match nothing. Every document is read whole; per block, the corpus is read twice and the
+    documents match nothing; different texts under one doc_id are matched each. Every document is read whole; per block, the corpus is read twice and the
     documents with a placement a third time.
     """
-    terms = item_terms(items, id_col, text_cols)
+    docs, terms = documents(docs), item_terms(items, id_col, text_cols)
     size = items.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text_cols), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     terms = materialize(terms, "terms")

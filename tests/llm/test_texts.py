@@ -82,6 +82,8 @@ def test_packing_texts_with_nulls(spark):
 def leaks(docs, items, words):
     out = set()
     for d, text in docs:
+        if d is None:
+            continue
         w = plain_words(text)
         grams = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
         for item, *fields in items:
@@ -92,7 +94,8 @@ def leaks(docs, items, words):
     return out
 
 
-def test_leakage_equals_brute_force(spark):
+@pytest.mark.parametrize("repeated", [False, True])
+def test_leakage_equals_brute_force(spark, repeated):
     r = random.Random(9)
     vocabulary = [f"w{i}" for i in range(12)] + [f"rare{i}" for i in range(300)]
     text = lambda n: " ".join(r.choices(vocabulary, weights=[30] * 12 + [1] * 300, k=n))
@@ -106,7 +109,10 @@ def test_leakage_equals_brute_force(spark):
             a = r.randint(0, max(0, len(w) - 4))
             parts.append(r.choice([", ", " \\cmd ", " % "]).join(x.upper() if r.random() < 0.3 else x for x in w[a : a + r.randint(2, 9)]))
         docs.append((d, " ; ".join(parts)))
-    docs += [(900, None), (901, ""), (902, "W1 " * 9), (903, "w1 w1 w1 w1 w1")]
+    docs += [(900, None), (901, ""), (902, "W1 " * 9), (903, "w1 w1 w1 w1 w1"), (None, items[0][1])]
+    if repeated:  # rows with one id: equal, and halves that hold a passage only together
+        w = plain_words(items[2][1])
+        docs += [docs[0], (950, " ".join(w[:4]) + " x" * 40), (950, "x x x x " + " ".join(w[4:]))]
     frame = spark.createDataFrame(docs, DOCS).withColumn("pos", F.lit("clash"))
     found = leakage.matches(frame, spark.createDataFrame(items, "item_id bigint, passage string, question string"), "item_id", ["passage", "question"], words=5)
     got = {(x.doc_id, x.item_id) for x in found.where("longest_run >= 5").collect()}
@@ -128,6 +134,8 @@ def test_leakage_in_a_very_long_text(spark, monkeypatch):
 def shared(docs, stretch):
     by_id = {}
     for d, t in docs:
+        if d is None:
+            continue
         by_id.setdefault(d, []).append(t or "")
     where = {}
     for d, texts in by_id.items():
@@ -135,13 +143,14 @@ def shared(docs, stretch):
             for i in range(len(t) - stretch + 1):
                 where.setdefault(t[i : i + stretch], set()).add(d)
     out = {}
-    for d, (t,) in by_id.items():
-        on = np.zeros(len(t), bool)
-        for i in range(len(t) - stretch + 1):
-            if len(where[t[i : i + stretch]]) > 1:
-                on[i : i + stretch] = True
-        if on.any():
-            out[d] = int(on.sum())
+    for d, texts in by_id.items():
+        for t in set(texts):
+            on = np.zeros(len(t), bool)
+            for i in range(len(t) - stretch + 1):
+                if len(where[t[i : i + stretch]]) > 1:
+                    on[i : i + stretch] = True
+            if on.any():
+                out[d] = out.get(d, 0) + int(on.sum())
     return out
 
 
@@ -160,6 +169,8 @@ def test_shared_spans_equal_brute_force(spark, seed, stretch, size):
             parts += [make(r.randint(0, 50)), r.choice([p, p, p[a:b], p[:b], p[a:]])]
         docs.append((d, "".join(parts)))
     docs += [(100, None), (101, ""), (102, "z" * 500), (103, "z" * stretch), (104, "q" * 300), (105, docs[7][1]), (106, pool[0] * 3)]
+    if seed > 2:  # rows that repeat an id, with the same and with another text; a row without an id
+        docs += [docs[7], (8, docs[9][1] + "!"), (None, docs[10][1])]
     frame = spark.createDataFrame(docs, DOCS).withColumn("start", F.lit("clash"))
     got = {x.doc_id: x.shared_chars for x in spans.shared_characters(frame, stretch, bits=12, size=size).collect()}
     assert got == shared(docs, stretch) and len(got) > 20
