@@ -144,9 +144,10 @@ def contour_means(cells: DataFrame, tiles: DataFrame) -> DataFrame:
                 plane = np.frombuffer(r["data"], np.dtype(r["dtype"])).reshape(r["h"], r["w"])
                 rows = []
                 for cell in r["outlines"]:
-                    inside = kernels.fill_polygon(np.array([(p["x"], p["y"]) for p in cell["points"]]), r["h"], r["w"])
+                    y, x, inside = kernels.polygon_box(np.array([(p["x"], p["y"]) for p in cell["points"]]), r["h"], r["w"])
                     if area := int(inside.sum()):
-                        rows.append((r["patch_id"], cell["cell_id"], r["channel"], area, float(plane[inside].mean())))
+                        under = plane[y : y + inside.shape[0], x : x + inside.shape[1]][inside]
+                        rows.append((r["patch_id"], cell["cell_id"], r["channel"], area, float(under.mean())))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -164,7 +165,8 @@ def cell_masks(cells: DataFrame, keys: Sequence[str], label: str, size: int) ->
             for outlines in batch.column(batch.num_columns - 1):
                 mask = np.zeros((size, size), bool)
                 for points in outlines.as_py():
-                    mask |= kernels.fill_polygon(np.array([(p["x"], p["y"]) for p in points]), size, size)
+                    y, x, part = kernels.polygon_box(np.array([(p["x"], p["y"]) for p in points]), size, size)
+                    mask[y : y + part.shape[0], x : x + part.shape[1]] |= part
                 n.append(len(outlines))
                 on.append(int(mask.sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int32()), pa.array(on, pa.int32())], names=[*keys, label, "n_cells", "n_on"])

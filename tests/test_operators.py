@@ -220,6 +220,24 @@ def test_tissue_and_median():
     assert np.array_equal(kernels.erode(kernels.dilate(one_on, even), even), one_on)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-3, 14), st.integers(-3, 14)), min_size=3, max_size=8))
+def test_polygons_equal_brute_force(points):
+    got = kernels.fill_polygon(np.array(points, float), 12, 12)
+    edges = list(zip(points, points[1:] + points[:1]))
+    want = np.zeros((12, 12), bool)
+    for (x0, y0), (x1, y1) in edges:
+        n = max(abs(x1 - x0), abs(y1 - y0), 1)
+        for i in range(n + 1):
+            x, y = round(x0 + i / n * (x1 - x0)), round(y0 + i / n * (y1 - y0))
+            if 0 <= x < 12 and 0 <= y < 12:
+                want[y, x] = True
+    for y, x in np.ndindex(12, 12):
+        cross = [x0 + (y - y0) * (x1 - x0) / (y1 - y0) for (x0, y0), (x1, y1) in edges if (y0 <= y) != (y1 <= y)]
+        want[y, x] |= sum(c <= x for c in cross) % 2 == 1 or x in cross
+    assert np.array_equal(got, want)
+
+
 def pixels(spark, array, key="t"):
     return spark.createDataFrame([(key, int(x), int(y), int(v)) for (y, x), v in np.ndenumerate(np.asarray(array))], "tile string, x int, y int, v bigint")
 
