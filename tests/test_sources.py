@@ -37,11 +37,6 @@ def test_cell_files_and_incremental_run(spark, tmp_path):
     assert nested.read_flat(spark, target, "cell").count() == 4 and nested.read_flat(spark, target, "contour").count() == 9
 
 
-def test_census_of_loads(spark):
-    df = spark.createDataFrame([("s", "2024-01-01 00:10:00"), ("s", "2024-01-01 00:50:00"), ("t", "2024-01-01 01:00:00")], "slide_id string, at string").select("slide_id", F.to_timestamp("at").alias("loaded_at"))
-    assert sorted((r.slide_id, r.n) for r in resume.census(spark, df).collect()) == [("s", 2), ("t", 1)]
-
-
 @pytest.mark.parametrize("text", [" Channel_Number , Marker_Name\n1,CD31\n2,Ki67\n3,cd31\nx,Bad\n4,\n", "Channel ID,Target Name\nChannel:0:0,CD31\n1,Ki67\nChannel:0:7,CD31\n"])
 def test_channels(spark, tmp_path, text):
     (tmp_path / "c.csv").write_text(text)
