@@ -17,7 +17,7 @@ def _containers(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Unreadable files and repeated records, read back from the consolidated containers."""
-    keys = compaction.record_keys(compaction.unpack(_containers(spark, d)))
+    keys = materialize(compaction.record_keys(compaction.unpack(_containers(spark, d))), "records")
     again = later_copies(keys.where("digest is not null"), ["kind", "slide_id", "digest"], [F.col("file_id"), F.col("record_pos")], ["file_id"])
     return keys.where("digest is null").select("file_id", "record_pos").unionByName(again.select("file_id", "record_pos"))
 
