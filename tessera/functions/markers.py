@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,9 +59,3 @@ def marker_value(columns: list[str], marker: str) -> Column:
     by_normal = {normal_name(c): c for c in columns}
     names = [by_normal[n] for n in map(normal_name, candidates(marker)) if n in by_normal]
     return F.coalesce(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in names], F.lit(0.0))
-
-
-def position(name: str) -> tuple[str, int] | None:
-    """(kind, number) of a channel label ``Channel:0:7`` or ``7``: the last colon-separated token."""
-    found = re.search(r"([0-9]+)\s*$", name)
-    return ("zero-based", int(found[1])) if found else None

@@ -198,9 +198,9 @@ def available_patches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def todo_patches(spark: SparkSession, d: str) -> DataFrame:
-    """Indexed patches with a multiplex part that have no assignments yet."""
-    index, _, named = _patch_keys(spark, d)
-    return index.where("has_multiplex").join(named, ["slide_id", "patch_id"], "left_anti").select("slide_id", "patch_id")
+    """Indexed patches whose cell file is not there yet."""
+    index, files, _ = _patch_keys(spark, d)
+    return index.join(files, ["slide_id", "patch_id"], "left_anti").select("slide_id", "patch_id", "has_multiplex")
 
 
 def missing_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -264,10 +264,14 @@ def safe_numbers(spark: SparkSession, d: str) -> DataFrame:
     return a.select("row_id", scores.safe_double(F.col("cell_type_confidence")).alias("conf"), scores.safe_double(F.col("ki67")).alias("ki67"), scores.confidence_score(F.trim("cell_type_confidence")).alias("score"))
 
 
+SEED = 7
+
+
 def sample_patches(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve indexed patches of each slide in a seeded random order."""
+    """Twelve indexed patches of each slide, all where it has fewer, in the scattered order of a seeded integer mix."""
     index, _, _ = _patch_keys(spark, d)
-    by = Window.partitionBy("slide_id").orderBy(F.xxhash64("slide_id", "patch_id", F.lit(7)), "patch_id")
+    x, y = (F.split("patch_id", "_")[i].cast("bigint") for i in (0, 1))
+    by = Window.partitionBy("slide_id").orderBy(((x * 31 + y * 17 + SEED) * 7919) % 1000003, "patch_id")
     return index.select("slide_id", "patch_id").distinct().withColumn("n", F.row_number().over(by)).where("n <= 12")
 
 
@@ -320,7 +324,7 @@ ORACLE = {
     "dense_tile": _PLACED + ", c AS (SELECT slide_id, img_w, img_h, floor(x/1024)::BIGINT AS ix, floor(y/1024)::BIGINT AS iy, count(*) AS n FROM pl WHERE x >= 0 AND y >= 0 AND x < img_w AND y < img_h GROUP BY ALL) SELECT slide_id, least(ix*1024, greatest(img_w - 1024, 0)) AS x0, least(iy*1024, greatest(img_h - 1024, 0)) AS y0, n AS n_points FROM c QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY n DESC, iy, ix) = 1",
     "bounds_split": _PLACED + "SELECT slide_id, count(*) FILTER (WHERE ins) AS n_inside, count(*) FILTER (WHERE NOT ins) AS n_outside, count(*) FILTER (WHERE ins AND x BETWEEN 1000 AND 2999.999 AND y BETWEEN 1000 AND 2999.999) AS n_zoom FROM (SELECT *, x >= 0 AND x < img_w AND y >= 0 AND y < img_h AS ins FROM pl WHERE x IS NOT NULL AND y IS NOT NULL) GROUP BY slide_id",
     "available_patches": _KEYS + "SELECT slide_id, patch_id FROM ix WHERE EXISTS (SELECT 1 FROM fl WHERE fl.slide_id = ix.slide_id AND fl.patch_id = ix.patch_id) AND EXISTS (SELECT 1 FROM nm WHERE nm.slide_id = ix.slide_id AND nm.patch_id = ix.patch_id)",
-    "todo_patches": _KEYS + "SELECT slide_id, patch_id FROM ix WHERE mxp AND NOT EXISTS (SELECT 1 FROM nm WHERE nm.slide_id = ix.slide_id AND nm.patch_id = ix.patch_id)",
+    "todo_patches": _KEYS + "SELECT slide_id, patch_id, mxp AS has_multiplex FROM ix WHERE NOT EXISTS (SELECT 1 FROM fl WHERE fl.slide_id = ix.slide_id AND fl.patch_id = ix.patch_id)",
     "missing_counts": _KEYS + "SELECT ix.slide_id, count(*) AS n_patches, count(*) FILTER (WHERE fl.patch_id IS NULL) AS no_file, count(*) FILTER (WHERE nm.patch_id IS NULL) AS no_cells FROM ix LEFT JOIN fl ON ix.slide_id = fl.slide_id AND ix.patch_id = fl.patch_id LEFT JOIN nm ON ix.slide_id = nm.slide_id AND ix.patch_id = nm.patch_id GROUP BY ix.slide_id",
     "patch_key_union": _KEYS + "SELECT slide_id, count(*) AS n_patches FROM (SELECT slide_id, patch_id FROM ix UNION SELECT slide_id, patch_id FROM fl UNION SELECT slide_id, patch_id FROM nm WHERE patch_id IS NOT NULL) GROUP BY slide_id",
     "affine_boxes": "WITH " + CELLS_SQL + ", b AS (SELECT cell_id, x AS x0, y AS y0, x + 15 + cell_id % 32 AS x1, y + 15 + cell_id % 32 AS y1 FROM cells), c AS (SELECT cell_id, x0, y0, unnest([x0, x1, x0, x1]) AS x, unnest([y0, y0, y1, y1]) AS y FROM b), m AS (SELECT cell_id, x0, y0, 0.5::DOUBLE*x + 0.01::DOUBLE*y + 3.25::DOUBLE AS u, -0.02::DOUBLE*x + 0.48::DOUBLE*y + 40.0::DOUBLE AS v FROM c), r AS (SELECT cell_id, x0, y0, floor(min(u))::BIGINT AS bx, floor(min(v))::BIGINT AS b_y, ceil(max(u))::BIGINT + 1 AS hx, ceil(max(v))::BIGINT + 1 AS hy FROM m GROUP BY ALL) SELECT cell_id, x0, y0, bx, b_y AS \"by\", hx - bx AS bw, hy - b_y AS bh FROM r WHERE bx >= 0 AND b_y >= 0 AND hx <= 512 AND hy <= 512",
@@ -331,4 +335,5 @@ ORACLE = {
     "safe_numbers": "SELECT row_id, coalesce(TRY_CAST(cell_type_confidence AS DOUBLE), 0.0) AS conf, coalesce(CASE WHEN isnan(ki67) THEN NULL ELSE ki67 END, 0.0) AS ki67, CASE lower(trim(cell_type_confidence)) WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS score FROM cell_assignments",
     "cell_ordinals": "SELECT row_id, row_number() OVER (ORDER BY patch_id, row_id) AS cell_number FROM cell_assignments WHERE patch_id IS NOT NULL",
     "stem_parse": "WITH n AS (SELECT file_id, regexp_extract(file_path, '([^/]+)$', 1) AS b FROM stage_files), m AS (SELECT file_id, CASE file_id % 4 WHEN 0 THEN b || '.OME.tif' WHEN 1 THEN 'a.b.tiff' WHEN 2 THEN regexp_replace(b, '\\.json$', '') ELSE b END AS name FROM n), x AS (SELECT file_id, name, regexp_extract(name, '(?i)(\\.ome\\.tiff|\\.ome\\.tif|\\.tiff|\\.tif|\\.[^.]*)$', 1) AS s FROM m) SELECT file_id, name[:length(name) - length(s)] AS stem, CASE WHEN s = '' THEN '.tif' ELSE s END AS suffix FROM x",
+    "sample_patches": _KEYS + "SELECT slide_id, patch_id, row_number() OVER (PARTITION BY slide_id ORDER BY ((split_part(patch_id, '_', 1)::BIGINT*31 + split_part(patch_id, '_', 2)::BIGINT*17 + 7) * 7919) % 1000003, patch_id)::INT AS n FROM (SELECT DISTINCT slide_id, patch_id FROM ix) QUALIFY n <= 12",
 }

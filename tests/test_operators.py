@@ -68,7 +68,6 @@ def test_marker_names(spark):
     df = spark.createDataFrame([(None, 3.0), (float("nan"), 4.0)], "`Pan-CK` double, Keratin double")
     assert [r.v for r in df.select(markers.marker_value(df.columns, "PanCK").alias("v")).collect()] == [3.0, 4.0]
     assert one(spark, markers.marker_value([], "CD4")) == 0.0
-    assert markers.position("Channel:0:7") == ("zero-based", 7)
 
 
 def test_softmax_and_collapse(spark):
