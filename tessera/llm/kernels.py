@@ -56,9 +56,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: list, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """(from, to) of consecutive texts of about ``size`` characters together, at least one."""
+    """(from, to) of consecutive texts of about ``size`` characters together, at least one; several fit a segment with their separators."""
     start = total = 0
     for i, t in enumerate(texts):
+        if i > start and total + len(t) + i - start + 2 > _SEGMENT:
+            yield start, i
+            start, total = i, 0
         total += len(t)
         if total >= size:
             yield start, i + 1

@@ -45,6 +45,19 @@ def test_word_hashes(monkeypatch):
         monkeypatch.undo()
 
 
+def test_word_hashes_of_a_long_text_behind_short_ones():
+    texts = [b"lorem ipsum " * 85] * 250 + [b"dolor sit amet " * 60_000, b"end"]  # about 250 KB, then 900 KB
+    sizes = {}
+    for index, hashes, pos in kernels.placed_words(texts):
+        for i in np.unique(index):
+            own = pos[index == i]
+            assert np.array_equal(own, np.arange(len(own)) + sizes.get(i, 0))
+            sizes[i] = sizes.get(i, 0) + len(own)
+    assert sizes == {i: 170 for i in range(250)} | {250: 180_000, 251: 1}
+    blanks = [b""] * (kernels._SEGMENT + 2000) + [b"word"]
+    assert sum(len(h) for _, h, _ in kernels.word_hashes(blanks)) == 1
+
+
 def test_packing_keeps_every_token_within_the_limits(spark):
     r = random.Random(3)
     sizes = [0, 1, 2048, 2049, 5000, 100_000, *(r.choice([r.randint(1, 40), r.randint(1, 2500)]) for _ in range(400))]
