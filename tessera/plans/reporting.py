@@ -128,18 +128,26 @@ def patch_grid(spark: SparkSession, d: str) -> DataFrame:
 MASK_STEP = 64
 
 
-def tissue_patches(spark: SparkSession, d: str) -> DataFrame:
-    """Grid patches whose tissue share reaches the slide's limit; tissue is where the first revision's patches have a mask."""
-    index = table(spark, d, "slide_index")
-    first = index.where("rev = 1").select("slide_id", "patch_size", F.explode("patches").alias("p")).where("p.has_mask").select("slide_id", "patch_size", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"))
+def _tissue(spark: SparkSession, d: str, index: DataFrame) -> DataFrame:
+    masked = index.select("slide_id", "patch_size", F.explode("patches").alias("p")).where("p.has_mask").select("slide_id", "patch_size", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"))
     wide, high = F.lit(1 << 20), F.lit(1 << 20)
-    mask = grids.covered_cells(first, MASK_STEP, wide, high).select("slide_id", "mx", "my").distinct()
+    mask = grids.covered_cells(masked, MASK_STEP, wide, high).select("slide_id", "mx", "my").distinct()
     grid = grids.patch_grid(_slides(spark, d).select("slide_id", "img_w", "img_h", "patch_size", "stride", "tissue_min"))
     width, height = F.floor(F.col("img_w") / MASK_STEP), F.floor(F.col("img_h") / MASK_STEP)
     kept = grids.tissue_patches(grid, mask, MASK_STEP, width, height, F.col("tissue_min"))
     return kept.select("slide_id", "x0", "y0", r6(F.col("tissue")).alias("tissue"))
 
 
+def tissue_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Grid patches whose tissue share reaches the slide's limit; tissue is where the first revision's patches have a mask."""
+    return _tissue(spark, d, table(spark, d, "slide_index").where("rev = 1"))
+
+
+def valid_tissue_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Grid patches whose tissue share reaches the slide's limit; tissue is where the valid revision's patches have a mask."""
+    return _tissue(spark, d, _slides(spark, d))
+
+
 def mx_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Place of each indexed patch on the other image, its overlap with it, and whether it is whole."""
     s = _slides(spark, d).select("slide_id", "patch_size", "img_w", "img_h", F.coalesce("mpp_scale", F.lit(1.0)).alias("scale"), F.explode("patches").alias("p")).select("*", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"))
@@ -227,14 +235,23 @@ def affine_boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.where("bx >= 0 and by >= 0 and bx + bw <= 512 and by + bh <= 512")
 
 
-def best_crop(spark: SparkSession, d: str) -> DataFrame:
-    """The crop with the best total of three coverages that each reach their limit, first in scan order, per slide."""
-    p = table(spark, d, "slide_index").where("rev = 1").select("slide_id", F.explode("patches").alias("p")).distinct().select("slide_id", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"), F.col("p.multiplex_overlap_fraction").alias("f"), F.coalesce("p.has_mask", F.lit(False)).cast("double").alias("m"))
+def _best_crop(index: DataFrame) -> DataFrame:
+    p = index.select("slide_id", F.explode("patches").alias("p")).distinct().select("slide_id", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"), F.col("p.multiplex_overlap_fraction").alias("f"), F.coalesce("p.has_mask", F.lit(False)).cast("double").alias("m"))
     ok = p.where("f >= 0.6 and m >= 0.5").withColumn("score", F.col("f") + F.col("m"))
     best = ok.withColumn("n", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.desc("score"), "y0", "x0"))).where("n = 1")
     return best.select("slide_id", "x0", "y0", r6(F.col("score")).alias("score"))
 
 
+def best_crop(spark: SparkSession, d: str) -> DataFrame:
+    """The first revision's crop with the best total of coverages that each reach their limit, first in scan order, per slide."""
+    return _best_crop(table(spark, d, "slide_index").where("rev = 1"))
+
+
+def valid_best_crop(spark: SparkSession, d: str) -> DataFrame:
+    """The valid revision's crop with the best total of coverages that each reach their limit, first in scan order, per slide."""
+    return _best_crop(_slides(spark, d))
+
+
 def crop_parse(spark: SparkSession, d: str) -> DataFrame:
     """Crop texts of two, three, four and other numbers of parts."""
     k = F.col("o_orderkey")
@@ -300,7 +317,7 @@ _NULLNAN = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
 _CANON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in markers.canonical_by_normal().items())
 _POLY = "WITH " + CELLS_SQL + ", p AS (SELECT cell_id, x::DOUBLE AS x, y::DOUBLE AS y, (cell_id % 40 + 3)::DOUBLE AS r FROM cells), c AS (SELECT cell_id, unnest(range(5)) AS i, unnest([x, x + r, x + 0.5*r, x - 0.5*r, x - r]) AS px, unnest([y - r, y - 0.25*r, y + r, y + r, y - 0.25*r]) AS py FROM p), e AS (SELECT a.cell_id, a.px, a.py, b.px AS qx, b.py AS qy FROM c a JOIN c b ON a.cell_id = b.cell_id AND b.i = (a.i + 1) % 5), m AS (SELECT cell_id, sum(px*qy - qx*py) AS t, sum((px+qx)*(px*qy - qx*py)) AS sx, sum((py+qy)*(px*qy - qx*py)) AS sy, min(px) AS min_x, min(py) AS min_y, max(px) AS max_x, max(py) AS max_y FROM e GROUP BY cell_id) "
 
-QUERIES = {f.__name__: f for f in (patch_summary, top_patches, representative_cells, agree_medium_disagree, class_margin, confusion_3x3, class_panel, best_marker, display_counts, majority_type, channel_panel, channel_lookup, alias_canonical, keep_first_cells, patch_grid, tissue_patches, mx_overlap, extent_check, coord_convert, dense_tile, bounds_split, available_patches, todo_patches, missing_counts, patch_key_union, affine_boxes, best_crop, crop_parse, polygon_moments, json_cells, safe_numbers, sample_patches, cell_ordinals, stem_parse)}
+QUERIES = {f.__name__: f for f in (patch_summary, top_patches, representative_cells, agree_medium_disagree, class_margin, confusion_3x3, class_panel, best_marker, display_counts, majority_type, channel_panel, channel_lookup, alias_canonical, keep_first_cells, patch_grid, tissue_patches, valid_tissue_patches, mx_overlap, extent_check, coord_convert, dense_tile, bounds_split, available_patches, todo_patches, missing_counts, patch_key_union, affine_boxes, best_crop, valid_best_crop, crop_parse, polygon_moments, json_cells, safe_numbers, sample_patches, cell_ordinals, stem_parse)}
 ORACLE = {
     "patch_summary": _W + f"SELECT slide_id, patch_id, {_SUMMARY}, round(avg(cs), 6) AS mean_confidence_score, round(avg(gap), 6) AS mean_final_margin, round(sum(coalesce(is_mismatch::INT, 0)) / count(*), 6) AS mismatch_rate FROM w GROUP BY slide_id, patch_id",
     "top_patches": _W + f"SELECT slide_id, patch_id, n_cells, mismatch_count, low_confidence_count, round(rate, 6) AS mismatch_rate FROM (SELECT slide_id, patch_id, {_SUMMARY}, sum(coalesce(is_mismatch::INT, 0)) / count(*) AS rate FROM w WHERE slide_id IS NOT NULL AND patch_id IS NOT NULL GROUP BY slide_id, patch_id) ORDER BY rate DESC, low_confidence_count DESC, n_cells DESC, slide_id, patch_id LIMIT 25",
@@ -318,6 +335,7 @@ ORACLE = {
     "keep_first_cells": "SELECT row_id, slide_id, cell_id FROM cell_assignments QUALIFY row_number() OVER (PARTITION BY slide_id, cell_id ORDER BY loaded_at NULLS LAST, row_id) = 1",
     "patch_grid": _SLIDES + "SELECT slide_id, (gx.i * stride)::INT AS x0, (gy.i * stride)::INT AS y0 FROM sl, (SELECT unnest(range(400)) AS i) gx, (SELECT unnest(range(400)) AS i) gy WHERE gx.i * stride + patch_size <= img_w AND gy.i * stride + patch_size <= img_h",
     "tissue_patches": _SLIDES + ", fp AS (SELECT DISTINCT slide_id, patch_size, p.x0 AS x0, p.y0 AS y0 FROM (SELECT slide_id, patch_size, unnest(patches) AS p FROM slide_index WHERE rev = 1) WHERE p.has_mask), mk AS (SELECT DISTINCT slide_id, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM fp, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < greatest(x0 // 64 + 1, (x0 + patch_size) // 64) AND y0 // 64 + dy.i < greatest(y0 // 64 + 1, (y0 + patch_size) // 64)), gr AS (SELECT slide_id, (gx.i * stride)::INT AS x0, (gy.i * stride)::INT AS y0, patch_size, tissue_min, img_w // 64 AS w, img_h // 64 AS h FROM sl, (SELECT unnest(range(400)) AS i) gx, (SELECT unnest(range(400)) AS i) gy WHERE gx.i * stride + patch_size <= img_w AND gy.i * stride + patch_size <= img_h), cv AS (SELECT slide_id, x0, y0, tissue_min, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM gr, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < least(greatest(x0 // 64 + 1, (x0 + patch_size) // 64), w) AND y0 // 64 + dy.i < least(greatest(y0 // 64 + 1, (y0 + patch_size) // 64), h)) SELECT slide_id, x0, y0, round(avg((mk.mx IS NOT NULL)::INT), 6) AS tissue FROM cv LEFT JOIN mk USING (slide_id, mx, my) GROUP BY slide_id, x0, y0 HAVING avg((mk.mx IS NOT NULL)::INT) >= max(tissue_min)",
+    "valid_tissue_patches": _SLIDES + ", fp AS (SELECT DISTINCT slide_id, patch_size, p.x0 AS x0, p.y0 AS y0 FROM (SELECT slide_id, patch_size, unnest(patches) AS p FROM sl) WHERE p.has_mask), mk AS (SELECT DISTINCT slide_id, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM fp, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < greatest(x0 // 64 + 1, (x0 + patch_size) // 64) AND y0 // 64 + dy.i < greatest(y0 // 64 + 1, (y0 + patch_size) // 64)), gr AS (SELECT slide_id, (gx.i * stride)::INT AS x0, (gy.i * stride)::INT AS y0, patch_size, tissue_min, img_w // 64 AS w, img_h // 64 AS h FROM sl, (SELECT unnest(range(400)) AS i) gx, (SELECT unnest(range(400)) AS i) gy WHERE gx.i * stride + patch_size <= img_w AND gy.i * stride + patch_size <= img_h), cv AS (SELECT slide_id, x0, y0, tissue_min, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM gr, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < least(greatest(x0 // 64 + 1, (x0 + patch_size) // 64), w) AND y0 // 64 + dy.i < least(greatest(y0 // 64 + 1, (y0 + patch_size) // 64), h)) SELECT slide_id, x0, y0, round(avg((mk.mx IS NOT NULL)::INT), 6) AS tissue FROM cv LEFT JOIN mk USING (slide_id, mx, my) GROUP BY slide_id, x0, y0 HAVING avg((mk.mx IS NOT NULL)::INT) >= max(tissue_min)",
     "mx_overlap": _SLIDES + ", p AS (SELECT slide_id, patch_size, coalesce(mpp_scale, 1.0) AS sc, floor(img_w*coalesce(mpp_scale, 1.0)*0.8)::BIGINT AS w, floor(img_h*coalesce(mpp_scale, 1.0)*0.8)::BIGINT AS h, unnest(patches) AS p FROM sl), b AS (SELECT slide_id, p.x0 AS x0, p.y0 AS y0, round_even(p.x0*sc, 0)::INT AS mx_x0, round_even(p.y0*sc, 0)::INT AS mx_y0, greatest(round_even(patch_size*sc, 0), 1)::INT AS mx_size, w, h FROM p), o AS (SELECT *, CASE WHEN mx_x0 >= 0 AND mx_y0 >= 0 AND mx_x0 + mx_size <= w AND mx_y0 + mx_size <= h THEN 1.0 ELSE (greatest(0, least(mx_x0 + mx_size, w) - greatest(0, mx_x0))::DOUBLE * greatest(0, least(mx_y0 + mx_size, h) - greatest(0, mx_y0))) / (mx_size::DOUBLE * mx_size + 1e-9) END AS ov FROM b) SELECT slide_id, x0, y0, mx_x0, mx_y0, mx_size, round(ov, 6) AS overlap, ov >= 1.0 AS whole FROM o",
     "extent_check": _SLIDES + ", e AS (SELECT slide_id, he_mpp, mx_mpp, img_w*he_mpp AS a, img_h*he_mpp AS b, floor(img_w*0.47)*mx_mpp AS c, floor(img_h*0.52)*mx_mpp AS d FROM sl WHERE he_mpp IS NOT NULL AND mx_mpp IS NOT NULL), f AS (SELECT slide_id, he_mpp/mx_mpp AS s, abs(a-c)/greatest(a, c)*100 AS dw, abs(b-d)/greatest(b, d)*100 AS dh FROM e) SELECT slide_id, round(s, 6) AS scale, round(dw, 6) AS diff_w, round(dh, 6) AS diff_h, dw <= 5 AND dh <= 5 AS agrees FROM f",
     "coord_convert": _SLIDES + "SELECT row_id, round(x, 6) AS x_he, round(y, 6) AS y_he, round(x*he_mpp, 6) AS x_um, round(x*sc, 6) AS x_mx, round(y*sc, 6) AS y_mx FROM (SELECT row_id, patch_x0 + centroid_x_local AS x, patch_y0 + centroid_y_local AS y, he_mpp, coalesce(he_mpp/mx_mpp, mpp_scale, 1.0) AS sc FROM cell_assignments a JOIN sl ON a.slide_id = sl.slide_id WHERE patch_x0 IS NOT NULL AND NOT isnan(centroid_x_local) AND NOT isnan(centroid_y_local))",
@@ -329,6 +347,7 @@ ORACLE = {
     "patch_key_union": _KEYS + "SELECT slide_id, count(*) AS n_patches FROM (SELECT slide_id, patch_id FROM ix UNION SELECT slide_id, patch_id FROM fl UNION SELECT slide_id, patch_id FROM nm WHERE patch_id IS NOT NULL) GROUP BY slide_id",
     "affine_boxes": "WITH " + CELLS_SQL + ", b AS (SELECT cell_id, x AS x0, y AS y0, x + 15 + cell_id % 32 AS x1, y + 15 + cell_id % 32 AS y1 FROM cells), c AS (SELECT cell_id, x0, y0, unnest([x0, x1, x0, x1]) AS x, unnest([y0, y0, y1, y1]) AS y FROM b), m AS (SELECT cell_id, x0, y0, 0.5::DOUBLE*x + 0.01::DOUBLE*y + 3.25::DOUBLE AS u, -0.02::DOUBLE*x + 0.48::DOUBLE*y + 40.0::DOUBLE AS v FROM c), r AS (SELECT cell_id, x0, y0, floor(min(u))::BIGINT AS bx, floor(min(v))::BIGINT AS b_y, ceil(max(u))::BIGINT + 1 AS hx, ceil(max(v))::BIGINT + 1 AS hy FROM m GROUP BY ALL) SELECT cell_id, x0, y0, bx, b_y AS \"by\", hx - bx AS bw, hy - b_y AS bh FROM r WHERE bx >= 0 AND b_y >= 0 AND hx <= 512 AND hy <= 512",
     "best_crop": "WITH p AS (SELECT DISTINCT slide_id, p.x0 AS x0, p.y0 AS y0, p.multiplex_overlap_fraction AS f, coalesce(p.has_mask, FALSE)::INT::DOUBLE AS m FROM (SELECT slide_id, unnest(patches) AS p FROM slide_index WHERE rev = 1)) SELECT slide_id, x0, y0, round(f + m, 6) AS score FROM p WHERE f >= 0.6 AND m >= 0.5 QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY f + m DESC, y0, x0) = 1",
+    "valid_best_crop": _SLIDES + ", p AS (SELECT DISTINCT slide_id, p.x0 AS x0, p.y0 AS y0, p.multiplex_overlap_fraction AS f, coalesce(p.has_mask, FALSE)::INT::DOUBLE AS m FROM (SELECT slide_id, unnest(patches) AS p FROM sl)) SELECT slide_id, x0, y0, round(f + m, 6) AS score FROM p WHERE f >= 0.6 AND m >= 0.5 QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY f + m DESC, y0, x0) = 1",
     "crop_parse": "WITH k AS (SELECT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, CASE k % 5 WHEN 0 THEN k WHEN 1 THEN k % 11 WHEN 2 THEN k % 11 END AS x, CASE k % 5 WHEN 0 THEN k % 7 WHEN 1 THEN k % 13 WHEN 2 THEN k % 13 END AS y, CASE k % 5 WHEN 0 THEN 512 WHEN 1 THEN k % 17 WHEN 2 THEN k % 17 END AS w, CASE k % 5 WHEN 0 THEN 512 WHEN 1 THEN k % 17 WHEN 2 THEN k % 19 END AS h FROM k",
     "polygon_moments": _POLY + "SELECT cell_id, round(abs(t)/2, 6) AS area, round(sx/(3*t), 6) AS cx, round(sy/(3*t), 6) AS cy, round(min_x, 6) AS min_x, round(min_y, 6) AS min_y, round(max_x, 6) AS max_x, round(max_y, 6) AS max_y FROM m WHERE abs(t)/2 BETWEEN 30 AND 6000",
     "json_cells": "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS k FROM events",
