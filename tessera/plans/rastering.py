@@ -109,16 +109,29 @@ def mask_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dilate_rect(spark: SparkSession, d: str) -> DataFrame:
-    """The vessel mask grown by 1 pixel to each side."""
+    """Every fourth column of the vessel mask grown by 1 pixel to each side; ``dilate_vessels`` grows all of it."""
     m = _masked(spark, d, "cd31").where("cd31_on and x % 4 = 0")
     return rasters.dilate_rect(m, K, SIDE, 1)
 
 
+def dilate_vessels(spark: SparkSession, d: str) -> DataFrame:
+    """The vessel mask grown by 1 pixel to each side."""
+    return rasters.dilate_rect(_masked(spark, d, "cd31").where("cd31_on"), K, SIDE, 1)
+
+
+def _refined(masks: DataFrame) -> DataFrame:
+    near = rasters.tile_map(masks, K, SIDE, ["a", "b"], lambda t: {"on": (t["a"] > 0) | ((t["b"] > 0) & kernels.dilate(t["a"] > 0, kernels.ellipse(5)))}, {"on": "boolean"})
+    return near.where("on").select("tile", "x", "y")
+
+
 def sma_refine(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth column of the vessels plus smooth muscle within 2 pixels of it, by tile kernel; ``sma_vessels`` takes all vessels."""
+    return _refined(_masked(spark, d, "cd31", "sma").select("tile", "x", "y", (F.col("cd31_on") & (F.col("x") % 4 == 0)).cast("int").alias("a"), F.col("sma_on").cast("int").alias("b")))
+
+
+def sma_vessels(spark: SparkSession, d: str) -> DataFrame:
     """Vessels plus smooth muscle within 2 pixels of them, by tile kernel."""
-    m = _masked(spark, d, "cd31", "sma").select("tile", "x", "y", (F.col("cd31_on") & (F.col("x") % 4 == 0)).cast("int").alias("a"), F.col("sma_on").cast("int").alias("b"))
-    near = rasters.tile_map(m, K, SIDE, ["a", "b"], lambda t: {"on": (t["a"] > 0) | ((t["b"] > 0) & kernels.dilate(t["a"] > 0, kernels.ellipse(5)))}, {"on": "boolean"})
-    return near.where("on").select("tile", "x", "y")
+    return _refined(_masked(spark, d, "cd31", "sma").select("tile", "x", "y", F.col("cd31_on").cast("int").alias("a"), F.col("sma_on").cast("int").alias("b")))
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +301,7 @@ _FIT = _PROFILE + (
 _RAMP = {c: "CASE " + " ".join(f"WHEN t < {b[0]} THEN floor({a[i]} + (greatest(t, {a[0]}) - {a[0]}) / {b[0] - a[0]} * {b[i] - a[i]})::INT" for a, b in zip(ANCHORS, ANCHORS[1:])) + f" ELSE {ANCHORS[-1][i]} END" for i, c in enumerate("rgb", 1)}
 _SPOTS = ", " + CELLS_SQL + ", spots AS (SELECT cell_id, type_cellvit, cell_id // 1000 AS tile, x % 72 AS x, y % 72 AS y FROM cells) "
 
-QUERIES = {f.__name__: f for f in (padded_window, overview, pyramid_levels, level_choice, percentile_norm, minmax_u8, max_projection, alpha_blend, lut_colour, otsu_mask, mask_logic, mask_fallback, dilate_rect, sma_refine, components, cleaned_mask, box_filter, edt_clamped, consumption, wkb_field, jacobi_steps, dist_profile, profile_corr, best_d, point_in_raster, rect_zonal_mean, tissue_fraction, vessel_tiles)}
+QUERIES = {f.__name__: f for f in (padded_window, overview, pyramid_levels, level_choice, percentile_norm, minmax_u8, max_projection, alpha_blend, lut_colour, otsu_mask, mask_logic, mask_fallback, dilate_rect, dilate_vessels, sma_refine, sma_vessels, components, cleaned_mask, box_filter, edt_clamped, consumption, wkb_field, jacobi_steps, dist_profile, profile_corr, best_d, point_in_raster, rect_zonal_mean, tissue_fraction, vessel_tiles)}
 ORACLE = {
     "padded_window": _PX + "SELECT t.tile, wx.i::INT AS wx, wy.i::INT AS wy, coalesce(cd31, 0)::BIGINT AS cd31 FROM (SELECT DISTINCT tile FROM px) t, (SELECT unnest(range(32)) AS i) wx, (SELECT unnest(range(32)) AS i) wy LEFT JOIN px ON px.tile = t.tile AND px.x = wx.i - 8 AND px.y = wy.i - 8",
     "overview": _PX + "SELECT tile, (x // 5)::INT AS x, (y // 5)::INT AS y, cd31 FROM px WHERE x % 5 = 0 AND y % 5 = 0 AND x < 60 AND y < 60",
@@ -303,7 +316,9 @@ ORACLE = {
     "mask_logic": _CS + "SELECT tile, count(*) FILTER (WHERE cd31_on AND sma_on) AS n_and, count(*) FILTER (WHERE cd31_on OR sma_on) AS n_or, count(*) FILTER (WHERE NOT cd31_on) AS n_not FROM m GROUP BY tile",
     "mask_fallback": _CD + "SELECT tile, round(c, 6) AS coverage, CASE WHEN c = 0 AND f THEN 'empty_fallback' WHEN c = 0 THEN 'empty' WHEN c >= 0.3 THEN 'noisy_fallback' ELSE 'ok' END AS status FROM (SELECT tile, avg((cd31 > 120 + (tile % 4)*60)::INT) AS c, bool_or(cd31_on) AS f FROM m GROUP BY tile)",
     "dilate_rect": _CD + "SELECT DISTINCT m.tile, (m.x + dx.i)::INT AS x, (m.y + dy.i)::INT AS y FROM m, (VALUES (-1), (0), (1)) dx(i), (VALUES (-1), (0), (1)) dy(i) WHERE cd31_on AND m.x % 4 = 0 AND m.x + dx.i BETWEEN 0 AND 63 AND m.y + dy.i BETWEEN 0 AND 63",
+    "dilate_vessels": _CD + "SELECT DISTINCT m.tile, (m.x + dx.i)::INT AS x, (m.y + dy.i)::INT AS y FROM m, (VALUES (-1), (0), (1)) dx(i), (VALUES (-1), (0), (1)) dy(i) WHERE cd31_on AND m.x + dx.i BETWEEN 0 AND 63 AND m.y + dy.i BETWEEN 0 AND 63",
     "sma_refine": _CS + ", n AS (SELECT DISTINCT m.tile, m.x + dx.i AS x, m.y + dy.i AS y FROM m, (SELECT unnest(range(-2, 3)) AS i) dx, (SELECT unnest(range(-2, 3)) AS i) dy WHERE cd31_on AND m.x % 4 = 0 AND (abs(dy.i) < 2 OR dx.i = 0)) SELECT tile, x, y FROM m WHERE (cd31_on AND x % 4 = 0) OR (sma_on AND (tile, x, y) IN (SELECT (tile, x, y) FROM n))",
+    "sma_vessels": _CS + ", n AS (SELECT DISTINCT m.tile, m.x + dx.i AS x, m.y + dy.i AS y FROM m, (SELECT unnest(range(-2, 3)) AS i) dx, (SELECT unnest(range(-2, 3)) AS i) dy WHERE cd31_on AND (abs(dy.i) < 2 OR dx.i = 0)) SELECT tile, x, y FROM m WHERE cd31_on OR (sma_on AND (tile, x, y) IN (SELECT (tile, x, y) FROM n))",
     "box_filter": _PX + ", r AS (SELECT tile, x, y, sum(cd31) OVER (PARTITION BY tile, y ORDER BY x ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS s FROM px), b AS (SELECT tile, x, y, sum(s) OVER (PARTITION BY tile, x ORDER BY y ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) / 256 AS m FROM r) SELECT tile, x, y, round(m, 6) AS box_mean FROM b WHERE x <= 48 AND y <= 48 QUALIFY row_number() OVER (PARTITION BY tile ORDER BY m DESC, y, x) = 1",
     "edt_clamped": _DIST + f"SELECT tile, x, y, round(least(dist / (160.0 / {MPP * STEP * 8}), 1.0), 6) AS share, round(1 - least(dist / (160.0 / {MPP * STEP * 8}), 1.0), 6) AS oxygen FROM e",
     "consumption": _FIELD + "SELECT tile, x, y, round(k, 6) AS k FROM f",
