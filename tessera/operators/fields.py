@@ -45,6 +45,11 @@ def diffused(pixels: DataFrame, keys: Sequence[str], side: int, source: str, k:
     return tile_map(pixels, keys, side, [source, k], lambda a: {"u": kernels.diffusion(a[source], a[k], max_steps=steps, tol=tol)}, {"u": "double"})
 
 
+def steady(pixels: DataFrame, keys: Sequence[str], side: int, source: str, k: str) -> DataFrame:
+    """``u`` of the steady-state equation on each tile, by Jacobi steps to the kernel's own tolerance and limit of steps."""
+    return tile_map(pixels, keys, side, [source, k], lambda a: {"u": kernels.diffusion(a[source], a[k])}, {"u": "double"})
+
+
 def profile(pixels: DataFrame, distance_um: Column, value: Column, bin_um: float, limit_um: float) -> DataFrame:
     """Mean value by distance bin over all tiles, every bin present; a mean is null where the bin is empty.
 

@@ -190,6 +190,12 @@ def jacobi_steps(spark: SparkSession, d: str) -> DataFrame:
     return fields.diffused(f, K, SIDE, "source", "k", 3).select("tile", "x", "y", r6(F.col("u")).alias("u"))
 
 
+def steady_supply(spark: SparkSession, d: str) -> DataFrame:
+    """The diffusion equation from vessels, run to its tolerance on every tile; ``jacobi_steps`` is its first steps for the check by SQL."""
+    f = _field(spark, d).withColumn("source", (F.col("dist") == 0).cast("double"))
+    return fields.steady(f, K, SIDE, "source", "k").select("tile", "x", "y", r6(F.col("u")).alias("u"))
+
+
 def tissue_fraction(spark: SparkSession, d: str) -> DataFrame:
     """Tissue share of each tile taken as a colour overview."""
     rgb = ("cd31", "sma", "ki67")
@@ -301,7 +307,7 @@ _FIT = _PROFILE + (
 _RAMP = {c: "CASE " + " ".join(f"WHEN t < {b[0]} THEN floor({a[i]} + (greatest(t, {a[0]}) - {a[0]}) / {b[0] - a[0]} * {b[i] - a[i]})::INT" for a, b in zip(ANCHORS, ANCHORS[1:])) + f" ELSE {ANCHORS[-1][i]} END" for i, c in enumerate("rgb", 1)}
 _SPOTS = ", " + CELLS_SQL + ", spots AS (SELECT cell_id, type_cellvit, cell_id // 1000 AS tile, x % 72 AS x, y % 72 AS y FROM cells) "
 
-QUERIES = {f.__name__: f for f in (padded_window, overview, pyramid_levels, level_choice, percentile_norm, minmax_u8, max_projection, alpha_blend, lut_colour, otsu_mask, mask_logic, mask_fallback, dilate_rect, dilate_vessels, sma_refine, sma_vessels, components, cleaned_mask, box_filter, edt_clamped, consumption, wkb_field, jacobi_steps, dist_profile, profile_corr, best_d, point_in_raster, rect_zonal_mean, tissue_fraction, vessel_tiles)}
+QUERIES = {f.__name__: f for f in (padded_window, overview, pyramid_levels, level_choice, percentile_norm, minmax_u8, max_projection, alpha_blend, lut_colour, otsu_mask, mask_logic, mask_fallback, dilate_rect, dilate_vessels, sma_refine, sma_vessels, components, cleaned_mask, box_filter, edt_clamped, consumption, wkb_field, jacobi_steps, steady_supply, dist_profile, profile_corr, best_d, point_in_raster, rect_zonal_mean, tissue_fraction, vessel_tiles)}
 ORACLE = {
     "padded_window": _PX + "SELECT t.tile, wx.i::INT AS wx, wy.i::INT AS wy, coalesce(cd31, 0)::BIGINT AS cd31 FROM (SELECT DISTINCT tile FROM px) t, (SELECT unnest(range(32)) AS i) wx, (SELECT unnest(range(32)) AS i) wy LEFT JOIN px ON px.tile = t.tile AND px.x = wx.i - 8 AND px.y = wy.i - 8",
     "overview": _PX + "SELECT tile, (x // 5)::INT AS x, (y // 5)::INT AS y, cd31 FROM px WHERE x % 5 = 0 AND y % 5 = 0 AND x < 60 AND y < 60",
