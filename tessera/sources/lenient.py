@@ -37,6 +37,13 @@ def said(value):
     return value
 
 
+def _place(key: str) -> int | None:
+    """The 32-bit integer that a map's key says, leading zeros aside; None for any other key."""
+    found = re.fullmatch(r"\s*([+-]?)0*([0-9]{1,10})\s*", key)
+    place = int(found[1] + found[2]) if found else None
+    return place if found and -(1 << 31) <= place < 1 << 31 else None
+
+
 def records(kind: str | None, value) -> Iterator[tuple[int, dict]]:
     """(place, record) of each object in a parsed body: a list, or a map from (32-bit) integer to object."""
     value = said(value)
@@ -49,7 +56,7 @@ def records(kind: str | None, value) -> Iterator[tuple[int, dict]]:
     if isinstance(value, list):
         pairs = enumerate(value)
     elif isinstance(value, dict):
-        pairs = ((int(k), v) for k, v in value.items() if re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", k))
+        pairs = ((place, v) for k, v in value.items() if (place := _place(k)) is not None)
     else:
         return
     for place, record in pairs:

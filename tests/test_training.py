@@ -90,6 +90,11 @@ def test_container_is_plain_zstandard_and_damage_is_found(spark):
         compaction.unpack(frame).collect()
 
 
+def test_map_keys_of_32_bits():
+    keys = ["2147483647", "-2147483648", " +1000000000 ", "0000000012", "0" * 6000 + "5", "000", "2147483648", "-2147483649", "9" * 6000, "", "+", "1.0", "1 2"]
+    assert [p for p, _ in lenient.records("cellvit", {k: {} for k in keys})] == [2147483647, -2147483648, 1000000000, 12, 5, 0]
+
+
 def test_lenient_forms():
     say = lambda c: lenient.cell_parts(c)
     assert say({"centroid": "[1, 2]"})["centroid"] == [1.0, 2.0]
