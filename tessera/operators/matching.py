@@ -16,17 +16,17 @@ def nearest(points: DataFrame, others: DataFrame, keys: Sequence[str], radius: f
     A grid-bucket equi-join: squares of the radius, each of ``others`` copied to its 9 neighbours, so no
     pair further apart than 3 radii meets and no nested loop is planned. Ties go to the lowest id. Null
     keys or coordinates match nothing and are spread over squares of their own. A point is in one square
-    only, so the reduction to the nearest reuses the join's partitioning: two shuffles in all. Rows of
-    ``points`` that are equal in every column come out once.
+    only, so the reduction to the nearest reuses the join's partitioning: two shuffles in all. A number for each row
+    of ``points`` keeps apart those that are equal in every column.
     """
     near = others.select(*keys, F.col(other_id).alias("__id"), F.col("x").alias("__x"), F.col("y").alias("__y"))
     offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     near = near.withColumn("__bx", F.explode(F.transform(offsets, lambda o: F.floor(F.col("__x") / radius) + o))).withColumn("__by", F.explode(F.transform(offsets, lambda o: F.floor(F.col("__y") / radius) + o)))
     spread = F.pmod(F.xxhash64(*points.columns), F.lit(4096))
-    left = points.withColumns({"__bx": F.coalesce(F.floor(F.col("x") / radius), spread), "__by": F.floor(F.col("y") / radius)})
+    left = points.withColumns({"__bx": F.coalesce(F.floor(F.col("x") / radius), spread), "__by": F.floor(F.col("y") / radius), "__row": F.monotonically_increasing_id()})
     d2 = (F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2
     same = [left[c] == near[c] for c in (*keys, "__bx", "__by")] + [d2 <= radius * radius]
-    square = [*keys, "__bx", "__by", *[c for c in points.columns if c not in keys]]
+    square = [*keys, "__bx", "__by", "__row", *[c for c in points.columns if c not in keys]]
     joined = left.join(near, same, "left").select(*[left[c] for c in square], F.when(F.col("__id").isNotNull(), F.struct(d2.alias("d2"), F.col("__id").alias("id"))).alias("__m"))
     best = joined.groupBy(*square).agg(F.min("__m").alias("__m"))
     return best.select(*points.columns, F.col("__m.id").alias("match_id"), F.sqrt("__m.d2").alias("distance"))

@@ -92,6 +92,13 @@ def test_nearest(spark):
     assert matching.nearest(cells.limit(0), feats, ["s"], 4.0, "row_idx").count() == 0
 
 
+def test_nearest_keeps_equal_rows(spark):
+    cells = spark.createDataFrame([(1, 0, 5, 5)] * 3 + [(2, 0, 50, 50)] * 2 + [(3, None, None, 1)] * 2, "cell bigint, s int, x int, y int")
+    feats = spark.createDataFrame([(7, 0, 5, 6), (8, 0, 6, 6)], "row_idx bigint, s int, x int, y int")
+    got = sorted((r.cell, r.match_id) for r in matching.nearest(cells, feats, ["s"], 4.0, "row_idx").select("cell", "match_id").collect())
+    assert got == [(1, 7)] * 3 + [(2, None)] * 2 + [(3, None)] * 2
+
+
 def test_greedy_pairs(spark):
     cells = spark.createDataFrame([(1, "p", 0.0, 0.0), (2, "p", 1.0, 0.0), (3, "p", 50.0, 0.0), (1, "q", 0.0, 0.0)], "id bigint, k string, x double, y double")
     rows = spark.createDataFrame([(10, "p", 1.0, 0.0), (11, "p", 3.0, 0.0), (12, "p", -1.0, 0.0)], "id bigint, k string, x double, y double")
