@@ -7,18 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import attach
 from tessera.sources.tables import materialize
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt_on: Sequence[str], salts: int) -> tuple[DataFrame, DataFrame]:
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
-    local = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    first = salted.withColumn("__n", F.row_number().over(local))
-    rest = first.where("__n > 1")
-    heads = first.where("__n = 1").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return heads, rest
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt_on: Sequence[str], salts: int = 32) -> DataFrame:
     """One row for each value of ``keys``: the first by ``order``; null keys form one group.
 
@@ -26,14 +18,20 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt
     most ``salts`` heads of a key are then ranked once more. Ties beyond ``order`` are the caller's to rule
     out; an empty table gives an empty table.
     """
-    heads, _ = _ranked(df, keys, order, salt_on, salts)
-    return heads.where("__n = 1").drop("__n", "__salt")
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
+    heads = salted.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))).where("__n = 1")
+    return heads.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n", "__salt")
+
 
+def later_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows that come, by the columns ``order`` ascending, behind the first row of their key; null keys form one group.
 
-def later_copies(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt_on: Sequence[str], salts: int = 32) -> DataFrame:
-    """The rows that ``keep_first`` leaves out, each exactly once; same handling of hot and null keys."""
-    heads, rest = _ranked(df, keys, order, salt_on, salts)
-    return heads.where("__n > 1").unionByName(rest).drop("__n", "__salt")
+    Rows that tie with the first are first too. Firsts are found by partial minima, so a key that holds a large
+    part of all rows costs one row a task there, and only keys with several rows are joined back (``attach``).
+    ``df`` is read twice: give it materialized. An empty table gives an empty table.
+    """
+    firsts = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    return attach(df, materialize(firsts, "firsts"), keys, "__n").where(F.struct(*order) > F.col("__first")).drop("__first")
 
 
 def ordinals(df: DataFrame, order: Sequence[Column], name: str = "ordinal") -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import attach
+from tessera.sources.tables import materialize
+
 #: Two non-negative integers joined by ``_``, each perhaps followed by ``.0``; blanks at the ends do not count.
 READABLE_PATCH = r"^\s*([0-9]+)(?:\.0)?_([0-9]+)(?:\.0)?\s*$"
 
@@ -70,8 +73,8 @@ def orphan_patches(slide_index: DataFrame, tables: dict[str, DataFrame]) -> Data
     revision; ``late``: first held by a revision indexed after the row was loaded. Null references are no
     references; a null loaded_at is never late. Tables need row_id, slide_id, patch_id and loaded_at; other
     columns are not read. Rows are reduced to one per named patch (with the earliest load) before any
-    shuffle, so a patch that many rows name costs one row; only patches with something to report are
-    joined back to the rows.
+    shuffle, so a patch that many rows name costs one row. The patches with something to report are attached
+    to the rows: broadcast while they are few, else hot patches broadcast and the others shuffled.
     """
     rows = None
     for name, df in tables.items():
@@ -79,11 +82,11 @@ def orphan_patches(slide_index: DataFrame, tables: dict[str, DataFrame]) -> Data
         part = df.where("patch_id is not null").select(F.lit(name).alias("tbl_name"), "row_id", "slide_id", "loaded_at", x0.alias("x0"), y0.alias("y0"))
         rows = part if rows is None else rows.unionByName(part)
     whole = F.col("slide_id").isNotNull() & F.col("x0").isNotNull() & F.col("y0").isNotNull()
-    refs = rows.where(whole).groupBy("slide_id", "x0", "y0").agg(F.min("loaded_at").alias("first_load"))
+    refs = rows.where(whole).groupBy("slide_id", "x0", "y0").agg(F.min("loaded_at").alias("first_load"), F.count("*").alias("n_rows"))
     state = asof_runs(refs, patch_runs(slide_index), ["slide_id", "x0"], "y0", ["live", "first_at"])
     kind = F.when(~F.col("in_run"), "missing").when(~F.col("live"), "deleted").when(F.col("first_at") > F.col("first_load"), "late")
-    bad = state.select("slide_id", "x0", "y0", "first_at", kind.alias("orphan_kind")).where("orphan_kind is not null")
-    matched = rows.where(whole).join(bad, ["slide_id", "x0", "y0"]).where((F.col("orphan_kind") != "late") | (F.col("first_at") > F.col("loaded_at")))
+    bad = materialize(state.select("slide_id", "x0", "y0", "first_at", "n_rows", kind.alias("orphan_kind")).where("orphan_kind is not null"), "orphans")
+    matched = attach(rows.where(whole), bad, ["slide_id", "x0", "y0"], "n_rows").where((F.col("orphan_kind") != "late") | (F.col("first_at") > F.col("loaded_at")))
     unreadable = rows.where(~whole).select("tbl_name", "row_id", "loaded_at", F.lit("missing").alias("orphan_kind"))
     return matched.select("tbl_name", "row_id", "loaded_at", "orphan_kind").unionByName(unreadable)
 

@@ -144,8 +144,8 @@ def write_json_rows(df: DataFrame, path: str) -> None:
 
 
 def write_layers(tiles: DataFrame, path: str) -> None:
-    """Tile rows with a ``layer`` column as Parquet, a folder a layer, neighbours together."""
-    tiles.repartition("layer").sortWithinPartitions("patch_id").write.mode("overwrite").partitionBy("layer").parquet(path)
+    """Tile rows with a ``layer`` column as Parquet, a folder a layer, neighbours together: ranges of patches, so that a layer has many writers."""
+    tiles.repartitionByRange("layer", "patch_id").sortWithinPartitions("layer", "patch_id").write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
 def missing_markers(columns: Sequence[str], wanted: Sequence[str]) -> list[str]:

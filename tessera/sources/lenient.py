@@ -55,8 +55,8 @@ def records(kind: str | None, value) -> Iterator[tuple[int, dict]]:
                 break
     if isinstance(value, list):
         pairs = enumerate(value)
-    elif isinstance(value, dict):
-        pairs = ((place, v) for k, v in value.items() if (place := _place(k)) is not None)
+    elif isinstance(value, dict):  # keys that say the same integer are one place, the last of them holds
+        pairs = {place: v for k, v in value.items() if (place := _place(k)) is not None}.items()
     else:
         return
     for place, record in pairs:
@@ -88,8 +88,21 @@ def _leaves(value) -> list:
     return [value]
 
 
+def _pair(value) -> list[float] | None:
+    """The first two items of a plain list if both are plain numbers of common size: the usual form of a point."""
+    if type(value) is list and len(value) > 1:
+        a, b = value[0], value[1]
+        if (type(a) is float or type(a) is int) and (type(b) is float or type(b) is int) and -1e300 < a < 1e300 and -1e300 < b < 1e300:
+            return [a + 0.0, b + 0.0]
+    return None
+
+
 def numbers(value, count: int) -> list[float] | None:
     """The first ``count`` leaves of a flat or nested list if all are numbers."""
+    if count == 2 and (point := _pair(value)):
+        return point
+    if count == 4 and type(value) is list and len(value) == 2 and type(value[0]) is list and len(value[0]) == 2 and (low := _pair(value[0])) and (high := _pair(value[1])):
+        return low + high
     value = said(value)
     if isinstance(value, dict):
         value = [value.get("x"), value.get("y")]
@@ -115,7 +128,10 @@ def outline(cell: dict) -> list[list[float]]:
     """The complete points of the first outline that has any; a flat list of numbers has none."""
     for name in OUTLINE_NAMES:
         if name in cell:
-            value = said(cell[name])
+            value = cell[name]
+            if type(value) is list and value and None not in (points := [_pair(p) for p in value]):
+                return points
+            value = said(value)
             if isinstance(value, dict):
                 xs, ys = said(value.get("x")), said(value.get("y"))
                 value = [list(p) for p in zip(xs, ys)] if isinstance(xs, list) and isinstance(ys, list) else None
@@ -139,6 +155,9 @@ def cell_parts(cell: dict) -> dict:
     return {"centroid": numbers(cell.get("centroid"), 2), "bbox": numbers(cell.get("bbox"), 4), "contour": outline(cell)}
 
 
+_text = json.JSONEncoder(default=str).encode
+
+
 def canonical(kind: str | None, record: dict) -> str:
     """Equal for records that say the same, whatever the spelling of their parts."""
     if kind == "index":
@@ -146,4 +165,4 @@ def canonical(kind: str | None, record: dict) -> str:
     else:
         parts = cell_parts(record)
         said_by = [parts["centroid"], parts["contour"], parts["bbox"], plain(record.get("type_cellvit")), record.get("type_name") or None, plain(record.get("type_prob"))]
-    return json.dumps(said_by, default=str)
+    return _text(said_by)
