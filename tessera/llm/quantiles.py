@@ -1,8 +1,11 @@
 """Mergeable percentiles with a deterministic rank error: compressed dyadic-tree counts (q-digests).
 
-A digest is a set of rows (keys, node, n). ``node`` numbers a binary tree over ``2**bits`` ordered cells:
-the root is 1, the children of v are 2v and 2v+1, cell c is the leaf ``2**bits + c``. Each value is counted
-once, in a node whose range holds its cell. Merging adds the counts of equal nodes.
+Values are quantized to a bounded ordered universe of ``2**BITS`` cells: sign, exponent and the first MANTISSA bits
+of a double, in the order of the numbers. So there is no range to choose; a cell is 2^-20 of its value wide,
+and whole numbers below 2^20 have cells of their own. A digest is a set of rows (keys, node, n). ``node``
+numbers a binary tree over the cells: the root is 1, the children of v are 2v and 2v+1, cell c is the leaf
+``2**BITS + c``. Each value is counted once, in a node whose range holds its cell. Merging adds the counts
+of equal nodes.
 """
 
 from __future__ import annotations
@@ -14,22 +17,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 16
+from tessera.operators.joins import attach
+from tessera.sources.tables import materialize
 
+BITS, MANTISSA = 32, 20
+_ZERO = 1 << (BITS - 1)  # the cell of 0; cells below are negative
 
-def cell_of(value: Column, low: float, high: float, bits: int = BITS) -> Column:
-    """The cell of a value: ``2**bits`` equal steps from ``low`` to ``high``; values beyond go into the end cells."""
-    width = (high - low) / 2**bits
-    return F.least(F.greatest(F.floor((value - low) / width), F.lit(0)), F.lit(2**bits - 1)).cast("bigint")
 
+def cell_of(value: Column) -> Column:
+    """The cell of a number; magnitudes under the least normal double count as 0, infinities have the outermost cells."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    e = F.when(two(guess) > size, guess - 1).when(two(guess + 1) <= size, guess + 1).otherwise(guess)
+    code = (e + 1023) * (1 << MANTISSA) + F.floor((size / two(e) - 1) * (1 << MANTISSA))
+    code = F.when(size < 2.0**-1022, 0).when(size == float("inf"), 2047 << MANTISSA).otherwise(code)
+    return F.when(value >= 0, code + _ZERO).otherwise(_ZERO - 1 - code).cast("bigint")
 
-def leaf_counts(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, bits: int = BITS) -> DataFrame:
-    """Digest rows without compression; null and NaN values are not counted. Counts before the shuffle, so a hot key sends at most ``2**bits`` rows a task."""
+
+def _size(code: Column) -> Column:
+    """The least magnitude of a code; 0 for those of no normal number."""
+    e = F.shiftright(code, MANTISSA)
+    return F.when(e < 1, 0.0).otherwise(F.pow(F.lit(2.0), e - 1023) * (1 + code.bitwiseAND(F.lit((1 << MANTISSA) - 1)) / (1 << MANTISSA)))
+
+
+def _edges(cell: Column) -> tuple[Column, Column]:
+    """The least and the greatest number of a cell."""
+    up, down = cell - _ZERO, _ZERO - 1 - cell
+    wide = lambda code: F.when(code == 0, 0.0).otherwise(_size(code + 1))
+    return F.when(cell >= _ZERO, _size(up)).otherwise(-wide(down)), F.when(cell >= _ZERO, wide(up)).otherwise(-_size(down))
+
+
+def leaf_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Digest rows without compression; null and NaN values are not counted. Counts before the shuffle, so repeated values of a hot key cost one row a task."""
     kept = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    return kept.groupBy(*keys, (F.lit(1 << bits) + cell_of(F.col(value), low, high, bits)).alias("node")).agg(F.count("*").alias("n"))
+    return kept.groupBy(*keys, (cell_of(F.col(value)) + (1 << BITS)).alias("node")).agg(F.count("*").alias("n"))
 
 
-def _squeeze(group: np.ndarray, node: np.ndarray, n: np.ndarray, eps: float, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _squeeze(group: np.ndarray, node: np.ndarray, n: np.ndarray, eps: float, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Move light siblings into their parent, bottom up, for all groups of a batch at once."""
     most = np.floor(eps * np.bincount(group, weights=n) / bits).astype(np.int64)
     for _ in range(bits):
@@ -59,15 +84,21 @@ def _squeeze(group: np.ndarray, node: np.ndarray, n: np.ndarray, eps: float, bit
     return group, node, n
 
 
-def compress(digest: DataFrame, keys: Sequence[str], eps: float, bits: int = BITS) -> DataFrame:
-    """The digest with at most about ``2 * bits / eps`` rows a key and a rank error of at most ``eps`` times its count.
+def compress(digest: DataFrame, keys: Sequence[str], eps: float) -> DataFrame:
+    """The digest with at most about ``3 * BITS / eps`` rows a key and a rank error of at most ``eps`` times its count.
 
-    A family of siblings and parent that counts at most ``floor(eps * count / bits)`` together becomes one
-    node, level by level from the leaves; every value moves up by at most ``bits`` such nodes. Keys with
-    fewer than ``bits / eps`` values stay exact. Groups are bounded by the universe, not by their rows, and
-    are handled many at a time in sorted batches.
+    A family of siblings and parent that counts at most ``floor(eps * count / BITS)`` together becomes one
+    node, level by level from the leaves; every value moves up by at most ``BITS`` such nodes. Keys with
+    fewer than ``BITS / eps`` values stay exact and pass by as they are. Groups are bounded by the universe, not by their
+    rows, and are handled many at a time in sorted batches.
     """
-    schema = digest.select(*keys, "node", "n").schema
+    sized = materialize(digest.select(*keys, "node", "n").withColumn("__all", F.sum("n").over(Window.partitionBy(*keys))), "sized")
+    small, large = sized.where(F.col("__all") * eps < BITS), sized.where(F.col("__all") * eps >= BITS)
+    return small.drop("__all").unionByName(materialize(_compressed(large.drop("__all"), keys, eps), "compressed"))
+
+
+def _compressed(digest: DataFrame, keys: Sequence[str], eps: float) -> DataFrame:
+    schema, bits = digest.select(*keys, "node", "n").schema, BITS
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +114,7 @@ def compress(digest: DataFrame, keys: Sequence[str], eps: float, bits: int = BIT
             group = np.cumsum(new) - 1
             heads = np.flatnonzero(new)
             node, n = (t.column(width + i).to_numpy() for i in (0, 1))
-            big = np.bincount(group, weights=n)[group] * eps >= bits
-            g, v, c = _squeeze(group[big], node[big], n[big], eps, bits) if big.any() else (group[:0], node[:0], n[:0])
-            g, v, c = np.concatenate([group[~big], g]), np.concatenate([node[~big], v]), np.concatenate([n[~big], c])
+            g, v, c = _squeeze(group, node, n, eps)
             keyed = t.select(list(range(width))).take(pa.array(heads[g]))
             return pa.Table.from_arrays([*keyed.columns, pa.array(v), pa.array(c)], names=[*keyed.column_names, "node", "n"]).combine_chunks().to_batches()[0]
 
@@ -115,47 +144,59 @@ def merge(digest: DataFrame, keys: Sequence[str]) -> DataFrame:
     return digest.groupBy(*keys, "node").agg(F.sum("n").alias("n"))
 
 
-def _ends(bits: int) -> tuple[Column, Column]:
-    shift = F.expr(f"shiftleft(CAST(1 AS BIGINT), {bits} - (length(bin(node)) - 1))")
-    left = F.col("node") * shift - F.lit(1 << bits)
+def _ends() -> tuple[Column, Column]:
+    """The first and the last cell of a node."""
+    shift = F.expr(f"shiftleft(CAST(1 AS BIGINT), {BITS} - (length(bin(node)) - 1))")
+    left = F.col("node") * shift - F.lit(1 << BITS)
     return left, left + shift - 1
 
 
-def bounds(digest: DataFrame, keys: Sequence[str], shares: dict[str, float], low: float, high: float, bits: int = BITS) -> DataFrame:
+def bounds(digest: DataFrame, keys: Sequence[str], shares: dict[str, float]) -> DataFrame:
     """For each key ``count`` and, for each named share q, ``{name}_low`` and ``{name}_high``.
 
     They enclose the q-quantile under every common definition: the lower bound that of the
-    ``floor(q (count - 1)) + 1``-th value, the upper bound that of the next. All values are at or above
-    ``low``'s cell edge; in the top cell the upper bound is infinite, in the bottom cell the lower.
+    ``floor(q (count - 1)) + 1``-th value, the upper bound that of the next.
     """
-    left, right = _ends(bits)
+    left, right = _ends()
     by_right = Window.partitionBy(*keys).orderBy("__r", F.desc("__l"))
     by_left = Window.partitionBy(*keys).orderBy(F.desc("__l"), "__r")
     per = digest.withColumns({"__l": left, "__r": right})
     per = per.withColumns({"__up": F.sum("n").over(by_right), "__down": F.sum("n").over(by_left), "__all": F.sum("n").over(Window.partitionBy(*keys))})
-    width = (high - low) / 2**bits
     out = [F.max("__all").alias("count")]
     for name, q in shares.items():
         first = F.floor(F.lit(q) * (F.col("__all") - 1)) + 1
         second = F.least(first + 1, F.col("__all"))
-        lower = F.max(F.when(F.col("__down") >= F.col("__all") - first + 1, F.col("__l")))
-        upper = F.min(F.when(F.col("__up") >= second, F.col("__r")))
-        out += [F.when(lower > 0, lower * width + low).otherwise(F.lit(float("-inf"))).alias(f"{name}_low"), F.when(upper < 2**bits - 1, (upper + 1) * width + low).otherwise(F.lit(float("inf"))).alias(f"{name}_high")]
-    return per.groupBy(*keys).agg(*out)
+        out += [F.max(F.when(F.col("__down") >= F.col("__all") - first + 1, F.col("__l"))).alias(f"__a_{name}"), F.min(F.when(F.col("__up") >= second, F.col("__r"))).alias(f"__b_{name}")]
+    cells = per.groupBy(*keys).agg(*out)
+    return cells.select(*keys, "count", *[x for name in shares for x in (_edges(F.col(f"__a_{name}"))[0].alias(f"{name}_low"), _edges(F.col(f"__b_{name}"))[1].alias(f"{name}_high"))])
 
 
-def quantiles(digest: DataFrame, keys: Sequence[str], shares: dict[str, float], low: float, high: float, bits: int = BITS) -> DataFrame:
-    """For each key ``count`` and one value per named share: the left edge of the cell that the digest gives for rank ``ceil(q count)``.
+def quantiles(digest: DataFrame, keys: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """For each key ``count`` and one value per named share: that of the cell that the digest gives for rank ``ceil(q count)``.
 
     The value's true rank is within ``eps`` times the count of the asked one, ``eps`` being that of
-    ``compress``; without compression the value is exact to the cell.
+    ``compress``; without compression the value is exact to its cell, of which the edge nearer 0 is given.
     """
-    _, right = _ends(bits)
-    left, _ = _ends(bits)
-    by_right = Window.partitionBy(*keys).orderBy("__r", F.desc("__l"))
-    per = digest.withColumns({"__l": left, "__r": right}).withColumns({"__up": F.sum("n").over(by_right), "__all": F.sum("n").over(Window.partitionBy(*keys))})
-    width = (high - low) / 2**bits
-    out = [F.max("__all").alias("count")]
-    for name, q in shares.items():
-        out.append((F.min(F.when(F.col("__up") >= F.greatest(F.ceil(F.lit(q) * F.col("__all")), F.lit(1)), F.col("__r"))) * width + low).alias(name))
-    return per.groupBy(*keys).agg(*out)
+    _, right = _ends()
+    by_right = Window.partitionBy(*keys).orderBy("__r")
+    per = digest.withColumn("__r", right).withColumns({"__up": F.sum("n").over(by_right), "__all": F.sum("n").over(Window.partitionBy(*keys))})
+    out = [F.max("__all").alias("count")] + [F.min(F.when(F.col("__up") >= F.greatest(F.ceil(F.lit(q) * F.col("__all")), F.lit(1)), F.col("__r"))).alias(name) for name, q in shares.items()]
+    cell = lambda c: F.when(c >= _ZERO, _size(c - _ZERO)).otherwise(-_size(_ZERO - 1 - c))
+    return per.groupBy(*keys).agg(*out).select(*keys, "count", *[cell(F.col(name)).alias(name) for name in shares])
+
+
+def settled_medians(rows: DataFrame, brackets: DataFrame, row_keys: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, median) of the keys in ``brackets`` (row_keys, keys, low, high, count), exact.
+
+    A digest's bounds of the median are its bracket: values under ``low`` are only counted, those above ``high``
+    not looked at, and of those within, a share of ``eps`` and ties, only the distinct ones are sorted.
+    ``count`` is the key's number of values; brackets are attached to rows by ``row_keys``. Give brackets materialized.
+    """
+    v = F.col(value)
+    near = attach(rows.where(v.isNotNull() & ~F.isnan(v)), brackets.withColumn("__count", F.col("count")), row_keys, "count").where(v <= F.col("high"))
+    names = [c for c in keys if c not in rows.columns]
+    at = near.select(*[c for c in keys if c not in names], *names, F.when(v < F.col("low"), F.lit(float("-inf"))).otherwise(v).alias("__v"), "__count")
+    counts = at.groupBy(*keys, "__v", "__count").agg(F.count("*").alias("__n"))
+    upto = counts.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__v")))
+    pick = lambda k: F.min(F.when(F.col("__upto") >= k, F.col("__v")))
+    return upto.groupBy(*keys).agg(((pick(F.floor((F.col("__count") - 1) / 2) + 1) + pick(F.floor(F.col("__count") / 2) + 1)) / 2).alias("median"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import leakage, packing, quantiles, spans, topn
+from tessera.operators.joins import attach
 from tessera.operators.references import patch_xy
 from tessera.sources.tables import materialize, table
 
@@ -37,7 +38,7 @@ def p3_ranked(spark: SparkSession, d: str) -> DataFrame:
     return _top_cells(spark, d).select("slide_id", "x0", "y0", "cell_type", "cell_id", "group_rank")
 
 
-LOW, HIGH, EPS = 0.0, 65536.0, 0.01
+EPS = 0.01
 DAY = ["slide_id", "channel", "taken_on"]
 
 
@@ -52,29 +53,30 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _day_digest(spark: SparkSession, d: str) -> DataFrame:
-    leaves = quantiles.leaf_counts(_readings(spark, d), ["slide_id", "channel_index", "taken_on"], "intensity", LOW, HIGH)
+    leaves = quantiles.leaf_counts(_readings(spark, d), ["slide_id", "channel_index", "taken_on"], "intensity")
     named = quantiles.merge(leaves.join(_places(spark, d), ["slide_id", "channel_index"]), DAY)
-    return materialize(quantiles.compress(named, DAY, EPS), "digest")
+    return quantiles.compress(named, DAY, EPS)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Days of at least 20 readings whose median is over twice that of all days of the slide and channel.
 
     The digests' bounds decide all but the days that lie within their error of the limit; for these the
-    medians are computed exactly.
+    medians are settled within the digests' brackets.
     """
-    day, half = _day_digest(spark, d), {"m": 0.5}
-    days = quantiles.bounds(day, DAY, half, LOW, HIGH).where("count >= 20 and taken_on is not null")
-    whole = quantiles.bounds(quantiles.merge(day, DAY[:2]), DAY[:2], half, LOW, HIGH).select(*DAY[:2], F.col("m_low").alias("all_low"), F.col("m_high").alias("all_high"))
-    same = [days[c].eqNullSafe(whole[c]) for c in DAY[:2]]
-    near = days.join(whole, same).select(*[days[c] for c in DAY], "m_low", "m_high", "all_low", "all_high").where("m_high > 2 * all_low")
+    day, half, whole_key = _day_digest(spark, d), {"m": 0.5}, DAY[:2]
+    days = quantiles.bounds(day, DAY, half).where("count >= 20 and taken_on is not null")
+    whole = quantiles.bounds(quantiles.merge(day, whole_key), whole_key, half).select(*[F.col(c).alias(f"w_{c}") for c in whole_key], F.col("m_low").alias("all_low"), F.col("m_high").alias("all_high"), F.col("count").alias("n_all"))
+    near = days.join(whole, [days[c].eqNullSafe(whole[f"w_{c}"]) for c in whole_key]).where("m_high > 2 * all_low")
     near = materialize(near.withColumn("sure", F.col("m_low") > 2 * F.col("all_high")), "near")
-    open_days = near.where("not sure")
-    rows = _readings(spark, d).where("intensity is not null and not isnan(intensity)")
-    rows = rows.join(_places(spark, d), ["slide_id", "channel_index"]).join(open_days.select(*DAY[:2]).distinct(), DAY[:2], "left_semi")
-    exact_day = rows.groupBy(*DAY).agg(F.percentile("intensity", F.lit(0.5)).alias("m"), F.count("*").alias("count"))
-    exact_all = rows.groupBy(*DAY[:2]).agg(F.percentile("intensity", F.lit(0.5)).alias("m_all"))
-    checked = exact_day.join(open_days.select(*DAY), DAY, "left_semi").join(exact_all, DAY[:2]).where("m > 2 * m_all")
+    open_days = near.where("not sure").join(_places(spark, d), whole_key)
+    brackets = [F.col("m_low").alias("low"), F.col("m_high").alias("high"), "count"]
+    of_day = materialize(open_days.select("slide_id", "channel_index", "taken_on", "channel", *brackets), "day_brackets")
+    of_all = materialize(open_days.select("slide_id", "channel_index", "channel", F.col("all_low").alias("low"), F.col("all_high").alias("high"), F.col("n_all").alias("count")).distinct(), "brackets")
+    rows = _readings(spark, d)
+    exact_day = quantiles.settled_medians(rows, of_day, ["slide_id", "channel_index", "taken_on"], DAY, "intensity")
+    exact_all = quantiles.settled_medians(rows, of_all, ["slide_id", "channel_index"], whole_key, "intensity").withColumnRenamed("median", "all")
+    checked = exact_day.join(exact_all, whole_key).where("median > 2 * all")
     return near.where("sure").select(*DAY).unionByName(checked.select(*DAY))
 
 
@@ -82,14 +84,31 @@ SHARES = {"p01": 0.01, "p50": 0.5, "p75": 0.75, "p99": 0.99}
 
 
 def p4_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each slide, channel and day, within 1 % of rank."""
-    return quantiles.quantiles(_day_digest(spark, d), DAY, SHARES, LOW, HIGH)
+    """Percentiles of each slide, channel and day, within 1 % of rank; exact for days of fewer than 3,200 readings."""
+    return quantiles.quantiles(_day_digest(spark, d), DAY, SHARES)
 
 
 def p4_slide_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each slide, merged from the digests of its channels and days and compressed again."""
-    merged = quantiles.compress(quantiles.merge(_day_digest(spark, d), ["slide_id"]), ["slide_id"], EPS)
-    return quantiles.quantiles(merged, ["slide_id"], SHARES, LOW, HIGH)
+    """Percentiles of each slide and channel, merged from the digests of its days; exact where all its days are."""
+    return quantiles.quantiles(quantiles.merge(_day_digest(spark, d), DAY[:2]), DAY[:2], SHARES)
+
+
+def p4_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Groups and readings of each channel, and how many of its percentiles by merged and again compressed digests miss their rank by more than the bound.
+
+    Slides and channels are compressed to 1 % of rank, then merged into channels over all slides; the true ranks are counted from the readings.
+    """
+    by = ["channel"]
+    digest = quantiles.compress(quantiles.merge(_day_digest(spark, d), DAY[:2]), DAY[:2], EPS)
+    digest = quantiles.compress(quantiles.merge(digest, by), by, EPS)
+    said = materialize(quantiles.quantiles(digest, by, SHARES), "said")
+    rows = attach(_readings(spark, d).where("intensity is not null and not isnan(intensity)"), materialize(_places(spark, d).withColumn("w", F.lit(1)), "places"), ["slide_id", "channel_index"], "w")
+    values = rows.groupBy(*by, "intensity").agg(F.count("*").alias("n"))
+    ranks = values.join(F.broadcast(said), by)  # a row a channel name
+    edge = lambda name: (F.sum(F.when(F.col("intensity") < F.col(name), F.col("n")).otherwise(0)), F.sum(F.when(F.col("intensity") <= F.col(name) * (1 + 2.0**-19), F.col("n")).otherwise(0)))
+    total = F.sum("n")
+    misses = [F.when((edge(n)[0] - 3 * EPS * total - 1 > q * total) | (edge(n)[1] + 3 * EPS * total + 1 < q * total), 1).otherwise(0) for n, q in SHARES.items()]
+    return ranks.groupBy(*by).agg(total.alias("n_readings"), sum(misses[1:], misses[0]).alias("n_missed"))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -151,13 +170,23 @@ m AS (SELECT slide_id, channel, taken_on, count(*) AS n, quantile_cont(intensity
 o AS (SELECT slide_id, channel, quantile_cont(intensity, 0.5) AS mo FROM v GROUP BY ALL)
 """
 
+
+
+def _percentile_sql(by: str) -> str:
+    picks = ", ".join(f"max(CASE WHEN rn = greatest(ceil({q}::DOUBLE * n), 1) THEN intensity END) AS {name}" for name, q in SHARES.items())
+    return _MEDIAN_SQL + f", r AS (SELECT {by}, intensity, row_number() OVER (PARTITION BY {by} ORDER BY intensity) AS rn, count(*) OVER (PARTITION BY {by}) AS n FROM v) SELECT {by}, count(*) AS count, {picks} FROM r GROUP BY {by}"
+
+
 _TOKENS_SQL = r"WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]+')) AS n FROM documents) "
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_day_percentiles, p4_slide_percentiles, p6_found, p6_fill, p6_tokens, p7_found, p7_placements, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_day_percentiles, p4_slide_percentiles, p4_rank_errors, p6_found, p6_fill, p6_tokens, p7_found, p7_placements, p8_found)}
 ORACLE = {
     "p3_found": _TOP_SQL + "SELECT DISTINCT cell_id FROM r WHERE group_rank <= 3",
     "p3_ranked": _TOP_SQL + "SELECT slide_id, x0, y0, cell_type, cell_id, group_rank FROM r WHERE group_rank <= 3",
     "p4_found": _MEDIAN_SQL + "SELECT slide_id, channel, taken_on FROM m JOIN o USING (slide_id, channel) WHERE n >= 20 AND taken_on IS NOT NULL AND md > 2 * mo",
+    "p4_day_percentiles": _percentile_sql("slide_id, channel, taken_on"),
+    "p4_slide_percentiles": _percentile_sql("slide_id, channel"),
+    "p4_rank_errors": _MEDIAN_SQL + "SELECT channel, count(*) AS n_readings, 0 AS n_missed FROM v GROUP BY channel",
     "p6_found": _TOKENS_SQL + "SELECT doc_id FROM t WHERE n > 2048",
     "p6_tokens": _TOKENS_SQL + "SELECT count(*) AS n_docs, sum(ceil(n / 2048.0))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens FROM t WHERE n > 0",
 }
