@@ -89,7 +89,7 @@ def _parts(files: DataFrame, target_bytes: int) -> DataFrame:
             for key, kind, body, carried in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = body or b""
                 packed = press.compress(data) if data else b""
-                head = {"id": key, "n_bytes": None if body is None else len(data), "packed": len(packed), "xxh3": xxhash.xxh3_64_intdigest(data), "carry": json.loads(carried)}
+                head = {"id": key, "n_bytes": None if body is None else len(data), "packed": len(packed), "xxh3": xxhash.xxh3_64_intdigest(data), "carry": carried}
                 piece = _skippable(head) + packed
                 if kind in open_ and open_[kind][1][0] + len(piece) > target_bytes:
                     yield closed(kind)
@@ -214,7 +214,7 @@ def unpack(containers: DataFrame) -> DataFrame:
             for payload in batch.column(0).to_pylist():
                 *held, (trailer, _) = frames(payload)
                 for at in range(0, len(held), 1000):
-                    yield _batch([(h["id"], trailer["kind"], json.dumps(h["carry"]), data) for h, data in held[at : at + 1000]], schema)
+                    yield _batch([(h["id"], trailer["kind"], h["carry"], data) for h, data in held[at : at + 1000]], schema)
 
     return containers.select("payload").mapInArrow(run, "id bigint, kind string, carry string, body binary")
 

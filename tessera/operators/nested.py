@@ -99,8 +99,8 @@ def read_flat(spark: SparkSession, path: str, tag: str) -> DataFrame:
 def missing_parts(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, cell_pos, nested_field) for each cell of the tables below ``path`` and part of which it has no row.
 
-    Cells and parts are counted by their link, the cell's key. The rows of a cell were written by one task, in
-    order, so partial aggregates take them together before the only shuffle.
+    Cells and parts meet by their link, the cell's key: one shuffle of a narrow row for each of them; the points of
+    an outline are one row there.
     """
     parts = ("bbox", "centroid", "contour")
     link = None

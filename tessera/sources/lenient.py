@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 CELL_CONTAINERS = ("cells", "nuclei", "detections", "instances")
@@ -142,6 +143,8 @@ def outline(cell: dict) -> list[list[float]]:
 
 def plain(value):
     """A scalar in one form: numbers as float, quoted numbers and booleans unquoted."""
+    if type(value) is float and -1e300 < value < 1e300:
+        return value + 0.0
     if isinstance(value, str) and value.strip().lower() in ("true", "false"):
         return value.strip().lower() == "true"
     if isinstance(value, bool) or value is None:
@@ -158,11 +161,15 @@ def cell_parts(cell: dict) -> dict:
 _text = json.JSONEncoder(default=str).encode
 
 
-def canonical(kind: str | None, record: dict) -> str:
+def canonical(kind: str | None, record: dict) -> bytes:
     """Equal for records that say the same, whatever the spelling of their parts."""
     if kind == "index":
-        said_by = [plain(record.get(k)) for k in ("x0", "y0", "has_multiplex", "multiplex_overlap_fraction", "has_mask")]
-    else:
-        parts = cell_parts(record)
-        said_by = [parts["centroid"], parts["contour"], parts["bbox"], plain(record.get("type_cellvit")), record.get("type_name") or None, plain(record.get("type_prob"))]
-    return _text(said_by)
+        return _text([plain(record.get(k)) for k in ("x0", "y0", "has_multiplex", "multiplex_overlap_fraction", "has_mask")]).encode()
+    parts = cell_parts(record)
+    centroid, bbox = parts["centroid"], parts["bbox"]
+    numbers_ = array("d", centroid or ())
+    numbers_.extend(bbox or ())
+    for point in parts["contour"]:
+        numbers_.extend(point)
+    head = [centroid is None, bbox is None, plain(record.get("type_cellvit")), record.get("type_name") or None, plain(record.get("type_prob"))]
+    return _text(head).encode() + numbers_.tobytes()
