@@ -75,9 +75,9 @@ def binary_column(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def token_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word-and-punctuation tokens of each text, and how many of them are words."""
-    n, words = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+def token_counts(texts: list[bytes], prompt_end: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Word-and-punctuation tokens of each text, and how many of them start behind the first ``prompt_end`` (all where there is none)."""
+    n, behind = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for a, b in chunks(texts):
         data = np.frombuffer(b"\n" + b"\n".join(texts[a:b]), np.uint8)
         kind = WORD_PUNCT[data]
@@ -85,8 +85,10 @@ def token_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
         at = np.concatenate([[0], np.searchsorted(starts, ends, "right")])
         n[a:b] = np.diff(at)
-        words[a:b] = np.diff(np.concatenate([[0], np.cumsum(kind[starts] == 1)])[at])
-    return n, words
+        cuts = np.array([max(t.find(prompt_end), 0) for t in texts[a:b]])
+        begin = np.concatenate([[0], ends[:-1]]) + 1
+        behind[a:b] = at[1:] - np.searchsorted(starts, begin + cuts)
+    return n, behind
 
 
 def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -117,6 +119,22 @@ def placed_words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield first + index, hashes, pos
 
 
+def whole_words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``placed_words`` with all words of a text in one part, however long the text."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for part in placed_words(texts):
+        long = len(part[0]) and part[0][0] == part[0][-1] and len(texts[part[0][0]]) >= _SEGMENT
+        if held and (not long or held[-1][0][0] != part[0][0]):
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+        if long:
+            held.append(part)
+        else:
+            yield part
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letter = _LETTER[data]
     control = np.flatnonzero(letter[1:] & (data[:-1] == 92)) + 1

@@ -18,9 +18,10 @@ from tessera.llm.texts import documents
 from tessera.sources.tables import materialize
 
 #: Bytes of evaluation text in a block: bounds the terms that are sent to the tasks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 KEYS = ["item_id", "field", "version"]
 ROW = ["doc_id", "copy"]
+_MASK = (1 << 64) - 1
 
 
 def item_terms(items: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -62,15 +63,53 @@ def term_counts(docs: DataFrame, vocabulary) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def postings(docs: DataFrame, vocabulary) -> DataFrame:
-    """(term, doc_id, copy, pos) of each occurrence of the broadcast terms; pos counts all words of the document."""
+def _pairs(patterns: DataFrame) -> dict[str, np.ndarray]:
+    """Patterns as arrays sorted by their first term; a block bounds their number."""
+    rows = sorted(((int(a) & _MASK, int(b) & _MASK, int(g)) for a, b, g in patterns.select("a_term", "b_term", "gap").collect()))
+    return {n: np.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("a", np.uint64), ("b", np.uint64), ("gap", np.int64)))}
+
+
+def _holds_pair(hashes: np.ndarray, index: np.ndarray, pairs: dict[str, np.ndarray]) -> np.ndarray:
+    """Of texts (index of each word's text, in order) those that hold the two terms of some pattern at its distance."""
+    low, high = np.searchsorted(pairs["a"], hashes, "left"), np.searchsorted(pairs["a"], hashes, "right")
+    hit = np.flatnonzero(high > low)
+    found, times = [], (high - low)[hit]
+    ends = np.cumsum(times)
+    for a, b in _slices(ends, 1 << 20):
+        word = np.repeat(hit[a:b], times[a:b])
+        which = np.arange(len(word)) - np.repeat(np.cumsum(times[a:b]) - times[a:b], times[a:b]) + np.repeat(low[hit[a:b]], times[a:b])
+        other = word + pairs["gap"][which]
+        ok = (other >= 0) & (other < len(hashes))
+        word, other, which = word[ok], other[ok], which[ok]
+        ok = (hashes[other] == pairs["b"][which]) & (index[other] == index[word])
+        found.append(np.unique(index[word[ok]]))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sizes, given by their running total, are about ``most`` together, at least one each."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def postings(docs: DataFrame, vocabulary, pairs) -> DataFrame:
+    """(term, doc_id, copy, pos) of each occurrence of the broadcast terms in the documents that hold a broadcast pair of terms at its distance.
+
+    ``pos`` counts all words of the document. So a document enters the index only with a chance to match, however
+    common a term is. Documents in several pieces are taken whole: their words are gathered first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = vocabulary.value
         for batch in batches:
             ids, copies, texts = batch.column(0), batch.column(1), kernels.binary_column(batch.column(2))
-            for index, hashes, pos in kernels.placed_words(texts):
-                hit = np.flatnonzero(_lookup(hashes, terms) >= 0)
+            for index, hashes, pos in kernels.whole_words(texts):
+                kept = np.isin(index, _holds_pair(hashes, index, pairs.value))
+                hit = np.flatnonzero(kept)
+                hit = hit[_lookup(hashes[hit], terms) >= 0]
                 row = pa.array(index[hit])
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[hit].view(np.int64)), ids.take(row), copies.take(row), pa.array(pos[hit].astype(np.int64))], names=["term", *ROW, "pos"])
 
@@ -89,25 +128,32 @@ def _rarest(terms: DataFrame, counts: DataFrame, words: int) -> DataFrame:
     return windows.where(a["n"] > 0).select(*KEYS, a["term"].alias("a_term"), a["pos"].alias("a_pos"), b["term"].alias("b_term"), b["pos"].alias("b_pos")).distinct()
 
 
+NOTHING = "doc_id bigint, item_id bigint, field string, first_word bigint, longest_run bigint, n_matched bigint"
+
+
 def _block_matches(docs: DataFrame, terms: DataFrame, words: int) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     vocabulary = _vocabulary(terms)
     if not len(vocabulary):
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, field string, first_word bigint, longest_run bigint, n_matched bigint")
-    known = sc.broadcast(vocabulary)
+        return spark.createDataFrame([], NOTHING)
+    known = spark.sparkContext.broadcast(vocabulary)
     rare = materialize(_rarest(terms, term_counts(docs, known), words), "rare")
-    wanted = _vocabulary(rare.select(F.explode(F.array("a_term", "b_term")).alias("term")))
-    if not len(wanted):
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, field string, first_word bigint, longest_run bigint, n_matched bigint")
-    index = materialize(postings(docs, sc.broadcast(wanted)), "postings")
-    # offset-adjusted intersection of the two rarest lists of each window
-    first = index.join(rare, index.term == rare.a_term).select(*ROW, *KEYS, (F.col("pos") - F.col("a_pos")).alias("shift"), "b_term", (F.col("pos") - F.col("a_pos") + F.col("b_pos")).alias("b_at"))
+    # what windows have in common: two terms and their distance, each once
+    patterns = rare.select("a_term", "b_term", (F.col("b_pos") - F.col("a_pos")).alias("gap")).distinct()
+    pairs = _pairs(patterns)
+    if not len(pairs["a"]):
+        return spark.createDataFrame([], NOTHING)
+    index = materialize(postings(docs, known, spark.sparkContext.broadcast(pairs)), "postings")
+    # offset-adjusted intersection of the two rarest lists; a block bounds patterns, places and terms, so the lists stay where they are
+    pattern = F.broadcast(patterns.withColumnRenamed("a_term", "term"))
+    first = index.join(pattern, "term").select(*ROW, F.col("term").alias("a_term"), "pos", "b_term", "gap", (F.col("pos") + F.col("gap")).alias("b_at"))
     second = index.select(*ROW, F.col("term").alias("b_term"), F.col("pos").alias("b_at"))
-    placed = materialize(first.join(second, [*ROW, "b_term", "b_at"], "left_semi").select(*ROW, *KEYS, "shift").distinct(), "placed")
-    # the lists of all terms, in the documents that are left
-    full = postings(docs.join(placed.select(*ROW).distinct(), ROW, "left_semi"), known)
-    expected = placed.join(terms, KEYS).select(*ROW, *KEYS, "shift", "term", F.col("pos").alias("word"), (F.col("shift") + F.col("pos")).alias("pos"))
-    matched = expected.join(full, [*ROW, "term", "pos"], "left_semi")
+    met = first.join(second, [*ROW, "b_term", "b_at"], "left_semi")
+    places = F.broadcast(rare.select(*KEYS, "a_term", "b_term", "a_pos", (F.col("b_pos") - F.col("a_pos")).alias("gap")))
+    placed = materialize(met.join(places, ["a_term", "b_term", "gap"]).select(*ROW, *KEYS, (F.col("pos") - F.col("a_pos")).alias("shift")).distinct(), "placed")
+    # the lists of all terms at the places where each text's words would stand
+    expected = placed.join(F.broadcast(terms), KEYS).select(*ROW, *KEYS, "shift", "term", F.col("pos").alias("word"), (F.col("shift") + F.col("pos")).alias("pos"))
+    matched = expected.join(index, [*ROW, "term", "pos"], "left_semi")
     by = Window.partitionBy(*ROW, *KEYS, "shift").orderBy("word")
     runs = matched.withColumn("run", F.col("word") - F.row_number().over(by)).groupBy(*ROW, *KEYS, "shift", "run").agg(F.count("*").alias("n"))
     return runs.groupBy(*ROW, *KEYS, "shift").agg(F.max("n").alias("longest_run"), F.sum("n").alias("n_matched")).withColumnRenamed("shift", "first_word").drop("version", "copy")
@@ -120,8 +166,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str, text_cols: list[str]
     of at least ``words`` words are returned (exact phrases); placements whose two rarest terms of some
     window stand right, but that are broken elsewhere, come with a shorter run (proximity matches). Texts
     of fewer words, null texts and null items match nothing; repeated items each match; null and empty
-    documents match nothing; different texts under one doc_id are matched each. Every document is read whole; per block, the corpus is read twice and the
-    documents with a placement a third time.
+    documents match nothing; different texts under one doc_id are matched each. Every document is read whole,
+    twice for a block of items: for the counts of the terms, and for their places.
     """
     docs, terms = documents(docs), item_terms(items, id_col, text_cols)
     size = items.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text_cols), F.lit(0)))).first()[0] or 0

@@ -17,20 +17,23 @@ from tessera.sources.tables import materialize
 
 @dataclass(frozen=True)
 class Limits:
-    """What one container holds at most: tokens, segments (pieces), and loss-bearing tokens (words)."""
+    """What one container holds at most: tokens, segments (pieces), and loss-bearing tokens (those behind the prompt)."""
 
     tokens: int = 2048
     segments: int = 64
     loss_tokens: int = 2048
 
 
-def count_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, n_loss): tokens of the word-and-punctuation tokenizer in ASCII over whole texts; null and empty texts have 0."""
+def count_tokens(docs: DataFrame, id_col: str, text_col: str, prompt_end: str = "\n\n") -> DataFrame:
+    """(id, n_tokens, n_loss): tokens of the word-and-punctuation tokenizer in ASCII over whole texts; null and empty texts have 0.
+
+    The prompt ends at the first ``prompt_end`` (by default an empty line); the tokens behind it bear loss, or all where it is absent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, words = kernels.token_counts(kernels.binary_column(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(words)], names=["id", "n_tokens", "n_loss"])
+            n, loss = kernels.token_counts(kernels.binary_column(batch.column(1)), prompt_end.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(loss)], names=["id", "n_tokens", "n_loss"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id bigint, n_tokens bigint, n_loss bigint")
 
@@ -38,16 +41,17 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def pieces(counts: DataFrame, limits: Limits) -> DataFrame:
     """(id, piece, n_pieces, tok_from, tok_to, loss): one piece per item, more only where the item exceeds a container.
 
-    An item beyond the token or the loss limit is cut into full containers and a rest; loss is spread over
-    the pieces in proportion. Items without tokens have no piece.
+    An item beyond the token or the loss limit is cut into equal pieces that keep both, and a rest. Loss lies on the
+    last ``n_loss`` tokens of an item. Items without tokens have no piece.
     """
-    step = F.least(F.lit(limits.tokens), F.floor(F.lit(limits.loss_tokens) * F.col("n_tokens") / F.greatest("n_loss", F.lit(1)))).cast("bigint")
-    cut = counts.where("n_tokens > 0").withColumn("step", F.when((F.col("n_tokens") <= limits.tokens) & (F.col("n_loss") <= limits.loss_tokens), F.col("n_tokens")).otherwise(F.greatest(step, F.lit(1))))
+    fits, least = (F.col("n_tokens") <= limits.tokens) & (F.col("n_loss") <= limits.loss_tokens), min(limits.tokens, limits.loss_tokens)
+    step = F.when(fits, F.col("n_tokens")).when(F.col("n_loss") <= limits.loss_tokens, limits.tokens).otherwise(least).cast("bigint")
+    cut = counts.where("n_tokens > 0").withColumn("step", step)
     each = cut.withColumn("n_pieces", F.ceil(F.col("n_tokens") / F.col("step")).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     start = F.col("piece") * F.col("step")
     stop = F.least(start + F.col("step"), F.col("n_tokens"))
-    loss = F.floor(stop * F.col("n_loss") / F.col("n_tokens")) - F.floor(start * F.col("n_loss") / F.col("n_tokens"))
-    return each.select("id", "piece", "n_pieces", start.alias("tok_from"), stop.alias("tok_to"), F.least(loss, F.lit(limits.loss_tokens)).alias("loss"))
+    loss = F.greatest(stop - F.greatest(start, F.col("n_tokens") - F.col("n_loss")), F.lit(0))
+    return each.select("id", "piece", "n_pieces", start.alias("tok_from"), stop.alias("tok_to"), loss.alias("loss"))
 
 
 def _fill(size: np.ndarray, loss: np.ndarray, limits: Limits) -> np.ndarray:

@@ -133,6 +133,23 @@ def p6_tokens(spark: SparkSession, d: str) -> DataFrame:
     return packed.agg(F.count_distinct("id").alias("n_docs"), F.count("*").alias("n_pieces"), F.sum(F.col("tok_to") - F.col("tok_from")).alias("n_tokens"))
 
 
+INSTRUCTION = packing.Limits(tokens=2048, segments=4, loss_tokens=1700)
+
+
+def p6_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """The packing under limits of which each binds somewhere: what it carries, whether all limits hold, and which are reached.
+
+    ``tight``: at most 15 % more containers than the scarcest limit asks for.
+    """
+    packed = packing.packed_documents(_documents(spark, d), INSTRUCTION)
+    each = packed.groupBy("container").agg(F.sum(F.col("tok_to") - F.col("tok_from")).alias("t"), F.count("*").alias("s"), F.sum("loss").alias("l"), F.count_if("piece = 0").alias("docs"))
+    limits = (("t", INSTRUCTION.tokens), ("s", INSTRUCTION.segments), ("l", INSTRUCTION.loss_tokens))
+    within = F.min(F.least(*[(F.col(c) <= most).cast("int") for c, most in limits])) == 1
+    reached = [(F.max(c) >= 0.99 * most).alias(f"{name}_bind") for (c, most), name in zip(limits, ("tokens", "segments", "loss"))]
+    least = F.greatest(*[F.ceil(F.sum(c) / most) for c, most in limits])
+    return each.agg(F.sum("docs").alias("n_docs"), F.sum("s").alias("n_pieces"), F.sum("t").alias("n_tokens"), F.sum("l").alias("n_loss"), within.alias("within"), *reached, (F.count("*") <= F.ceil(least * 1.15)).alias("tight"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.matches(_documents(spark, d), table(spark, d, "eval_items"), "item_id", ["passage", "question"])
 
@@ -179,7 +196,9 @@ def _percentile_sql(by: str) -> str:
 
 _TOKENS_SQL = r"WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]+')) AS n FROM documents) "
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_day_percentiles, p4_slide_percentiles, p4_rank_errors, p6_found, p6_fill, p6_tokens, p7_found, p7_placements, p8_found)}
+_LOSS_SQL = r"WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]+')) AS n, len(regexp_extract_all(CASE WHEN strpos(text, chr(10) || chr(10)) > 0 THEN substr(text, strpos(text, chr(10) || chr(10))) ELSE text END, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]+')) AS l FROM documents) "
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_day_percentiles, p4_slide_percentiles, p4_rank_errors, p6_found, p6_fill, p6_tokens, p6_instructions, p7_found, p7_placements, p8_found)}
 ORACLE = {
     "p3_found": _TOP_SQL + "SELECT DISTINCT cell_id FROM r WHERE group_rank <= 3",
     "p3_ranked": _TOP_SQL + "SELECT slide_id, x0, y0, cell_type, cell_id, group_rank FROM r WHERE group_rank <= 3",
@@ -188,5 +207,6 @@ ORACLE = {
     "p4_slide_percentiles": _percentile_sql("slide_id, channel"),
     "p4_rank_errors": _MEDIAN_SQL + "SELECT channel, count(*) AS n_readings, 0 AS n_missed FROM v GROUP BY channel",
     "p6_found": _TOKENS_SQL + "SELECT doc_id FROM t WHERE n > 2048",
+    "p6_instructions": _LOSS_SQL + "SELECT count(*) AS n_docs, sum(CASE WHEN n <= 2048 AND l <= 1700 THEN 1 WHEN l <= 1700 THEN ceil(n / 2048.0) ELSE ceil(n / 1700.0) END)::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens, sum(l)::BIGINT AS n_loss, TRUE AS within, TRUE AS tokens_bind, TRUE AS segments_bind, TRUE AS loss_bind, TRUE AS tight FROM t WHERE n > 0",
     "p6_tokens": _TOKENS_SQL + "SELECT count(*) AS n_docs, sum(ceil(n / 2048.0))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens FROM t WHERE n > 0",
 }

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ AWKWARD = ["", " ", "a", "é", "\\alpha2 b\\\\beta c", "x" * 5000, "word " * 900
 
 def test_token_counts():
     texts = [*AWKWARD, *(" ".join(random.Random(i).choices(["ab", "--", "_", "é!", "\n"], k=50)) for i in range(50))]
-    n, words = kernels.token_counts([t.encode() for t in texts])
+    texts += ["a b\n\nc d", "\n\nx", "a\n\n", "one\n\ntwo\n\nthree " * 3]
+    n, loss = kernels.token_counts([t.encode() for t in texts], b"\n\n")
     assert n.tolist() == [len(TOKEN.findall(t)) for t in texts]
-    assert words.tolist() == [sum(x[0].isascii() and (x[0].isalnum() or x[0] == "_") for x in TOKEN.findall(t)) for t in texts]
+    assert loss.tolist() == [len(TOKEN.findall(t.split("\n\n", 1)[-1])) for t in texts]
 
 
 def plain_words(text):
@@ -72,6 +74,8 @@ def test_packing_keeps_every_token_within_the_limits(spark):
     boxes = {}
     for x in rows:
         boxes.setdefault(x.container, []).append(x)
+    marked = {i: counts_[1] for i, counts_ in enumerate((r_.n_tokens, r_.n_loss) for r_ in counts.orderBy("id").collect())}
+    assert all(sum(x.loss for x in rows if x.id == i) == marked[i] for i in marked if sizes[i])
     assert all(sum(x.tok_to - x.tok_from for x in b) <= 2048 and len(b) <= 5 and sum(x.loss for x in b) <= 2048 for b in boxes.values())
     assert packing.pack(counts.limit(0)).count() == 0
     tight = packing.pack(counts, packing.Limits(2048, 64, 500), shard_items=100).groupBy("container").agg(F.sum("loss").alias("l")).agg(F.max("l")).first()[0]
@@ -167,8 +171,9 @@ def shared(docs, stretch):
     return out
 
 
-@pytest.mark.parametrize(("seed", "stretch", "size"), [(1, 40, 16), (2, 40, 4), (3, 21, 16), (4, 60, 7)])
-def test_shared_spans_equal_brute_force(spark, seed, stretch, size):
+@pytest.mark.parametrize(("seed", "stretch", "size", "most_bits"), [(1, 40, 16, 28), (2, 40, 4, 28), (3, 21, 16, 28), (4, 60, 7, 28), (1, 40, 16, 2), (3, 21, 16, 2)])
+def test_shared_spans_equal_brute_force(spark, seed, stretch, size, most_bits):
+    bits = 12 if most_bits == 28 else 21  # else four blocks, not broadcast
     r = random.Random(seed)
     letters = "abc é日\n" if seed % 2 else "ab"
     make = lambda n: "".join(r.choices(letters, k=n))
@@ -185,7 +190,7 @@ def test_shared_spans_equal_brute_force(spark, seed, stretch, size):
     if seed > 2:  # rows that repeat an id, with the same and with another text; a row without an id
         docs += [docs[7], (8, docs[9][1] + "!"), (None, docs[10][1])]
     frame = spark.createDataFrame(docs, DOCS).withColumn("start", F.lit("clash"))
-    got = {x.doc_id: x.shared_chars for x in spans.shared_characters(frame, stretch, bits=12, size=size).collect()}
+    got = {x.doc_id: x.shared_chars for x in spans.shared_characters(frame, stretch, bits=bits, size=size, most_bits=most_bits).collect()}
     assert got == shared(docs, stretch) and len(got) > 20
 
 
@@ -214,6 +219,23 @@ def test_sketch_counts_merge(spark):
     hashes = kernels.mix(np.arange(1000, dtype=np.uint64))
     parts = [list(s.add(h)) + list(s.flush()) for s, h in ((spans._Sketch(16, i), h) for i, h in enumerate((hashes[:600], hashes[500:])))]
     rows = [row for part in parts for batch in part for row in batch.to_pylist()]
-    planes = spans._merged(spark.createDataFrame([tuple(x.values()) for x in rows], spans.SKETCH_SCHEMA), 16)
+    planes = spans._planes(spans._merged(spark.createDataFrame([tuple(x.values()) for x in rows], spans.SKETCH_SCHEMA), 16), 16)
     twice = spans._repeated(hashes, planes, 16)
     assert twice[500:600].all() and twice.sum() < 130  # overestimates, never under
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_sketch_grown_with_its_corpus_drops_what_is_unique(spark, broadcast):
+    n, again = 400_000, 20_000
+    hashes = kernels.mix(np.arange(n, dtype=np.uint64))
+    bits = spans._width(n)
+    assert bits > spans._BLOCK_BITS and (1 << bits) >= spans.LOAD * n / 2 and spans._width(10**13) > spans.MOST_BITS  # no cap
+    sketches = [(spans._Sketch(bits, part), hashes[: n if part else again]) for part in (0, 1)]
+    rows = pa.Table.from_batches([batch for s, h in sketches for batch in (*s.add(h), *s.flush())])
+    merged = spans._merged(spark.createDataFrame(rows), bits)
+    if broadcast:
+        kept = set(np.flatnonzero(spans._repeated(hashes, spans._planes(merged, bits), bits)).tolist())
+    else:
+        frame = spark.createDataFrame(pa.table({"doc_id": np.arange(n), "hash": hashes.view(np.int64)}))
+        kept = {r.doc_id for r in spans.at_blocks(frame, merged, bits).collect()}
+    assert kept >= set(range(again)) and len(kept) < again + n // 10
