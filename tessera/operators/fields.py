@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import kernels
-from tessera.operators.rasters import tile_map
+from tessera.operators import rasters
+from tessera.sources.tables import materialize
 
 #: Uptake base and weights, diffusion limits in um.
 BASE, DEMAND, IMMUNE = 0.1, 0.3, 0.1
 OXYGEN_UM, GLUCOSE_UM = 160.0, 450.0
 
 
-def distance(pixels: DataFrame, keys: Sequence[str], side: int, on: str = "on") -> DataFrame:
-    """``dist``: pixels to the nearest on pixel of the tile; infinite where the tile has none."""
-    return tile_map(pixels, keys, side, [on], lambda a: {"dist": kernels.edt(a[on] > 0)}, {"dist": "double"})
+def distance(pixels: DataFrame, keys: Sequence[str], on: str = "on") -> DataFrame:
+    """(keys, x, y, dist): pixels to the nearest on pixel (above 0) of the tile; infinite where the tile has none.
+
+    Down each column by a window over the column, then across: a line's columns are one array, of which each pixel
+    takes the least of squared shift plus squared column distance. ``pixels`` has a row for every pixel.
+    """
+    column = Window.partitionBy(*keys, "x").orderBy("y")
+    here = F.when(F.col(on) > 0, F.col("y"))
+    above = F.last(here, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.first(here, ignorenulls=True).over(column.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    down = pixels.select(*keys, "x", "y", F.least(F.col("y") - above, below - F.col("y")).cast("double").alias("__d"))
+    lines = down.groupBy(*keys, "y").agg(F.collect_list(F.struct("x", (F.col("__d") * F.col("__d")).alias("d2"))).alias("__c"))
+    lines = lines.withColumn("__n", F.filter("__c", lambda c: c["d2"].isNotNull()))
+    across = lambda p: F.array_min(F.transform("__n", lambda c: (c["x"] - p["x"]) * (c["x"] - p["x"]) + c["d2"]))
+    out = F.transform("__c", lambda p: F.struct(p["x"].alias("x"), F.coalesce(F.sqrt(across(p)), F.lit(float("inf"))).alias("dist")))
+    return lines.select(*keys, "y", F.explode(out).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.dist").alias("dist"))
 
 
 def clamped(dist: Column, mpp: float, limit_um: float) -> Column:
@@ -40,14 +54,131 @@ def decay(on: Column, dist: Column, k: Column, mpp: float, limit_um: float, base
     return F.when(on, 1.0).otherwise(F.exp(-dist * F.sqrt(k / base) * mpp / limit_um))
 
 
-def diffused(pixels: DataFrame, keys: Sequence[str], side: int, source: str, k: str, steps: int, tol: float = 1e-12) -> DataFrame:
-    """``u`` after at most ``steps`` Jacobi steps of the steady-state equation on each tile."""
-    return tile_map(pixels, keys, side, [source, k], lambda a: {"u": kernels.diffusion(a[source], a[k], max_steps=steps, tol=tol)}, {"u": "double"})
+def _lines(pixels: DataFrame, keys: Sequence[str], source: str, k: str) -> DataFrame:
+    """One row a line, with its places, clipped sources and rates in order, and a field of 0."""
+    clip = F.struct("x", F.least(F.greatest(F.col(source), F.lit(0.0)), F.lit(1.0)).alias("s"), F.greatest(F.col(k), F.lit(0.0)).alias("k"))
+    lines = pixels.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(clip)).alias("__p"))
+    return lines.withColumns({"u": F.transform("__p", lambda _: F.lit(0.0)), "__moved": F.lit(0.0)})
+
+
+def _relaxed(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One step: each pixel takes what its four neighbours, its source and its uptake balance to; at an edge the pixel is its own neighbour."""
+    tile = Window.partitionBy(*keys).orderBy("y")
+    near = lines.withColumns({"__a": F.coalesce(F.lag("u").over(tile), "u"), "__b": F.coalesce(F.lead("u").over(tile), "u")})
+
+    def balance(p: Column, i: Column) -> Column:
+        own = F.get("u", i)
+        around = F.coalesce(F.get("u", i - 1), own) + F.coalesce(F.get("u", i + 1), own) + F.get("__a", i) + F.get("__b", i)
+        return F.least(F.greatest((around + p["s"]) / (p["k"] + 4.0), F.lit(0.0)), F.lit(1.0))
+
+    step = near.select(*keys, "y", "__p", F.col("u").alias("__u"), F.transform("__p", balance).alias("u"))
+    moved = F.array_max(F.zip_with("u", "__u", lambda a, b: F.abs(a - b)))
+    return step.select(*keys, "y", "__p", "u", moved.alias("__moved"))
+
+
+def _pixels(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return lines.select(*keys, "y", F.explode(F.arrays_zip(F.col("__p.x").alias("x"), "u")).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.u").alias("u"))
 
 
-def steady(pixels: DataFrame, keys: Sequence[str], side: int, source: str, k: str) -> DataFrame:
-    """``u`` of the steady-state equation on each tile, by Jacobi steps to the kernel's own tolerance and limit of steps."""
-    return tile_map(pixels, keys, side, [source, k], lambda a: {"u": kernels.diffusion(a[source], a[k])}, {"u": "double"})
+def diffused(pixels: DataFrame, keys: Sequence[str], source: str, k: str, steps: int) -> DataFrame:
+    """(keys, x, y, u) after ``steps`` steps of the steady-state equation lap(u) - k u + s = 0 on each tile, edges mirrored, u from 0 to 1.
+
+    A row is a line of a tile; a step is a window over the tile's lines and expressions along them, so all
+    steps share one shuffle and one sort. ``pixels`` has a row for every pixel.
+    """
+    if steps < 1:
+        raise ValueError("at least one step")
+    lines = _lines(pixels, keys, source, k)
+    for _ in range(steps):
+        lines = _relaxed(lines, keys)
+    return _pixels(lines, keys)
+
+
+def steady(pixels: DataFrame, keys: Sequence[str], source: str, k: str, tol: float = 1e-4, most_steps: int = 500, at_once: int = 25) -> DataFrame:
+    """The field of ``diffused`` when no pixel of any tile moves by ``tol`` in a step any more, after ``most_steps`` at last.
+
+    Every ``at_once`` steps the field is written and the largest move looked at.
+    """
+    if tol <= 0 or most_steps < 1:
+        raise ValueError("tolerance and steps are above 0")
+    lines = _lines(pixels, keys, source, k)
+    for done in range(0, most_steps, at_once):
+        for _ in range(min(at_once, most_steps - done)):
+            lines = _relaxed(lines, keys)
+        lines = materialize(lines, "field")
+        if (lines.agg(F.max("__moved")).first()[0] or 0.0) < tol:
+            break
+    return _pixels(lines, keys)
+
+
+@dataclass(frozen=True)
+class LayerOptions:
+    """Columns by role (None where a panel has no such marker) and the parameters of the supply layers."""
+
+    cd31: str
+    ki67: str
+    sma: str | None = None
+    pcna: str | None = None
+    mpp: float = 1.0
+    oxygen_um: float = OXYGEN_UM
+    glucose_um: float = GLUCOSE_UM
+    sma_reach: int = 2
+    open_size: int = 0
+    close_size: int = 0
+    min_area: int = 0
+    noisy: float = 0.98
+    bin_um: float = 10.0
+
+    def __post_init__(self) -> None:
+        rasters.ellipse(self.open_size), rasters.ellipse(self.close_size)
+        if not 0 < self.noisy <= 1:
+            raise ValueError("noisy must be in (0, 1]")
+        if self.min_area < 0 or self.sma_reach < 0:
+            raise ValueError("min_area and sma_reach must be >= 0")
+        if self.bin_um <= 0 or self.mpp <= 0:
+            raise ValueError("bin_um and mpp must be > 0")
+
+
+def _strong(pixels: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """The pixels with ``name``: above Otsu's level of 256 levels of the value between its 1st and 99th percentile."""
+    levels = rasters.percentile_norm(pixels, keys, value).withColumn("__level", F.floor(F.col("norm") * 255).cast("int"))
+    limit = rasters.otsu(levels, keys, "__level")
+    return levels.join(limit, list(keys)).withColumn(name, F.col("__level") > F.col("threshold")).drop("__level", "threshold", "norm")
+
+
+def vessel_mask(pixels: DataFrame, keys: Sequence[str], o: LayerOptions) -> tuple[DataFrame, DataFrame]:
+    """Vessels (keys, x, y, vessel) of every tile, and (keys, coverage, status) of how they were found: ok, noisy_fallback, empty_fallback or empty."""
+    at = [*keys, "x", "y"]
+    found = _strong(pixels, keys, o.cd31, "plain")
+    mask = found.select(*at, F.col("plain").alias("on"))
+    if o.sma:
+        near = rasters.dilate(mask, keys, "on", rasters.ellipse(2 * o.sma_reach + 1)).withColumnRenamed("on", "near")
+        muscle = _strong(found, keys, o.sma, "muscle").select(*at, "plain", "muscle")
+        mask = muscle.join(near, at).select(*at, (F.col("plain") | (F.col("muscle") & F.col("near"))).alias("on"))
+    cleaned = rasters.clean(mask, keys, "on", o.open_size, o.close_size, o.min_area)
+    both = materialize(found.select(*at, "plain").join(cleaned, at), "masks")
+    status = rasters.mask_status(both, F.col("on"), F.col("plain"), keys, o.noisy)
+    chosen = both.join(status, list(keys)).select(*at, F.when(F.col("status") == "ok", F.col("on")).otherwise(F.col("plain")).alias("vessel"))
+    return chosen, status
+
+
+def layers(pixels: DataFrame, keys: Sequence[str], o: LayerOptions) -> DataFrame:
+    """(keys, x, y, vessel, dist_um, proliferation, oxygen, glucose, status) of every pixel: vessel mask and supply maps in [0, 1], 1 at a vessel.
+
+    ``pixels`` has a row for every pixel and the columns named in ``o``; a tile without vessels has infinite distances and no supply.
+    """
+    at = [*keys, "x", "y"]
+    pixels = materialize(pixels.select(*at, *dict.fromkeys(c for c in (o.cd31, o.ki67, o.sma, o.pcna) if c)), "pixels")
+    mask, status = vessel_mask(pixels, keys, o)
+    dist = distance(mask.withColumn("on", F.col("vessel").cast("int")), keys).withColumn("dist_um", F.col("dist") * o.mpp)
+    demand = rasters.percentile_norm(pixels, keys, o.ki67).select(*at, F.col("norm").alias("proliferation"), F.col("norm").alias("__demand"))
+    if o.pcna:
+        other = rasters.percentile_norm(pixels, keys, o.pcna).select(*at, F.col("norm").alias("__other"))
+        demand = demand.join(other, at).select(*at, "proliferation", F.greatest("__demand", "__other").alias("__demand"))
+    made = dist.join(demand, at).join(status.select(*keys, "status"), list(keys))
+    oxygen = 1 - clamped(F.col("dist"), o.mpp, o.oxygen_um)
+    glucose = decay(F.col("dist") == 0, F.least(F.col("dist"), F.lit(1e9)), uptake(F.col("__demand")), o.mpp, o.glucose_um)
+    return made.select(*at, (F.col("dist") == 0).alias("vessel"), "dist_um", "proliferation", oxygen.alias("oxygen"), glucose.alias("glucose"), "status")
 
 
 def profile(pixels: DataFrame, distance_um: Column, value: Column, bin_um: float, limit_um: float) -> DataFrame:
@@ -57,7 +188,7 @@ def profile(pixels: DataFrame, distance_um: Column, value: Column, bin_um: float
     """
     if bin_um <= 0:
         raise ValueError("bin must be > 0")
-    n = int(np.ceil(limit_um / bin_um)) + 1
+    n = math.ceil(limit_um / bin_um) + 1
     spark = pixels.sparkSession
     at = F.least(F.greatest(F.floor(distance_um / bin_um), F.lit(0)), F.lit(n - 1)).cast("int")
     sums = pixels.withColumn("bin", at).groupBy("bin").agg(F.sum(value).alias("total"), F.count("*").alias("pixel_count"))

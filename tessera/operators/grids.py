@@ -53,6 +53,19 @@ def overlap_share(x0: Column, y0: Column, size: Column, width: Column, height: C
     return F.when(inside, 1.0).otherwise(w.cast("double") * h / (size.cast("double") * size + 1e-9))
 
 
+def overlapping(patches: DataFrame, least: float) -> DataFrame:
+    """The patches whose ``overlap`` is ``least`` or more."""
+    if not 0 <= least <= 1:
+        raise ValueError("an overlap is a share from 0 to 1")
+    return patches.where(F.col("overlap") >= least)
+
+
+def inside(x: int, y: int, width: int, height: int, img_w: int, img_h: int) -> None:
+    """ValueError unless a box lies inside an image."""
+    if min(x, y) < 0 or min(width, height) < 1 or x + width > img_w or y + height > img_h:
+        raise ValueError(f"the box {x},{y},{width},{height} is not inside {img_w} x {img_h}")
+
+
 def dense_window(points: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     """Per key the window of ``size`` with most points (first in row-major order), its origin kept inside the image.
 

@@ -1,20 +1,17 @@
-"""Raster operators. Pixels are rows (keys, x, y, values); whole tiles are arrays inside one row.
+"""Raster operators. Pixels are rows (keys, x, y, values), a tile is what ``keys`` name.
 
-Pixel rows serve overviews, masks and small rasters; neighbourhood kernels run on one tile at a time, whose
-size the tiling bounds, so no group grows with the slide.
+Windows and groups are lines and pixels of one tile, whose size the tiling bounds, so none grows with the slide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Kernel = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
-
+from tessera.sources.tables import materialize
 
 def full_grid(pixels: DataFrame, keys: Sequence[str], side: int, values: Sequence[str]) -> DataFrame:
     """All ``side`` x ``side`` pixels of each key; absent pixels and null values are 0."""
@@ -23,35 +20,6 @@ def full_grid(pixels: DataFrame, keys: Sequence[str], side: int, values: Sequenc
     return grid.join(pixels.select(*keys, "x", "y", *values), [*keys, "x", "y"], "left").fillna(0, list(values))
 
 
-def tile_map(pixels: DataFrame, keys: Sequence[str], side: int, values: Sequence[str], kernel: Kernel, out: dict[str, str]) -> DataFrame:
-    """Pixel rows (keys, x, y, out) of ``kernel`` applied to each tile's arrays; absent pixels enter as 0.
-
-    One row a tile holds the tile's pixels, so tiles of one batch are handled without a grouped call each.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
-    tiles = pixels.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", *[F.col(v).cast("double").alias(v) for v in values])).alias("__p"))
-    types = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "bigint": pa.int64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ys, xs = (a.ravel().astype(np.int32) for a in np.mgrid[:side, :side])
-        for batch in batches:
-            lists = batch.column(len(keys))
-            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
-            columns = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", *values)}
-            for i in range(batch.num_rows):
-                part = slice(ends[i], ends[i + 1])
-                arrays = {v: np.zeros((side, side)) for v in values}
-                for v in values:
-                    arrays[v][columns["y"][part], columns["x"][part]] = columns[v][part]
-                made = kernel(arrays)
-                rows = side * side
-                keyed = [batch.column(k).take(pa.array(np.full(rows, i))) for k in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*keyed, pa.array(xs), pa.array(ys), *[pa.array(np.ascontiguousarray(made[n]).ravel()).cast(types[t]) for n, t in out.items()]], names=[*keys, "x", "y", *out])
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", x int, y int, " + ", ".join(f"{n} {t}" for n, t in out.items())
-    return tiles.mapInArrow(run, schema)
-
-
 def window_read(pixels: DataFrame, keys: Sequence[str], x0: int, y0: int, width: int, height: int, value: str = "v") -> DataFrame:
     """The window's pixels at window coordinates, 0 beyond the raster. Filters before it joins, so scans are pruned."""
     inside = pixels.where(F.col("x").between(x0, x0 + width - 1) & F.col("y").between(y0, y0 + height - 1))
@@ -127,6 +95,127 @@ def dilate_rect(on: DataFrame, keys: Sequence[str], side: int, radius: int) -> D
     return moved.where(F.col("x").between(0, side - 1) & F.col("y").between(0, side - 1)).distinct()
 
 
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """Offsets (dx, dy) of an elliptic element: row dy reaches round(r sqrt(1 - (dy/r)^2)) to each side; 0 and 1 are the pixel itself."""
+    if size < 0 or (size and size % 2 == 0):
+        raise ValueError(f"an element has a centre: its size is odd, or 0 for none, not {size}")
+    r = size // 2
+    reach = {dy: round(r * math.sqrt(1 - (dy / r) ** 2)) if r else 0 for dy in range(-r, r + 1)}
+    return [(dx, dy) for dy, w in reach.items() for dx in range(-w, w + 1)]
+
+
+def square(low: int, high: int) -> list[tuple[int, int]]:
+    """Offsets of a square from ``low`` to ``high`` in both directions."""
+    return [(dx, dy) for dy in range(low, high + 1) for dx in range(low, high + 1)]
+
+
+def _over_neighbours(mask: DataFrame, keys: Sequence[str], on: str, element: Sequence[tuple[int, int]], pick) -> DataFrame:
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in element])
+    told = mask.select(*keys, "x", "y", F.col(on).alias("__v"), F.explode(offsets).alias("o"))
+    told = told.select(*keys, (F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), "__v", (F.greatest(F.abs(F.col("o.dx")), F.abs(F.col("o.dy"))) == 0).alias("__own"))
+    # targets beyond the raster hear of others only; every element holds its centre
+    return told.groupBy(*keys, "x", "y").agg(pick("__v").alias(on), F.max("__own").alias("__own")).where("__own").drop("__own")
+
+
+def dilate(mask: DataFrame, keys: Sequence[str], on: str, element: Sequence[tuple[int, int]]) -> DataFrame:
+    """(keys, x, y, on): on where any pixel at the element's offsets is; ``mask`` has a row for every pixel, beyond it counts as off.
+
+    Each pixel tells its neighbours; maxima are taken within tasks before the one shuffle by tile and pixel.
+    """
+    return _over_neighbours(mask, keys, on, element, F.max)
+
+
+def erode(mask: DataFrame, keys: Sequence[str], on: str, element: Sequence[tuple[int, int]]) -> DataFrame:
+    """(keys, x, y, on): on where all pixels at the element's offsets are; beyond the mask counts as on."""
+    return _over_neighbours(mask, keys, on, element, F.min)
+
+
+def components(on: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, x, y, label) of on pixels, given once each: 8-connected components, numbered from 1 in scan order of their first pixels.
+
+    Runs of pixels in a line are the nodes, runs that touch one of the next line the edges. Every run takes the least name
+    among its own and its neighbours', then the name that its name has taken, until nothing changes; each round is
+    a written table of one row a run.
+    """
+    line = Window.partitionBy(*keys, "y").orderBy("x")
+    begins = F.coalesce(F.col("x") - F.lag("x").over(line) != 1, F.lit(True)).cast("int")
+    pixels = materialize(on.select(*keys, "x", "y").withColumn("__b", begins).withColumn("__run", F.sum("__b").over(line)).drop("__b"), "runs")
+    runs = pixels.groupBy(*keys, "y", "__run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("node", F.struct("y", F.col("x0").alias("x")))
+    runs = materialize(runs, "nodes")
+    below = runs.select(*keys, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("other"))
+    touch = runs.join(below, [*keys, "y"]).where("b0 <= x1 + 1 and b1 >= x0 - 1").select(*keys, "node", "other")
+    edges = materialize(touch.unionByName(touch.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))), "edges")
+    state = runs.select(*keys, "node", F.col("node").alias("root"))
+    while True:
+        heard = edges.join(state.withColumnsRenamed({"node": "other"}), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("root").alias("__least"))
+        nearer = state.join(heard, [*keys, "node"], "left").select(*keys, "node", F.col("root").alias("before"), F.least("root", F.coalesce("__least", "root")).alias("root"))
+        nearer = materialize(nearer, "nearer")
+        jumped = nearer.join(nearer.select(*keys, F.col("node").alias("root"), F.col("root").alias("further")), [*keys, "root"]).select(*keys, "node", F.col("further").alias("root"), "before")
+        jumped = materialize(jumped, "round")
+        state = jumped.drop("before")
+        if jumped.where("root <> before").isEmpty():
+            break
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("root"))
+    labels = state.withColumn("label", number).select(*keys, F.col("node.y").alias("y"), F.col("node.x").alias("x0"), "label")
+    named = runs.select(*keys, "y", "__run", "x0").join(labels, [*keys, "y", "x0"]).select(*keys, "y", "__run", "label")
+    return pixels.join(named, [*keys, "y", "__run"]).select(*keys, "x", "y", "label")
+
+
+def clean(mask: DataFrame, keys: Sequence[str], on: str, open_size: int = 0, close_size: int = 0, min_area: int = 0) -> DataFrame:
+    """(keys, x, y, on) of a mask with all its pixels after opening, closing and removal of components of fewer than ``min_area`` pixels, each optional."""
+    opening, closing = ellipse(open_size), ellipse(close_size)
+    if min_area < 0:
+        raise ValueError("a least area is not negative")
+    if open_size > 1:
+        mask = dilate(erode(mask, keys, on, opening), keys, on, opening)
+    if close_size > 1:
+        mask = erode(dilate(mask, keys, on, closing), keys, on, closing)
+    mask = mask.select(*keys, "x", "y", on)
+    if min_area > 1:
+        mask = materialize(mask, "mask")
+        label = components(mask.where(on), keys)
+        large = label.groupBy(*keys, "label").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_area).select(*keys, "label")
+        kept = label.join(large, [*keys, "label"]).select(*keys, "x", "y", F.lit(True).alias("__kept"))
+        mask = mask.join(kept, [*keys, "x", "y"], "left").select(*keys, "x", "y", F.coalesce("__kept", F.lit(False)).alias(on))
+    return mask
+
+
+def median_filter(pixels: DataFrame, keys: Sequence[str], value: str, size: int) -> DataFrame:
+    """(keys, x, y, value): the median over a square of an odd size, edges repeated; ``pixels`` has a row for every pixel.
+
+    One row a line with its values in order; the neighbour lines come by a window over the tile.
+    """
+    if size < 1 or size % 2 == 0:
+        raise ValueError(f"a median has a middle: the size is odd, not {size}")
+    r = size // 2
+    lines = pixels.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("x", F.col(value).alias("v")))).alias("__p")).withColumn("__v", F.col("__p.v"))
+    padded = F.concat(F.array_repeat(F.get("__v", F.lit(0)), r), F.col("__v"), F.array_repeat(F.element_at("__v", -1), r))
+    lines = lines.withColumn("__w", padded)
+    tile = Window.partitionBy(*keys).orderBy("y")
+    whole = tile.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = [F.coalesce(F.lag("__w", i).over(tile), F.first("__w").over(whole)) for i in range(r, 0, -1)] + [F.col("__w")] + [F.coalesce(F.lead("__w", i).over(tile), F.last("__w").over(whole)) for i in range(1, r + 1)]
+    lines = lines.select(*keys, "y", "__p", F.array(*near).alias("__near"))
+    middle = lambda i: F.array_sort(F.flatten(F.transform("__near", lambda line: F.slice(line, i + 1, size))))[size * size // 2]
+    out = F.transform("__p", lambda p, i: F.struct(p["x"].alias("x"), middle(i).alias("v")))
+    return lines.select(*keys, "y", F.explode(out).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.v").alias(value))
+
+
+def saturation(r: Column, g: Column, b: Column) -> Column:
+    """HSV saturation of byte channels, 0 to 255, halves to even; black is 0."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    return F.rint((top - low) * 255 / F.greatest(top, F.lit(1))).cast("int")
+
+
+def tissue(pixels: DataFrame, keys: Sequence[str], rgb: Sequence[str], blur: int = 7, close: int = 4) -> DataFrame:
+    """(keys, x, y, tissue) of a stained overview: blurred saturation above its Otsu level, closed by a square; an even blur grows by 1."""
+    channel = [F.least(F.greatest(F.col(c), F.lit(0)), F.lit(255)) for c in rgb]
+    blurred = median_filter(pixels.select(*keys, "x", "y", saturation(*channel).alias("v")), keys, "v", blur + 1 - blur % 2)
+    blurred = materialize(blurred, "blurred")
+    mask = blurred.join(otsu(blurred, keys, "v"), list(keys)).select(*keys, "x", "y", (F.col("v") > F.col("threshold")).alias("tissue"))
+    back = close // 2
+    return erode(dilate(mask, keys, "tissue", square(back - close + 1, back)), keys, "tissue", square(-back, close - 1 - back))
+
+
 def mask_status(tiles: DataFrame, candidate: Column, fallback: Column, keys: Sequence[str], noisy: float = 0.98) -> DataFrame:
     """Per key the candidate's coverage and which mask to use: ok, noisy_fallback, empty_fallback or empty."""
     if not 0 < noisy <= 1:

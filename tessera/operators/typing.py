@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
+from tessera.operators.joins import attach
+from tessera.sources.tables import materialize
 
 
 def long_form(df: DataFrame, keys: Sequence[str], markers: Sequence[str]) -> DataFrame:
@@ -20,14 +22,17 @@ def rank_share(long: DataFrame, group: Sequence[str]) -> DataFrame:
     """``share``: average rank of a value among the group's, divided by their number.
 
     Null has 0; groups with at most one value have 0.5 throughout. Works on value counts: rows are counted
-    per distinct value before the shuffle and only distinct values are sorted.
+    per distinct value before the shuffle, only distinct values are sorted, and a value that many rows have is
+    broadcast back to them. ``long`` is read several times.
     """
     by = Window.partitionBy(*group).orderBy("value")
     counts = long.where("value is not null").groupBy(*group, "value").agg(F.count("*").alias("__n"))
     ranked = counts.withColumns({"__upto": F.sum("__n").over(by), "__all": F.sum("__n").over(Window.partitionBy(*group))})
-    rated = ranked.select(*group, "value", F.when(F.col("__all") <= 1, 0.5).otherwise((F.col("__upto") - (F.col("__n") - 1) / 2) / F.col("__all")).alias("share"), "__all")
-    few = ranked.groupBy(*group).agg(F.max("__all").alias("__g")).where("__g > 1").select(*group, F.lit(0.0).alias("__null"))
-    return long.join(rated.drop("__all"), [*group, "value"], "left").join(few, list(group), "left").withColumn("share", F.coalesce("share", "__null", F.lit(0.5))).drop("__null")
+    share = F.when(F.col("__all") <= 1, 0.5).otherwise((F.col("__upto") - (F.col("__n") - 1) / 2) / F.col("__all"))
+    rated = materialize(ranked.select(*group, "value", share.alias("share"), "__n", "__all"), "ranks")
+    few = rated.where("__all > 1").select(*group, F.lit(0.0).alias("__null")).distinct()
+    with_share = attach(long, rated.drop("__all"), [*group, "value"], "__n", "left")
+    return with_share.join(few, list(group), "left").withColumn("share", F.coalesce("share", "__null", F.lit(0.5))).drop("__null")
 
 
 def wide_form(long: DataFrame, keys: Sequence[str], markers: Sequence[str], value: str) -> DataFrame:
@@ -50,7 +55,8 @@ def fuse(matched: DataFrame) -> DataFrame:
     """Final class, confidence and state of cells matched to feature rows.
 
     Needs type_cellvit, match_id, p_model_*, Ki67 and ki67_threshold. Unmatched cells (null match_id) have
-    the prior's class, low confidence, model type ``unmatched``, no mismatch and model probabilities 0.
+    the prior's class, low confidence, model types ``unmatched``, no mismatch and model probabilities 0. The fine
+    model type is the feature row's where it has one, else the model type.
     """
     kind, hit = F.coalesce("type_cellvit", F.lit(0)), F.col("match_id").isNotNull()
     model = {c: F.when(hit, F.coalesce(F.nanvl(f"p_model_{c}", F.lit(None)), F.lit(0.0))).otherwise(0.0) for c in scores.CLASSES}
@@ -60,6 +66,8 @@ def fuse(matched: DataFrame) -> DataFrame:
     out = out.withColumns({f"p_final_{c}": F.when(hit, mixed[c]).otherwise(first[c]) for c in scores.CLASSES})
     final = {c: F.col(f"p_final_{c}") for c in scores.CLASSES}
     out = out.withColumns({"type_codex": F.when(hit, scores.argmax_class({c: F.col(f"p_model_{c}") for c in scores.CLASSES})).otherwise("unmatched"), "cell_type": scores.argmax_class(final)})
+    fine = F.col("type_codex_fine") if "type_codex_fine" in matched.columns else F.lit(None).cast("string")
+    out = out.withColumn("type_codex_fine", F.when(hit, F.coalesce(fine, "type_codex")).otherwise("unmatched"))
     out = out.withColumn("is_mismatch", F.when(hit, F.col("type_codex") != F.col("__prior")).otherwise(False))
     sure = scores.confidence(scores.margin([final[c] for c in scores.CLASSES]), F.col("is_mismatch"))
     ki67 = F.coalesce(F.nanvl("Ki67", F.lit(None)), F.lit(0.0))
@@ -97,12 +105,29 @@ def lloyd_step(points: DataFrame, centers: DataFrame, dims: Sequence[str]) -> Da
     return centers.join(moved, "cluster_id", "left").select("cluster_id", *[F.coalesce(f"__{d}", d).alias(d) for d in dims])
 
 
-def kmeans_centers(points: DataFrame, dims: Sequence[str], k: int, seeds: int = 3) -> DataFrame:
-    """Centres of the best of ``seeds`` k-means runs by training cost; k is at most the number of points."""
+def kmeans_centers(points: DataFrame, dims: Sequence[str], k: int, seeds: int = 20) -> DataFrame:
+    """Centres of the best of ``seeds`` k-means runs by training cost; k is at most the number of points, no points give no centres."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
+    schema = "cluster_id int, " + ", ".join(f"`{d}` double" for d in dims)
+    points = materialize(points.select(*dims), "points")
+    if points.isEmpty():
+        return points.sparkSession.createDataFrame([], schema)
     data = VectorAssembler(inputCols=list(dims), outputCol="__f").transform(points).select("__f")
-    best = min((KMeans(k=k, seed=s, featuresCol="__f").fit(data) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-    rows = [(i, *map(float, c)) for i, c in enumerate(best.clusterCenters())]
-    return points.sparkSession.createDataFrame(rows, "cluster_id int, " + ", ".join(f"`{d}` double" for d in dims))
+    fit = inheritable_thread_target(lambda s: KMeans(k=k, seed=s, featuresCol="__f").fit(data))
+    with ThreadPool(4) as runs:  # Spark jobs side by side, as a search over parameters runs them
+        best = min(runs.imap(fit, range(seeds)), key=lambda m: m.summary.trainingCost)
+    return points.sparkSession.createDataFrame([(i, *map(float, c)) for i, c in enumerate(best.clusterCenters())], schema)
+
+
+def assignment_record(fused: DataFrame, x0: Column, y0: Column) -> DataFrame:
+    """The analysis-ready row of each cell of ``fuse``: the patch's origin, local and global centroids and the match, beside what is there.
+
+    ``x`` and ``y`` are the cell's place on the slide; a cell without a match has no distance.
+    """
+    at = {"patch_x0": x0.cast("int"), "patch_y0": y0.cast("int"), "centroid_x_global": F.col("x").cast("double"), "centroid_y_global": F.col("y").cast("double"), "centroid_x_local": (F.col("x") - x0).cast("double"), "centroid_y_local": (F.col("y") - y0).cast("double")}
+    return fused.withColumns(at).withColumnRenamed("distance", "match_distance")

@@ -56,6 +56,13 @@ def fused_type(spark: SparkSession, d: str) -> DataFrame:
     return assigned(spark, d).select("cell_id", "cell_type", "type_codex", "type_cellvit_prior", "is_mismatch", "cell_type_confidence", "cell_state", *[r6(F.col(f"p_final_{c}")).alias(f"p_final_{c}") for c in scores.CLASSES])
 
 
+def assignment_record(spark: SparkSession, d: str) -> DataFrame:
+    """The assignment table's row of each cell: patch origin, centroids, match and fine model type."""
+    x0, y0 = (F.split("patch_id", "_")[i].cast("int") for i in (0, 1))
+    a = typing.assignment_record(assigned(spark, d), x0, y0)
+    return a.select("cell_id", "patch_id", "patch_x0", "patch_y0", "type_cellvit_prior", "type_codex", "type_codex_fine", "centroid_x_local", "centroid_y_local", "centroid_x_global", "centroid_y_global", r6(F.col("match_distance")).alias("match_distance"))
+
+
 def assigned_patch_summary(spark: SparkSession, d: str) -> DataFrame:
     """The patch summary of the assignment pipeline, end to end."""
     s = reports.patch_summary(assigned(spark, d), ["slide_no", "patch_id"])
@@ -212,13 +219,14 @@ _Z_SQL = (
     "s AS (SELECT slide_no, marker, avg(v) AS m, stddev_pop(v) AS sd FROM w GROUP BY ALL) SELECT w.slide_no, row_idx, w.marker, round((v - m) / CASE WHEN sd <= 1e-6 THEN 1 ELSE sd END, 6) AS z FROM w JOIN s ON w.slide_no = s.slide_no AND w.marker = s.marker"
 )
 
-QUERIES = {f.__name__: f for f in (nn_match, nn_unmatched_count, rank_pct, rule_probs, fused_type, assigned_patch_summary, confidence_census, state_census, assignment_summary, conflict_pairs, legacy_state, legacy_type, winsor_zscore, cluster_scores, softmax_types, lloyd_step, kmeans_types, greedy_match, marker_long)}
+QUERIES = {f.__name__: f for f in (nn_match, nn_unmatched_count, rank_pct, rule_probs, fused_type, assignment_record, assigned_patch_summary, confidence_census, state_census, assignment_summary, conflict_pairs, legacy_state, legacy_type, winsor_zscore, cluster_scores, softmax_types, lloyd_step, kmeans_types, greedy_match, marker_long)}
 ORACLE = {
     "nn_match": _RULE_SQL + "SELECT slide_no, cell_id, match_id, round(distance, 6) AS distance FROM a WHERE match_id IS NOT NULL",
     "nn_unmatched_count": _RULE_SQL + "SELECT slide_no, patch_id, count(*) AS n_cells, count(*) FILTER (WHERE match_id IS NULL) AS n_unmatched FROM a GROUP BY ALL",
     "rank_pct": "WITH " + FEATURES_SQL + ", l AS (SELECT slide_no, row_idx, unnest([" + ", ".join(f"'{m}'" for m in MARKERS) + "]) AS marker, unnest([" + ", ".join(MARKERS) + "]) AS v FROM features) SELECT slide_no, row_idx, marker, round((rank() OVER (PARTITION BY slide_no, marker ORDER BY v) + (count(*) OVER (PARTITION BY slide_no, marker, v) - 1) / 2.0) / count(*) OVER (PARTITION BY slide_no, marker), 6) AS share FROM l",
     "rule_probs": _RULE_SQL + "SELECT slide_no, row_idx, round(pc, 6) AS p_model_cancer, round(pi, 6) AS p_model_immune, round(ph, 6) AS p_model_healthy FROM probs",
     "fused_type": _RULE_SQL + "SELECT cell_id, cell_type, type_codex, type_cellvit_prior, is_mismatch, cell_type_confidence, cell_state, round(fc, 6) AS p_final_cancer, round(fi, 6) AS p_final_immune, round(fh, 6) AS p_final_healthy FROM a",
+    "assignment_record": _RULE_SQL + "SELECT a.cell_id, a.patch_id, (c.x - c.x % 256)::INT AS patch_x0, (c.y - c.y % 256)::INT AS patch_y0, type_cellvit_prior, type_codex, type_codex AS type_codex_fine, (c.x % 256)::DOUBLE AS centroid_x_local, (c.y % 256)::DOUBLE AS centroid_y_local, c.x::DOUBLE AS centroid_x_global, c.y::DOUBLE AS centroid_y_global, round(distance, 6) AS match_distance FROM a JOIN cells c USING (cell_id)",
     "assigned_patch_summary": _RULE_SQL + "SELECT slide_no, patch_id, count(*) AS n_cells, sum(is_mismatch::INT)::BIGINT AS mismatch_count, count(*) FILTER (WHERE cell_type_confidence = 'low') AS low_confidence_count, round(avg(CASE cell_type_confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END), 6) AS mean_confidence_score, round(avg(gap), 6) AS mean_final_margin, round(avg(is_mismatch::INT), 6) AS mismatch_rate FROM a GROUP BY slide_no, patch_id",
     "confidence_census": _RULE_SQL + "SELECT cell_type, cell_type_confidence, count(*) AS n FROM a GROUP BY ALL",
     "state_census": _RULE_SQL + "SELECT slide_no, cell_state, count(*) AS n FROM a GROUP BY ALL",

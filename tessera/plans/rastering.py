@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import fields, kernels, matching, rasters
+from tessera.operators import fields, matching, rasters
 from tessera.plans.fixtures import CELLS_SQL, SIDE, cells
 from tessera.sources.tables import table
 
@@ -109,9 +108,8 @@ def mask_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dilate_rect(spark: SparkSession, d: str) -> DataFrame:
-    """Every fourth column of the vessel mask grown by 1 pixel to each side; ``dilate_vessels`` grows all of it."""
-    m = _masked(spark, d, "cd31").where("cd31_on and x % 4 = 0")
-    return rasters.dilate_rect(m, K, SIDE, 1)
+    """The smooth-muscle mask grown by 2 pixels to each side."""
+    return rasters.dilate_rect(_masked(spark, d, "sma").where("sma_on"), K, SIDE, 2)
 
 
 def dilate_vessels(spark: SparkSession, d: str) -> DataFrame:
@@ -119,33 +117,33 @@ def dilate_vessels(spark: SparkSession, d: str) -> DataFrame:
     return rasters.dilate_rect(_masked(spark, d, "cd31").where("cd31_on"), K, SIDE, 1)
 
 
-def _refined(masks: DataFrame) -> DataFrame:
-    near = rasters.tile_map(masks, K, SIDE, ["a", "b"], lambda t: {"on": (t["a"] > 0) | ((t["b"] > 0) & kernels.dilate(t["a"] > 0, kernels.ellipse(5)))}, {"on": "boolean"})
-    return near.where("on").select("tile", "x", "y")
+def _refined(spark: SparkSession, d: str, first: str, other: str) -> DataFrame:
+    at = [*K, "x", "y"]
+    m = _masked(spark, d, first, other).select(*at, F.col(f"{first}_on").alias("a"), F.col(f"{other}_on").alias("b"))
+    near = rasters.dilate(m, K, "a", rasters.ellipse(5)).withColumnRenamed("a", "near")
+    return m.join(near, at).where("a or (b and near)").select(*at)
 
 
 def sma_refine(spark: SparkSession, d: str) -> DataFrame:
-    """Every fourth column of the vessels plus smooth muscle within 2 pixels of it, by tile kernel; ``sma_vessels`` takes all vessels."""
-    return _refined(_masked(spark, d, "cd31", "sma").select("tile", "x", "y", (F.col("cd31_on") & (F.col("x") % 4 == 0)).cast("int").alias("a"), F.col("sma_on").cast("int").alias("b")))
+    """Smooth muscle plus vessels within 2 pixels of it."""
+    return _refined(spark, d, "sma", "cd31")
 
 
 def sma_vessels(spark: SparkSession, d: str) -> DataFrame:
-    """Vessels plus smooth muscle within 2 pixels of them, by tile kernel."""
-    return _refined(_masked(spark, d, "cd31", "sma").select("tile", "x", "y", F.col("cd31_on").cast("int").alias("a"), F.col("sma_on").cast("int").alias("b")))
+    """Vessels plus smooth muscle within 2 pixels of them."""
+    return _refined(spark, d, "cd31", "sma")
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
     """Size of each 8-connected component of a sparse mask."""
-    m = _masked(spark, d, "cd31").select("tile", "x", "y", (F.col("cd31") > 2 * F.col("cd31_t")).cast("int").alias("on"))
-    labels = rasters.tile_map(m, K, SIDE, ["on"], lambda t: {"label": kernels.components(t["on"] > 0)}, {"label": "int"})
-    return labels.where("label > 0").groupBy("tile", "label").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.min("y").alias("min_y"))
+    m = _masked(spark, d, "cd31").where("cd31 > 2 * cd31_t")
+    return rasters.components(m, K).groupBy("tile", "label").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.min("y").alias("min_y"))
 
 
 def cleaned_mask(spark: SparkSession, d: str) -> DataFrame:
     """Pixels that stay after opening, closing and removal of small components."""
-    m = _masked(spark, d, "cd31").select("tile", "x", "y", F.col("cd31_on").cast("int").alias("on"))
-    out = rasters.tile_map(m, K, SIDE, ["on"], lambda t: {"kept": kernels.clean(t["on"] > 0, 3, 3, 12)}, {"kept": "boolean"})
-    return out.groupBy("tile").agg(F.count_if("kept").alias("n_kept"))
+    out = rasters.clean(_masked(spark, d, "cd31").select("tile", "x", "y", F.col("cd31_on").alias("on")), K, "on", 3, 3, 12)
+    return out.groupBy("tile").agg(F.count_if("on").alias("n_kept"))
 
 
 def box_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +155,7 @@ def box_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def _distances(spark: SparkSession, d: str) -> DataFrame:
     m = _masked(spark, d, "cd31").withColumn("on", (F.col("cd31") > F.col("cd31_t") + 60).cast("int"))
-    return fields.distance(m.select("tile", "x", "y", "on"), K, SIDE)
+    return fields.distance(m.select("tile", "x", "y", "on"), K)
 
 
 def edt_clamped(spark: SparkSession, d: str) -> DataFrame:
@@ -187,19 +185,18 @@ def wkb_field(spark: SparkSession, d: str) -> DataFrame:
 def jacobi_steps(spark: SparkSession, d: str) -> DataFrame:
     """Three steps of the diffusion equation from vessels."""
     f = _field(spark, d).withColumn("source", (F.col("dist") == 0).cast("double"))
-    return fields.diffused(f, K, SIDE, "source", "k", 3).select("tile", "x", "y", r6(F.col("u")).alias("u"))
+    return fields.diffused(f, K, "source", "k", 3).select("tile", "x", "y", r6(F.col("u")).alias("u"))
 
 
 def steady_supply(spark: SparkSession, d: str) -> DataFrame:
     """The diffusion equation from vessels, run to its tolerance on every tile; ``jacobi_steps`` is its first steps for the check by SQL."""
     f = _field(spark, d).withColumn("source", (F.col("dist") == 0).cast("double"))
-    return fields.steady(f, K, SIDE, "source", "k").select("tile", "x", "y", r6(F.col("u")).alias("u"))
+    return fields.steady(f, K, "source", "k").select("tile", "x", "y", r6(F.col("u")).alias("u"))
 
 
 def tissue_fraction(spark: SparkSession, d: str) -> DataFrame:
     """Tissue share of each tile taken as a colour overview."""
-    rgb = ("cd31", "sma", "ki67")
-    out = rasters.tile_map(channels(spark, d), K, SIDE, rgb, lambda t: {"tissue": kernels.tissue(np.stack([np.clip(t[c], 0, 255) for c in rgb], -1).astype(np.uint8))}, {"tissue": "boolean"})
+    out = rasters.tissue(channels(spark, d), K, ("cd31", "sma", "ki67"))
     return out.groupBy("tile").agg(r6(F.avg(F.col("tissue").cast("int"))).alias("tissue"))
 
 
@@ -298,6 +295,37 @@ def _jacobi_sql(steps: int) -> str:
     return sql + f" SELECT tile, x, y, round(u, 6) AS u FROM s{steps}"
 
 
+_COMPONENTS_SQL = (
+    "WITH RECURSIVE " + _CD.removeprefix("WITH ") + ", onp AS (SELECT tile, x, y, y * 64 + x AS id FROM m WHERE {where}), "
+    "nb AS (SELECT a.tile, a.id, b.id AS other FROM onp a JOIN onp b ON a.tile = b.tile AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id), "
+    "reach AS (SELECT tile, id AS root, id FROM onp UNION SELECT r.tile, r.root, nb.other FROM reach r JOIN nb ON r.tile = nb.tile AND r.id = nb.id WHERE nb.other > r.root), "
+    "low AS (SELECT tile, id, min(root) AS root FROM reach GROUP BY tile, id), lab AS (SELECT onp.tile, onp.x, onp.y, low.root FROM onp JOIN low USING (tile, id)) "
+)
+
+
+def _near_sql(name: str, source: str, how: str, offsets: str, value: str = "v") -> str:
+    """A step of morphology: the least or greatest value over neighbours at the offsets, inside the tile."""
+    return f", {name} AS (SELECT a.tile, a.x, a.y, {how}(b.{value}) AS {value} FROM {source} a CROSS JOIN {offsets} o(dx, dy) JOIN {source} b ON b.tile = a.tile AND b.x = a.x + o.dx AND b.y = a.y + o.dy GROUP BY ALL)"
+
+
+_CROSS = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))"
+_CLEAN_SQL = (
+    _CD.replace("WITH base", "WITH RECURSIVE base", 1) + ", m0 AS (SELECT tile, x, y, cd31_on AS v FROM m)" + _near_sql("m1", "m0", "min", _CROSS) + _near_sql("m2", "m1", "max", _CROSS) + _near_sql("m3", "m2", "max", _CROSS) + _near_sql("m4", "m3", "min", _CROSS)
+    + ", onp AS (SELECT tile, x, y, y * 64 + x AS id FROM m4 WHERE v), nb AS (SELECT a.tile, a.id, b.id AS other FROM onp a JOIN onp b ON a.tile = b.tile AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id), "
+    # a component is small if it is exhausted within 12 steps with fewer than 12 pixels
+    "reach AS (SELECT tile, id AS root, id, 0 AS step FROM onp UNION SELECT r.tile, r.root, nb.other, r.step + 1 FROM reach r JOIN nb ON r.tile = nb.tile AND r.id = nb.id WHERE r.step < 11), "
+    "big AS (SELECT tile, root FROM reach GROUP BY tile, root HAVING count(DISTINCT id) >= 12) "
+    "SELECT t.tile, count(b.root) AS n_kept FROM (SELECT DISTINCT tile FROM px) t LEFT JOIN big b ON b.tile = t.tile GROUP BY t.tile"
+)
+_TISSUE_SQL = (
+    _PX + ", s0 AS (SELECT tile, x, y, greatest(least(cd31, 255), least(sma, 255), least(ki67, 255)) AS hi, least(cd31, sma, ki67, 255) AS lo FROM px), sat AS (SELECT tile, x, y, round_even((hi - lo) * 255 / greatest(hi, 1), 0)::INT AS v FROM s0), "
+    "blur AS (SELECT a.tile, a.x, a.y, quantile_disc(b.v, 0.5) AS v FROM sat a CROSS JOIN (SELECT unnest(range(-3, 4)) AS i) dx CROSS JOIN (SELECT unnest(range(-3, 4)) AS i) dy JOIN sat b ON b.tile = a.tile AND b.x = least(greatest(a.x + dx.i, 0), 63) AND b.y = least(greatest(a.y + dy.i, 0), 63) GROUP BY ALL)"
+    + ", lv AS (SELECT tile, v, count(*)::DOUBLE AS n FROM blur GROUP BY ALL), cu AS (SELECT tile, v, sum(n) OVER w AS w0, sum(n*v) OVER w AS s0, sum(n) OVER (PARTITION BY tile) AS wa, sum(n*v) OVER (PARTITION BY tile) AS sa FROM lv WINDOW w AS (PARTITION BY tile ORDER BY v)), "
+    "sc AS (SELECT tile, v, CASE WHEN w0 < wa THEN w0*(wa-w0)*(s0/w0 - (sa-s0)/(wa-w0))*(s0/w0 - (sa-s0)/(wa-w0)) ELSE -1.0 END AS score FROM cu), th AS (SELECT tile, CASE WHEN score < 0 THEN 0 ELSE v END AS t FROM sc QUALIFY row_number() OVER (PARTITION BY tile ORDER BY score DESC, v) = 1), "
+    "m0 AS (SELECT blur.tile, x, y, blur.v > t AS v FROM blur JOIN th USING (tile))" + _near_sql("m1", "m0", "max", "(SELECT i, j FROM (SELECT unnest(range(-1, 3)) AS i), (SELECT unnest(range(-1, 3)) AS j))") + _near_sql("m2", "m1", "min", "(SELECT i, j FROM (SELECT unnest(range(-2, 2)) AS i), (SELECT unnest(range(-2, 2)) AS j))")
+    + " SELECT tile, round(avg(v::INT), 6) AS tissue FROM m2 GROUP BY tile"
+)
+
 _BINS = 17
 _PROFILE = _FIELD + f", b AS (SELECT least(floor(dist*{MPP}*{STEP}/{BIN}), {_BINS - 1})::INT AS bin, sum(ki67n) AS t, count(*) AS n FROM f GROUP BY 1), p AS (SELECT r.i::INT AS bin, (r.i + 0.5)*{BIN} AS distance_um, coalesce(n, 0)::BIGINT AS pixel_count, t / n AS mean FROM (SELECT unnest(range({_BINS})) AS i) r LEFT JOIN b ON b.bin = r.i) "
 _FIT = _PROFILE + (
@@ -321,9 +349,12 @@ ORACLE = {
     "otsu_mask": _CD + "SELECT tile, max(cd31_t) AS threshold, count(*) FILTER (WHERE cd31_on) AS n_on FROM m GROUP BY tile",
     "mask_logic": _CS + "SELECT tile, count(*) FILTER (WHERE cd31_on AND sma_on) AS n_and, count(*) FILTER (WHERE cd31_on OR sma_on) AS n_or, count(*) FILTER (WHERE NOT cd31_on) AS n_not FROM m GROUP BY tile",
     "mask_fallback": _CD + "SELECT tile, round(c, 6) AS coverage, CASE WHEN c = 0 AND f THEN 'empty_fallback' WHEN c = 0 THEN 'empty' WHEN c >= 0.3 THEN 'noisy_fallback' ELSE 'ok' END AS status FROM (SELECT tile, avg((cd31 > 120 + (tile % 4)*60)::INT) AS c, bool_or(cd31_on) AS f FROM m GROUP BY tile)",
-    "dilate_rect": _CD + "SELECT DISTINCT m.tile, (m.x + dx.i)::INT AS x, (m.y + dy.i)::INT AS y FROM m, (VALUES (-1), (0), (1)) dx(i), (VALUES (-1), (0), (1)) dy(i) WHERE cd31_on AND m.x % 4 = 0 AND m.x + dx.i BETWEEN 0 AND 63 AND m.y + dy.i BETWEEN 0 AND 63",
+    "dilate_rect": _PX + _otsu_sql("sma") + "SELECT DISTINCT px.tile, (px.x + dx.i)::INT AS x, (px.y + dy.i)::INT AS y FROM px JOIN sma_o USING (tile), (SELECT unnest(range(-2, 3)) AS i) dx, (SELECT unnest(range(-2, 3)) AS i) dy WHERE sma > sma_t AND px.x + dx.i BETWEEN 0 AND 63 AND px.y + dy.i BETWEEN 0 AND 63",
     "dilate_vessels": _CD + "SELECT DISTINCT m.tile, (m.x + dx.i)::INT AS x, (m.y + dy.i)::INT AS y FROM m, (VALUES (-1), (0), (1)) dx(i), (VALUES (-1), (0), (1)) dy(i) WHERE cd31_on AND m.x + dx.i BETWEEN 0 AND 63 AND m.y + dy.i BETWEEN 0 AND 63",
-    "sma_refine": _CS + ", n AS (SELECT DISTINCT m.tile, m.x + dx.i AS x, m.y + dy.i AS y FROM m, (SELECT unnest(range(-2, 3)) AS i) dx, (SELECT unnest(range(-2, 3)) AS i) dy WHERE cd31_on AND m.x % 4 = 0 AND (abs(dy.i) < 2 OR dx.i = 0)) SELECT tile, x, y FROM m WHERE (cd31_on AND x % 4 = 0) OR (sma_on AND (tile, x, y) IN (SELECT (tile, x, y) FROM n))",
+    "sma_refine": _CS + ", n AS (SELECT DISTINCT m.tile, m.x + dx.i AS x, m.y + dy.i AS y FROM m, (SELECT unnest(range(-2, 3)) AS i) dx, (SELECT unnest(range(-2, 3)) AS i) dy WHERE sma_on AND (abs(dy.i) < 2 OR dx.i = 0)) SELECT tile, x, y FROM m WHERE sma_on OR (cd31_on AND (tile, x, y) IN (SELECT (tile, x, y) FROM n))",
+    "components": _COMPONENTS_SQL.format(where="cd31 > 2 * cd31_t") + "SELECT tile, dense_rank() OVER (PARTITION BY tile ORDER BY root)::INT AS label, count(*) AS area, min(x) AS min_x, min(y) AS min_y FROM lab GROUP BY tile, root",
+    "cleaned_mask": _CLEAN_SQL,
+    "tissue_fraction": _TISSUE_SQL,
     "sma_vessels": _CS + ", n AS (SELECT DISTINCT m.tile, m.x + dx.i AS x, m.y + dy.i AS y FROM m, (SELECT unnest(range(-2, 3)) AS i) dx, (SELECT unnest(range(-2, 3)) AS i) dy WHERE cd31_on AND (abs(dy.i) < 2 OR dx.i = 0)) SELECT tile, x, y FROM m WHERE cd31_on OR (sma_on AND (tile, x, y) IN (SELECT (tile, x, y) FROM n))",
     "box_filter": _PX + ", r AS (SELECT tile, x, y, sum(cd31) OVER (PARTITION BY tile, y ORDER BY x ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS s FROM px), b AS (SELECT tile, x, y, sum(s) OVER (PARTITION BY tile, x ORDER BY y ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) / 256 AS m FROM r) SELECT tile, x, y, round(m, 6) AS box_mean FROM b WHERE x <= 48 AND y <= 48 QUALIFY row_number() OVER (PARTITION BY tile ORDER BY m DESC, y, x) = 1",
     "edt_clamped": _DIST + f"SELECT tile, x, y, round(least(dist / (160.0 / {MPP * STEP * 8}), 1.0), 6) AS share, round(1 - least(dist / (160.0 / {MPP * STEP * 8}), 1.0), 6) AS oxygen FROM e",

@@ -128,24 +128,25 @@ def patch_grid(spark: SparkSession, d: str) -> DataFrame:
 MASK_STEP = 64
 
 
-def _tissue(spark: SparkSession, d: str, index: DataFrame) -> DataFrame:
+def _tissue(index: DataFrame) -> DataFrame:
     masked = index.select("slide_id", "patch_size", F.explode("patches").alias("p")).where("p.has_mask").select("slide_id", "patch_size", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"))
     wide, high = F.lit(1 << 20), F.lit(1 << 20)
     mask = grids.covered_cells(masked, MASK_STEP, wide, high).select("slide_id", "mx", "my").distinct()
-    grid = grids.patch_grid(_slides(spark, d).select("slide_id", "img_w", "img_h", "patch_size", "stride", "tissue_min"))
+    grid = grids.patch_grid(index.select("slide_id", "img_w", "img_h", "patch_size", "stride", "tissue_min"))
     width, height = F.floor(F.col("img_w") / MASK_STEP), F.floor(F.col("img_h") / MASK_STEP)
-    kept = grids.tissue_patches(grid, mask, MASK_STEP, width, height, F.col("tissue_min"))
-    return kept.select("slide_id", "x0", "y0", r6(F.col("tissue")).alias("tissue"))
+    return grids.tissue_patches(grid, mask, MASK_STEP, width, height, F.col("tissue_min"))
 
 
 def tissue_patches(spark: SparkSession, d: str) -> DataFrame:
-    """Grid patches whose tissue share reaches the slide's limit; tissue is where the first revision's patches have a mask."""
-    return _tissue(spark, d, table(spark, d, "slide_index").where("rev = 1"))
+    """Of every revision of every slide the grid patches whose tissue share reaches its limit; tissue is where the revision's patches have a mask."""
+    each = table(spark, d, "slide_index").withColumn("slide_id", F.struct("slide_id", "rev"))
+    kept = _tissue(grids.latest(each))
+    return kept.select("slide_id.slide_id", "slide_id.rev", "x0", "y0", r6(F.col("tissue")).alias("tissue"))
 
 
 def valid_tissue_patches(spark: SparkSession, d: str) -> DataFrame:
     """Grid patches whose tissue share reaches the slide's limit; tissue is where the valid revision's patches have a mask."""
-    return _tissue(spark, d, _slides(spark, d))
+    return _tissue(_slides(spark, d)).select("slide_id", "x0", "y0", r6(F.col("tissue")).alias("tissue"))
 
 
 def mx_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -235,21 +236,66 @@ def affine_boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.where("bx >= 0 and by >= 0 and bx + bw <= 512 and by + bh <= 512")
 
 
-def _best_crop(index: DataFrame) -> DataFrame:
-    p = index.select("slide_id", F.explode("patches").alias("p")).distinct().select("slide_id", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"), F.col("p.multiplex_overlap_fraction").alias("f"), F.coalesce("p.has_mask", F.lit(False)).cast("double").alias("m"))
+def _placed_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of the valid revisions, each once, with their box on the other image, which is 0.8 of the scaled size."""
+    s = _slides(spark, d).select("slide_id", "patch_size", "stride", "img_w", "img_h", F.coalesce("mpp_scale", F.lit(1.0)).alias("scale"), F.explode("patches").alias("p")).distinct()
+    s = s.select("*", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"), F.coalesce("p.multiplex_overlap_fraction", F.lit(0.0)).alias("f"), F.coalesce("p.has_mask", F.lit(False)).alias("m"), F.coalesce("p.has_multiplex", F.lit(False)).alias("has_multiplex"))
+    return s.withColumns({"mx_w": F.floor(F.col("img_w") * F.col("scale") * 0.8), "mx_h": F.floor(F.col("img_h") * F.col("scale") * 0.8)} | grids.multiplex_box(F.col("scale")))
+
+
+def best_crop(spark: SparkSession, d: str) -> DataFrame:
+    """Of each slide the crop of two by two patches with the best total of three coverages of its indexed patches, first in scan order.
+
+    Mask on 0.6 of it, mask and other image together on 0.5, mean overlap 0.6 at least; its box on the other image must lie inside that.
+    """
+    p = _placed_patches(spark, d)
+    both = (F.col("m") & F.col("has_multiplex")).cast("double")
+    told = p.select("slide_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("dx"), "x0", "y0", "stride", F.col("m").cast("double").alias("a"), both.alias("b"), F.col("f").alias("c"))
+    told = told.select("slide_id", (F.col("x0") - F.col("dx") * F.col("stride")).alias("x0"), F.explode(F.array(F.col("y0"), F.col("y0") - F.col("stride"))).alias("y0"), "a", "b", "c")
+    cover = told.groupBy("slide_id", "x0", "y0").agg(*[(F.avg(k)).alias(k) for k in "abc"])
+    side = F.greatest(F.rint((F.col("stride") + F.col("patch_size")) * F.col("scale")), F.lit(1.0))
+    inside = (F.col("mx_x0") >= 0) & (F.col("mx_y0") >= 0) & (F.col("mx_x0") + side <= F.col("mx_w")) & (F.col("mx_y0") + side <= F.col("mx_h"))
+    anchors = p.where(inside).select("slide_id", "x0", "y0").distinct()
+    ok = anchors.join(cover, ["slide_id", "x0", "y0"]).where("a >= 0.6 and b >= 0.5 and c >= 0.6").withColumn("score", F.round(F.col("a") + F.col("b") + F.col("c"), 9))
+    best = ok.withColumn("n", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.desc("score"), "y0", "x0"))).where("n = 1")
+    return best.select("slide_id", "x0", "y0", r6(F.col("score")).alias("score"))
+
+
+def valid_best_crop(spark: SparkSession, d: str) -> DataFrame:
+    """The valid revision's patch with the best total of overlap and mask that each reach their limit, first in scan order, per slide."""
+    p = _slides(spark, d).select("slide_id", F.explode("patches").alias("p")).distinct().select("slide_id", F.col("p.x0").alias("x0"), F.col("p.y0").alias("y0"), F.col("p.multiplex_overlap_fraction").alias("f"), F.coalesce("p.has_mask", F.lit(False)).cast("double").alias("m"))
     ok = p.where("f >= 0.6 and m >= 0.5").withColumn("score", F.col("f") + F.col("m"))
     best = ok.withColumn("n", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.desc("score"), "y0", "x0"))).where("n = 1")
     return best.select("slide_id", "x0", "y0", r6(F.col("score")).alias("score"))
 
 
-def best_crop(spark: SparkSession, d: str) -> DataFrame:
-    """The first revision's crop with the best total of coverages that each reach their limit, first in scan order, per slide."""
-    return _best_crop(table(spark, d, "slide_index").where("rev = 1"))
+def overlapping_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Patches whose box lies on the other image by 0.25 at least."""
+    o = grids.overlap_share(F.col("mx_x0"), F.col("mx_y0"), F.col("mx_size"), F.col("mx_w"), F.col("mx_h"))
+    return grids.overlapping(_placed_patches(spark, d).withColumn("overlap", o), 0.25).select("slide_id", "x0", "y0", r6(F.col("overlap")).alias("overlap"))
 
 
-def valid_best_crop(spark: SparkSession, d: str) -> DataFrame:
-    """The valid revision's crop with the best total of coverages that each reach their limit, first in scan order, per slide."""
-    return _best_crop(_slides(spark, d))
+def multiplex_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Indexed patches that the other image covers and whose cell file is not there yet."""
+    return todo_patches(spark, d).where("has_multiplex").select("slide_id", "patch_id")
+
+
+#: Markers asked of each slide's channels.
+WANTED = ("CD31", "Ki67", "aSMA", "PanCK", "CD3", "CD45", "Ecad", "Vimentin")
+
+
+def channel_find(spark: SparkSession, d: str) -> DataFrame:
+    """The channel of each wanted marker in each slide: by name, by meaning, or by a part of the name."""
+    listed = _slides(spark, d).select("slide_id", F.posexplode("channels").alias("channel_index", "name"))
+    return markers.find_channels(listed, ["slide_id"], "channel_index", "name", WANTED)
+
+
+def contour_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Area, centroid and bounds of the outlines in the cell files, kept where the area is a nucleus's."""
+    from tessera.plans.tiling import cell_outlines
+
+    m = cell_outlines(spark, d).where("points is not null").select("file_id", "cell_pos", *[v.alias(k) for k, v in grids.polygon_measures(F.col("points")).items()])
+    return m.where("area between 30 and 6000").select("file_id", "cell_pos", *[r6(F.col(k)).alias(k) for k in ("area", "cx", "cy", "min_x", "min_y", "max_x", "max_y")])
 
 
 def crop_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -314,10 +360,12 @@ _SLIDES = "WITH sl AS (SELECT * FROM slide_index QUALIFY row_number() OVER (PART
 _KEYS = _SLIDES + ", ix AS (SELECT DISTINCT slide_id, concat(p.x0, '_', p.y0) AS patch_id, coalesce(p.has_multiplex, FALSE) AS mxp FROM (SELECT slide_id, unnest(patches) AS p FROM sl)), fl AS (SELECT DISTINCT slide_id, regexp_extract(file_path, '([0-9]+_[0-9]+)\\.json$', 1) AS patch_id FROM stage_files WHERE kind = 'cellvit' AND regexp_extract(file_path, '([0-9]+_[0-9]+)\\.json$', 1) <> ''), nm AS (SELECT DISTINCT slide_id, trim(patch_id) AS patch_id FROM cell_assignments) "
 _PLACED = _SLIDES + ", pl AS (SELECT a.slide_id, patch_x0 + CASE WHEN isnan(centroid_x_local) THEN NULL ELSE centroid_x_local END AS x, patch_y0 + CASE WHEN isnan(centroid_y_local) THEN NULL ELSE centroid_y_local END AS y, img_w, img_h FROM cell_assignments a JOIN sl ON a.slide_id = sl.slide_id) "
 _NULLNAN = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
-_CANON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in markers.canonical_by_normal().items())
+#: What each normal form means.
+_CANON = "(VALUES ('keratin', 'Keratin'), ('panck', 'PanCK'), ('asma', 'aSMA'), ('sma', 'aSMA'), ('aorticsmoothmuscleactin', 'aSMA'), ('pd1', 'PD1'), ('ecadherin', 'Ecadherin'), ('cd3', 'CD3'), ('cd3e', 'CD3e'), ('nakatpase', 'NaKATPase')) AS c(normal, canonical)"
+_PATCH_SQL = _SLIDES + ", p AS (SELECT slide_id, patch_size, stride, sc, w, h, p.x0 AS x0, p.y0 AS y0, coalesce(p.multiplex_overlap_fraction, 0) AS f, coalesce(p.has_mask, FALSE) AS m, coalesce(p.has_multiplex, FALSE) AS mxp FROM (SELECT DISTINCT slide_id, patch_size, stride, coalesce(mpp_scale, 1.0) AS sc, floor(img_w*coalesce(mpp_scale, 1.0)*0.8)::BIGINT AS w, floor(img_h*coalesce(mpp_scale, 1.0)*0.8)::BIGINT AS h, unnest(patches) AS p FROM sl)), b AS (SELECT *, round_even(x0*sc, 0)::INT AS mx_x0, round_even(y0*sc, 0)::INT AS mx_y0, greatest(round_even(patch_size*sc, 0), 1)::INT AS mx_size FROM p) "
 _POLY = "WITH " + CELLS_SQL + ", p AS (SELECT cell_id, x::DOUBLE AS x, y::DOUBLE AS y, (cell_id % 40 + 3)::DOUBLE AS r FROM cells), c AS (SELECT cell_id, unnest(range(5)) AS i, unnest([x, x + r, x + 0.5*r, x - 0.5*r, x - r]) AS px, unnest([y - r, y - 0.25*r, y + r, y + r, y - 0.25*r]) AS py FROM p), e AS (SELECT a.cell_id, a.px, a.py, b.px AS qx, b.py AS qy FROM c a JOIN c b ON a.cell_id = b.cell_id AND b.i = (a.i + 1) % 5), m AS (SELECT cell_id, sum(px*qy - qx*py) AS t, sum((px+qx)*(px*qy - qx*py)) AS sx, sum((py+qy)*(px*qy - qx*py)) AS sy, min(px) AS min_x, min(py) AS min_y, max(px) AS max_x, max(py) AS max_y FROM e GROUP BY cell_id) "
 
-QUERIES = {f.__name__: f for f in (patch_summary, top_patches, representative_cells, agree_medium_disagree, class_margin, confusion_3x3, class_panel, best_marker, display_counts, majority_type, channel_panel, channel_lookup, alias_canonical, keep_first_cells, patch_grid, tissue_patches, valid_tissue_patches, mx_overlap, extent_check, coord_convert, dense_tile, bounds_split, available_patches, todo_patches, missing_counts, patch_key_union, affine_boxes, best_crop, valid_best_crop, crop_parse, polygon_moments, json_cells, safe_numbers, sample_patches, cell_ordinals, stem_parse)}
+QUERIES = {f.__name__: f for f in (patch_summary, top_patches, representative_cells, agree_medium_disagree, class_margin, confusion_3x3, class_panel, best_marker, display_counts, majority_type, channel_panel, channel_lookup, alias_canonical, keep_first_cells, patch_grid, tissue_patches, valid_tissue_patches, mx_overlap, extent_check, coord_convert, dense_tile, bounds_split, available_patches, todo_patches, missing_counts, patch_key_union, affine_boxes, best_crop, valid_best_crop, overlapping_patches, multiplex_patches, channel_find, contour_moments, crop_parse, polygon_moments, json_cells, safe_numbers, sample_patches, cell_ordinals, stem_parse)}
 ORACLE = {
     "patch_summary": _W + f"SELECT slide_id, patch_id, {_SUMMARY}, round(avg(cs), 6) AS mean_confidence_score, round(avg(gap), 6) AS mean_final_margin, round(sum(coalesce(is_mismatch::INT, 0)) / count(*), 6) AS mismatch_rate FROM w GROUP BY slide_id, patch_id",
     "top_patches": _W + f"SELECT slide_id, patch_id, n_cells, mismatch_count, low_confidence_count, round(rate, 6) AS mismatch_rate FROM (SELECT slide_id, patch_id, {_SUMMARY}, sum(coalesce(is_mismatch::INT, 0)) / count(*) AS rate FROM w WHERE slide_id IS NOT NULL AND patch_id IS NOT NULL GROUP BY slide_id, patch_id) ORDER BY rate DESC, low_confidence_count DESC, n_cells DESC, slide_id, patch_id LIMIT 25",
@@ -331,10 +379,10 @@ ORACLE = {
     "majority_type": "WITH c AS (SELECT slide_id, patch_id, type_cellvit, count(*) AS n FROM cell_assignments WHERE type_cellvit IS NOT NULL GROUP BY ALL) SELECT slide_id, patch_id, type_cellvit AS majority, sum(n) OVER (PARTITION BY slide_id, patch_id)::BIGINT AS n FROM c QUALIFY row_number() OVER (PARTITION BY slide_id, patch_id ORDER BY n DESC, type_cellvit) = 1",
     "channel_panel": "SELECT lower(trim(marker_name)) AS key, channel_number - 1 AS channel_index, marker_name FROM channel_panel WHERE channel_number IS NOT NULL AND marker_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(marker_name)) ORDER BY channel_number, marker_name) = 1",
     "channel_lookup": _SLIDES + ", p AS (SELECT lower(trim(marker_name)) AS key, min(channel_number) - 1 AS channel_index FROM channel_panel WHERE channel_number IS NOT NULL AND marker_name IS NOT NULL GROUP BY 1), u AS (SELECT lower(trim(name)) AS key, count(*) AS n_slides FROM (SELECT unnest(channels) AS name FROM sl) GROUP BY 1) SELECT u.key, n_slides, channel_index, channel_index IS NULL AS missing FROM u LEFT JOIN p USING (key)",
-    "alias_canonical": "WITH n AS (SELECT name, count(*) AS n, lower(regexp_replace(trim(name), '[^\\p{L}\\p{N}]', '', 'g')) AS normal FROM (SELECT unnest(channels) AS name FROM slide_index) GROUP BY name) SELECT name, n, normal, CASE normal " + _CANON + " ELSE trim(name) END AS canonical FROM n",
+    "alias_canonical": "WITH n AS (SELECT name, count(*) AS n, lower(regexp_replace(trim(name), '[^\\p{L}\\p{N}]', '', 'g')) AS normal FROM (SELECT unnest(channels) AS name FROM slide_index) GROUP BY name) SELECT name, n, n.normal, coalesce(c.canonical, trim(name)) AS canonical FROM n LEFT JOIN " + _CANON + " ON c.normal = n.normal",
     "keep_first_cells": "SELECT row_id, slide_id, cell_id FROM cell_assignments QUALIFY row_number() OVER (PARTITION BY slide_id, cell_id ORDER BY loaded_at NULLS LAST, row_id) = 1",
     "patch_grid": _SLIDES + "SELECT slide_id, (gx.i * stride)::INT AS x0, (gy.i * stride)::INT AS y0 FROM sl, (SELECT unnest(range(400)) AS i) gx, (SELECT unnest(range(400)) AS i) gy WHERE gx.i * stride + patch_size <= img_w AND gy.i * stride + patch_size <= img_h",
-    "tissue_patches": _SLIDES + ", fp AS (SELECT DISTINCT slide_id, patch_size, p.x0 AS x0, p.y0 AS y0 FROM (SELECT slide_id, patch_size, unnest(patches) AS p FROM slide_index WHERE rev = 1) WHERE p.has_mask), mk AS (SELECT DISTINCT slide_id, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM fp, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < greatest(x0 // 64 + 1, (x0 + patch_size) // 64) AND y0 // 64 + dy.i < greatest(y0 // 64 + 1, (y0 + patch_size) // 64)), gr AS (SELECT slide_id, (gx.i * stride)::INT AS x0, (gy.i * stride)::INT AS y0, patch_size, tissue_min, img_w // 64 AS w, img_h // 64 AS h FROM sl, (SELECT unnest(range(400)) AS i) gx, (SELECT unnest(range(400)) AS i) gy WHERE gx.i * stride + patch_size <= img_w AND gy.i * stride + patch_size <= img_h), cv AS (SELECT slide_id, x0, y0, tissue_min, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM gr, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < least(greatest(x0 // 64 + 1, (x0 + patch_size) // 64), w) AND y0 // 64 + dy.i < least(greatest(y0 // 64 + 1, (y0 + patch_size) // 64), h)) SELECT slide_id, x0, y0, round(avg((mk.mx IS NOT NULL)::INT), 6) AS tissue FROM cv LEFT JOIN mk USING (slide_id, mx, my) GROUP BY slide_id, x0, y0 HAVING avg((mk.mx IS NOT NULL)::INT) >= max(tissue_min)",
+    "tissue_patches": "WITH sl AS (SELECT * FROM slide_index QUALIFY row_number() OVER (PARTITION BY slide_id, rev) = 1), fp AS (SELECT DISTINCT slide_id, rev, patch_size, p.x0 AS x0, p.y0 AS y0 FROM (SELECT slide_id, rev, patch_size, unnest(patches) AS p FROM sl) WHERE p.has_mask), mk AS (SELECT DISTINCT slide_id, rev, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM fp, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < greatest(x0 // 64 + 1, (x0 + patch_size) // 64) AND y0 // 64 + dy.i < greatest(y0 // 64 + 1, (y0 + patch_size) // 64)), gr AS (SELECT slide_id, rev, (gx.i * stride)::INT AS x0, (gy.i * stride)::INT AS y0, patch_size, tissue_min, img_w // 64 AS w, img_h // 64 AS h FROM sl, (SELECT unnest(range(400)) AS i) gx, (SELECT unnest(range(400)) AS i) gy WHERE gx.i * stride + patch_size <= img_w AND gy.i * stride + patch_size <= img_h), cv AS (SELECT slide_id, rev, x0, y0, tissue_min, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM gr, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < least(greatest(x0 // 64 + 1, (x0 + patch_size) // 64), w) AND y0 // 64 + dy.i < least(greatest(y0 // 64 + 1, (y0 + patch_size) // 64), h)) SELECT slide_id, rev, x0, y0, round(avg((mk.mx IS NOT NULL)::INT), 6) AS tissue FROM cv LEFT JOIN mk USING (slide_id, rev, mx, my) GROUP BY slide_id, rev, x0, y0 HAVING avg((mk.mx IS NOT NULL)::INT) >= max(tissue_min)",
     "valid_tissue_patches": _SLIDES + ", fp AS (SELECT DISTINCT slide_id, patch_size, p.x0 AS x0, p.y0 AS y0 FROM (SELECT slide_id, patch_size, unnest(patches) AS p FROM sl) WHERE p.has_mask), mk AS (SELECT DISTINCT slide_id, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM fp, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < greatest(x0 // 64 + 1, (x0 + patch_size) // 64) AND y0 // 64 + dy.i < greatest(y0 // 64 + 1, (y0 + patch_size) // 64)), gr AS (SELECT slide_id, (gx.i * stride)::INT AS x0, (gy.i * stride)::INT AS y0, patch_size, tissue_min, img_w // 64 AS w, img_h // 64 AS h FROM sl, (SELECT unnest(range(400)) AS i) gx, (SELECT unnest(range(400)) AS i) gy WHERE gx.i * stride + patch_size <= img_w AND gy.i * stride + patch_size <= img_h), cv AS (SELECT slide_id, x0, y0, tissue_min, x0 // 64 + dx.i AS mx, y0 // 64 + dy.i AS my FROM gr, (SELECT unnest(range(16)) AS i) dx, (SELECT unnest(range(16)) AS i) dy WHERE x0 // 64 + dx.i < least(greatest(x0 // 64 + 1, (x0 + patch_size) // 64), w) AND y0 // 64 + dy.i < least(greatest(y0 // 64 + 1, (y0 + patch_size) // 64), h)) SELECT slide_id, x0, y0, round(avg((mk.mx IS NOT NULL)::INT), 6) AS tissue FROM cv LEFT JOIN mk USING (slide_id, mx, my) GROUP BY slide_id, x0, y0 HAVING avg((mk.mx IS NOT NULL)::INT) >= max(tissue_min)",
     "mx_overlap": _SLIDES + ", p AS (SELECT slide_id, patch_size, coalesce(mpp_scale, 1.0) AS sc, floor(img_w*coalesce(mpp_scale, 1.0)*0.8)::BIGINT AS w, floor(img_h*coalesce(mpp_scale, 1.0)*0.8)::BIGINT AS h, unnest(patches) AS p FROM sl), b AS (SELECT slide_id, p.x0 AS x0, p.y0 AS y0, round_even(p.x0*sc, 0)::INT AS mx_x0, round_even(p.y0*sc, 0)::INT AS mx_y0, greatest(round_even(patch_size*sc, 0), 1)::INT AS mx_size, w, h FROM p), o AS (SELECT *, CASE WHEN mx_x0 >= 0 AND mx_y0 >= 0 AND mx_x0 + mx_size <= w AND mx_y0 + mx_size <= h THEN 1.0 ELSE (greatest(0, least(mx_x0 + mx_size, w) - greatest(0, mx_x0))::DOUBLE * greatest(0, least(mx_y0 + mx_size, h) - greatest(0, mx_y0))) / (mx_size::DOUBLE * mx_size + 1e-9) END AS ov FROM b) SELECT slide_id, x0, y0, mx_x0, mx_y0, mx_size, round(ov, 6) AS overlap, ov >= 1.0 AS whole FROM o",
     "extent_check": _SLIDES + ", e AS (SELECT slide_id, he_mpp, mx_mpp, img_w*he_mpp AS a, img_h*he_mpp AS b, floor(img_w*0.47)*mx_mpp AS c, floor(img_h*0.52)*mx_mpp AS d FROM sl WHERE he_mpp IS NOT NULL AND mx_mpp IS NOT NULL), f AS (SELECT slide_id, he_mpp/mx_mpp AS s, abs(a-c)/greatest(a, c)*100 AS dw, abs(b-d)/greatest(b, d)*100 AS dh FROM e) SELECT slide_id, round(s, 6) AS scale, round(dw, 6) AS diff_w, round(dh, 6) AS diff_h, dw <= 5 AND dh <= 5 AS agrees FROM f",
@@ -346,7 +394,13 @@ ORACLE = {
     "missing_counts": _KEYS + "SELECT ix.slide_id, count(*) AS n_patches, count(*) FILTER (WHERE fl.patch_id IS NULL) AS no_file, count(*) FILTER (WHERE nm.patch_id IS NULL) AS no_cells FROM ix LEFT JOIN fl ON ix.slide_id = fl.slide_id AND ix.patch_id = fl.patch_id LEFT JOIN nm ON ix.slide_id = nm.slide_id AND ix.patch_id = nm.patch_id GROUP BY ix.slide_id",
     "patch_key_union": _KEYS + "SELECT slide_id, count(*) AS n_patches FROM (SELECT slide_id, patch_id FROM ix UNION SELECT slide_id, patch_id FROM fl UNION SELECT slide_id, patch_id FROM nm WHERE patch_id IS NOT NULL) GROUP BY slide_id",
     "affine_boxes": "WITH " + CELLS_SQL + ", b AS (SELECT cell_id, x AS x0, y AS y0, x + 15 + cell_id % 32 AS x1, y + 15 + cell_id % 32 AS y1 FROM cells), c AS (SELECT cell_id, x0, y0, unnest([x0, x1, x0, x1]) AS x, unnest([y0, y0, y1, y1]) AS y FROM b), m AS (SELECT cell_id, x0, y0, 0.5::DOUBLE*x + 0.01::DOUBLE*y + 3.25::DOUBLE AS u, -0.02::DOUBLE*x + 0.48::DOUBLE*y + 40.0::DOUBLE AS v FROM c), r AS (SELECT cell_id, x0, y0, floor(min(u))::BIGINT AS bx, floor(min(v))::BIGINT AS b_y, ceil(max(u))::BIGINT + 1 AS hx, ceil(max(v))::BIGINT + 1 AS hy FROM m GROUP BY ALL) SELECT cell_id, x0, y0, bx, b_y AS \"by\", hx - bx AS bw, hy - b_y AS bh FROM r WHERE bx >= 0 AND b_y >= 0 AND hx <= 512 AND hy <= 512",
-    "best_crop": "WITH p AS (SELECT DISTINCT slide_id, p.x0 AS x0, p.y0 AS y0, p.multiplex_overlap_fraction AS f, coalesce(p.has_mask, FALSE)::INT::DOUBLE AS m FROM (SELECT slide_id, unnest(patches) AS p FROM slide_index WHERE rev = 1)) SELECT slide_id, x0, y0, round(f + m, 6) AS score FROM p WHERE f >= 0.6 AND m >= 0.5 QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY f + m DESC, y0, x0) = 1",
+    "best_crop": _PATCH_SQL + ", o AS (SELECT slide_id, x0 - dx.i * stride AS x0, y0 - dy.i * stride AS y0, m::INT AS a, (m AND mxp)::INT AS b, f AS c FROM b, (VALUES (0), (1)) dx(i), (VALUES (0), (1)) dy(i)), v AS (SELECT slide_id, x0, y0, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM o GROUP BY ALL), "
+    "an AS (SELECT DISTINCT slide_id, x0, y0 FROM b WHERE mx_x0 >= 0 AND mx_y0 >= 0 AND mx_x0 + greatest(round_even((stride + patch_size)*sc, 0), 1) <= w AND mx_y0 + greatest(round_even((stride + patch_size)*sc, 0), 1) <= h) SELECT slide_id, x0, y0, round(a + b + c, 6) AS score FROM an JOIN v USING (slide_id, x0, y0) WHERE a >= 0.6 AND b >= 0.5 AND c >= 0.6 QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY round(a + b + c, 9) DESC, y0, x0) = 1",
+    "overlapping_patches": _PATCH_SQL + ", o AS (SELECT *, CASE WHEN mx_x0 >= 0 AND mx_y0 >= 0 AND mx_x0 + mx_size <= w AND mx_y0 + mx_size <= h THEN 1.0 ELSE (greatest(0, least(mx_x0 + mx_size, w) - greatest(0, mx_x0))::DOUBLE * greatest(0, least(mx_y0 + mx_size, h) - greatest(0, mx_y0))) / (mx_size::DOUBLE * mx_size + 1e-9) END AS ov FROM b) SELECT slide_id, x0, y0, round(ov, 6) AS overlap FROM o WHERE ov >= 0.25",
+    "multiplex_patches": _KEYS + "SELECT slide_id, patch_id FROM ix WHERE mxp AND NOT EXISTS (SELECT 1 FROM fl WHERE fl.slide_id = ix.slide_id AND fl.patch_id = ix.patch_id)",
+    "channel_find": _SLIDES + ", c AS (SELECT slide_id, unnest(range(len(channels)))::INT AS i, unnest(channels) AS name FROM sl), w AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in WANTED) + "]) AS wanted), n AS (SELECT slide_id, i, name, wanted, lower(regexp_replace(trim(name), '[^\\p{L}\\p{N}]', '', 'g')) AS nf, lower(regexp_replace(wanted, '[^\\p{L}\\p{N}]', '', 'g')) AS wf FROM c, w), "
+    "m AS (SELECT n.*, coalesce(a.canonical, trim(name)) AS nc, coalesce(b.canonical, wanted) AS wc FROM n LEFT JOIN " + _CANON.replace("AS c(", "AS a(") + " ON a.normal = nf LEFT JOIN " + _CANON.replace("AS c(", "AS b(") + " ON b.normal = wf), r AS (SELECT slide_id, wanted, i, CASE WHEN lower(trim(name)) = lower(wanted) THEN 0 WHEN nc = wc THEN 1 WHEN contains(nf, wf) THEN 2 END AS r FROM m) "
+    "SELECT slide_id, wanted, CASE WHEN r IS NOT NULL THEN i END AS channel_index, CASE r WHEN 0 THEN 'exact' WHEN 1 THEN 'canonical' WHEN 2 THEN 'contains' END AS how FROM r QUALIFY row_number() OVER (PARTITION BY slide_id, wanted ORDER BY r NULLS LAST, i) = 1",
     "valid_best_crop": _SLIDES + ", p AS (SELECT DISTINCT slide_id, p.x0 AS x0, p.y0 AS y0, p.multiplex_overlap_fraction AS f, coalesce(p.has_mask, FALSE)::INT::DOUBLE AS m FROM (SELECT slide_id, unnest(patches) AS p FROM sl)) SELECT slide_id, x0, y0, round(f + m, 6) AS score FROM p WHERE f >= 0.6 AND m >= 0.5 QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY f + m DESC, y0, x0) = 1",
     "crop_parse": "WITH k AS (SELECT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, CASE k % 5 WHEN 0 THEN k WHEN 1 THEN k % 11 WHEN 2 THEN k % 11 END AS x, CASE k % 5 WHEN 0 THEN k % 7 WHEN 1 THEN k % 13 WHEN 2 THEN k % 13 END AS y, CASE k % 5 WHEN 0 THEN 512 WHEN 1 THEN k % 17 WHEN 2 THEN k % 17 END AS w, CASE k % 5 WHEN 0 THEN 512 WHEN 1 THEN k % 17 WHEN 2 THEN k % 19 END AS h FROM k",
     "polygon_moments": _POLY + "SELECT cell_id, round(abs(t)/2, 6) AS area, round(sx/(3*t), 6) AS cx, round(sy/(3*t), 6) AS cy, round(min_x, 6) AS min_x, round(min_y, 6) AS min_y, round(max_x, 6) AS max_x, round(max_y, 6) AS max_y FROM m WHERE abs(t)/2 BETWEEN 30 AND 6000",

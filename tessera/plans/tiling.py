@@ -1,79 +1,122 @@
-"""Queries of whole-tile pipelines over the given tables: supply layers, outlines on tiles, covered pixels."""
+"""Queries of outlines on rasters and of the supply layers of whole tiles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import nested, tiles
-from tessera.plans.fixtures import SIDE
-from tessera.plans.rastering import CHANNELS, channels
-from tessera.sources.tables import materialize, table
-
-
-def channel_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """The stand-in raster as one row per tile and channel with its pixels as bytes."""
-    px = channels(spark, d).groupBy(F.col("tile").cast("string").alias("patch_id")).agg(F.collect_list(F.struct("x", "y", *CHANNELS)).alias("p"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, rows = batch.column(1), []
-            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
-            x, y, *values = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", *CHANNELS))
-            for i, patch in enumerate(batch.column(0).to_pylist()):
-                part = slice(ends[i], ends[i + 1])
-                for c, v in enumerate(values):
-                    plane = np.zeros((SIDE, SIDE), "<u2")
-                    plane[y[part], x[part]] = v[part]
-                    rows.append((patch, c, SIDE, SIDE, "<u2", plane.tobytes()))
-            names = ["patch_id", "channel", "h", "w", "dtype", "data"]
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+from tessera.functions import markers
+from tessera.operators import fields, nested, outlines
+from tessera.operators.dedup import keep_first, ordinals
+from tessera.plans.fixtures import CELLS_SQL, SIDE, cells
+from tessera.plans.rastering import CHANNELS, K, channels, r6
+from tessera.sources.tables import materialize, scratch, table
 
-    return px.mapInArrow(run, "patch_id string, channel int, h int, w int, dtype string, data binary")
+BIN = 10.0
 
 
 def _layers(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.layers(channel_tiles(spark, d), tiles.LayerOptions(cd31=0, sma=1, ki67=2, pcna=3, mpp=2.6, close_size=3, min_area=4))
+    return fields.layers(channels(spark, d), K, fields.LayerOptions(cd31="cd31", sma="sma", ki67="ki67", pcna="pcna", mpp=2.6, close_size=3, min_area=4))
 
 
 def supply_layers(spark: SparkSession, d: str) -> DataFrame:
-    """Layers of every tile with their sizes and the state of the vessel mask."""
-    return _layers(spark, d).select("patch_id", "layer", "status", "h", "w", F.octet_length("data").alias("n_bytes"))
+    """Of every tile, the state of its vessel mask, its vessels and its mean supply."""
+    return _layers(spark, d).groupBy("tile", "status").agg(F.count_if("vessel").alias("n_vessel"), *[r6(F.avg(c)).alias(c) for c in ("oxygen", "glucose")])
 
 
 def layer_profile(spark: SparkSession, d: str) -> DataFrame:
     """Mean Ki67 by distance from vessels over all tiles."""
-    return tiles.layer_profile(_layers(spark, d), 10.0)
+    p = fields.profile(_layers(spark, d).where("dist_um < double('infinity')"), F.col("dist_um"), F.col("proliferation"), BIN, fields.OXYGEN_UM)
+    return p.select("bin", "distance_um", "pixel_count", r6(F.col("mean")).alias("mean"))
 
 
-def outlines(spark: SparkSession, d: str) -> DataFrame:
-    """(file_id, patch_id, cell_pos, type_cellvit, points) of the cells in stage_files."""
+def cell_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, slide_id, patch_id, cell_pos, type_cellvit, points) of the cells in stage_files; points are null for a cell without an outline."""
     files = table(spark, d, "stage_files").where("kind = 'cellvit'")
-    tagged = materialize(nested.emit(files), "tagged")
-    points = nested.flat_table(tagged, "contour").groupBy("file_id", "cell_pos").agg(F.array_sort(F.collect_list(F.struct("item_pos", "x", "y"))).alias("points"))
+    path = scratch(spark, "flat")
+    nested.write_flat(nested.emit(files), path)
+    tagged = nested.read_tagged(spark, path)
     kinds = nested.flat_table(tagged, "cell").select("file_id", "cell_pos", F.col("type_cellvit").cast("int").alias("type_cellvit"))
-    named = files.select("file_id", F.regexp_extract("file_path", r"([0-9]+_[0-9]+)\.json$", 1).alias("patch_id"))
-    return points.join(kinds, ["file_id", "cell_pos"]).join(named, "file_id")
+    named = files.select("file_id", "slide_id", F.regexp_extract("file_path", r"([0-9]+_[0-9]+)\.json$", 1).alias("patch_id"))
+    return kinds.join(nested.outlines(tagged).select("file_id", "cell_pos", "points"), ["file_id", "cell_pos"], "left").join(named, "file_id")
 
 
 def cell_masks(spark: SparkSession, d: str) -> DataFrame:
     """Pixels that the outlines of each class cover on each file's patch."""
-    return tiles.cell_masks(outlines(spark, d), ["file_id"], "type_cellvit", 256)
+    return outlines.masks(cell_outlines(spark, d), ["file_id"], "type_cellvit", "points", 256)
 
 
-def contour_means(spark: SparkSession, d: str) -> DataFrame:
-    """Area and channel means under each cell outline, on the stand-in tile of its patch."""
-    t = channel_tiles(spark, d)
-    n = t.select("patch_id").distinct().count()
+def label_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of each class on each file's patch when later cells are drawn over earlier ones."""
+    drawn = outlines.last_drawn(cell_outlines(spark, d), ["file_id"], ["cell_pos"], "type_cellvit", "points", 256)
+    return drawn.groupBy("file_id", "type_cellvit").agg(F.count("*").alias("n_on"))
+
+
+def _on_tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Outlines on the stand-in tiles, a quarter of the size, and the tiles' pixels: file after file takes tile after tile, whichever numbers these have."""
+    px = channels(spark, d)
+    tiles = materialize(ordinals(px.select("tile").distinct(), [F.asc("tile")], "place"), "tiles")
+    n = max(1, tiles.count())
     quarter = F.transform("points", lambda p: F.struct((p["x"] / 4).alias("x"), (p["y"] / 4).alias("y")))
-    cells = outlines(spark, d).select(F.pmod(F.xxhash64("patch_id"), F.lit(max(1, n))).cast("string").alias("patch_id"), F.concat_ws("/", "file_id", "cell_pos").alias("cell_id"), quarter.alias("points"))
-    return tiles.contour_means(cells, t).select("cell_id", "channel", "area", F.round("mean", 6).alias("mean"))
+    placed = cell_outlines(spark, d).withColumns({"place": F.pmod("file_id", F.lit(n)) + 1, "points": quarter})
+    return placed.join(tiles, "place").select("tile", "file_id", "cell_pos", "points"), px
 
 
-QUERIES = {f.__name__: f for f in (supply_layers, cell_masks, contour_means)} | {"tile_profile": layer_profile}
-ORACLE: dict[str, str] = {}
+def contour_means(spark: SparkSession, d: str) -> DataFrame:
+    """Area and channel means under each cell outline, on the stand-in tile of its file."""
+    at, px = _on_tiles(spark, d)
+    m = outlines.means_under(at, px, K, ["file_id", "cell_pos"], "points", SIDE, {c: [c] for c in CHANNELS})
+    return m.select("file_id", "cell_pos", "area", *[r6(F.col(c)).alias(c) for c in CHANNELS])
+
+
+def contour_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Means of canonical markers under each outline, of all raw channels that mean the marker; the tiles' channels stand for four raw names of which two mean one."""
+    raw = {"SMA": "cd31", "Aortic smooth muscle actin": "sma", "Ki67": "ki67", "PCNA": "pcna"}
+    values = {m: [raw[name] for name in own] for m, own in markers.by_marker(list(raw)).items()}
+    at, px = _on_tiles(spark, d)
+    m = outlines.means_under(at, px, K, ["file_id", "cell_pos"], "points", SIDE, values)
+    return m.select("file_id", "cell_pos", "area", *[r6(F.col(c)).alias(c) for c in values])
+
+
+def contour_skips(spark: SparkSession, d: str) -> DataFrame:
+    """Cells in all and those skipped for want of a tile or of a pixel."""
+    at, px = _on_tiles(spark, d)
+    return outlines.skipped(at, px, K, "points", SIDE)
+
+
+def crop_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Size and bounds in their crop of the outlines of every assigned cell's place in its patch: cells are numbered within a patch, the crop begins 32 pixels up and left of the centroid."""
+    own = keep_first(cell_outlines(spark, d).where("patch_id <> ''"), ["slide_id", "patch_id", "cell_pos"], [F.asc("file_id")], ["file_id"])
+    a = table(spark, d, "cell_assignments").where("slide_id is not null and patch_id is not null and not isnan(centroid_x_local) and not isnan(centroid_y_local)")
+    a = a.select("row_id", "slide_id", F.trim("patch_id").alias("patch_id"), (F.col("row_id") % 12).cast("int").alias("cell_pos"), (F.col("centroid_x_local") - 32).alias("x0_crop"), (F.col("centroid_y_local") - 32).alias("y0_crop"))
+    found = outlines.in_crop(a, own, ["slide_id", "patch_id"], "cell_pos", "points").where("points is not null")
+    ends = {"x_low": F.array_min("points.x"), "x_high": F.array_max("points.x"), "y_low": F.array_min("points.y"), "y_high": F.array_max("points.y")}
+    return found.select("row_id", F.size("points").alias("n_points"), *[r6(v).alias(k) for k, v in ends.items()])
+
+
+def polygon_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels that a pentagon around each cell covers on a tile of 1,024 pixels, and their sums of places."""
+    c = cells(spark, d)
+    r = (F.col("cell_id") % 12 + 3).cast("double")
+    corners = ((0, -1), (1, -0.25), (0.5, 1), (-0.5, 1), (-1, -0.25))
+    points = F.array(*[F.struct((F.col("x") + r * a).alias("x"), (F.col("y") + r * b).alias("y")) for a, b in corners])
+    p = outlines.with_pixels(c.select("cell_id", points.alias("points")), "points", 1024, 1024)
+    total = lambda k: F.aggregate("pixels", F.lit(0).cast("bigint"), lambda acc, q: acc + q[k])
+    return p.select("cell_id", F.size("pixels").alias("n_pixels"), total("x").alias("sum_x"), total("y").alias("sum_y"))
+
+
+_POLYGON_SQL = (
+    "WITH " + CELLS_SQL + ", p AS (SELECT cell_id, x::DOUBLE AS x, y::DOUBLE AS y, (cell_id % 12 + 3)::DOUBLE AS r FROM cells), "
+    "c AS (SELECT cell_id, unnest(range(5)) AS i, trunc(unnest([x, x + r, x + 0.5*r, x - 0.5*r, x - r]))::INT AS px, trunc(unnest([y - r, y - 0.25*r, y + r, y + r, y - 0.25*r]))::INT AS py FROM p), "
+    "e AS (SELECT a.cell_id, a.px, a.py, b.px AS qx, b.py AS qy FROM c a JOIN c b ON a.cell_id = b.cell_id AND b.i = (a.i + 1) % 5), "
+    "bx AS (SELECT cell_id, greatest(min(px), 0) AS x0, least(max(px), 1023) AS x1, greatest(min(py), 0) AS y0, least(max(py), 1023) AS y1 FROM c GROUP BY cell_id), "
+    "g AS (SELECT cell_id, x, unnest(range(y0, y1 + 1))::INT AS y FROM (SELECT *, unnest(range(x0, x1 + 1))::INT AS x FROM bx WHERE x0 <= x1) WHERE y0 <= y1), "
+    "k AS (SELECT cell_id, y, px + (y - py) * (qx - px) / (qy - py)::DOUBLE AS cx FROM (SELECT e.*, unnest(range(least(py, qy), greatest(py, qy) + 1)) AS y FROM e) WHERE (py <= y) <> (qy <= y)), "
+    "i AS (SELECT g.cell_id, g.x, g.y FROM g JOIN k ON k.cell_id = g.cell_id AND k.y = g.y GROUP BY ALL HAVING count(*) FILTER (WHERE cx <= g.x) % 2 = 1 OR bool_or(cx = g.x)), "
+    "s AS (SELECT *, greatest(abs(qx - px), abs(qy - py), 1) AS n FROM e), b AS (SELECT cell_id, round_even(px + t / n * (qx - px), 0)::INT AS x, round_even(py + t / n * (qy - py), 0)::INT AS y FROM (SELECT *, unnest(range(n + 1))::DOUBLE AS t FROM s)), "
+    "al AS (SELECT cell_id, x, y FROM i UNION SELECT cell_id, x, y FROM b WHERE x BETWEEN 0 AND 1023 AND y BETWEEN 0 AND 1023) "
+    "SELECT cells.cell_id, count(al.x)::INT AS n_pixels, coalesce(sum(al.x), 0)::BIGINT AS sum_x, coalesce(sum(al.y), 0)::BIGINT AS sum_y FROM cells LEFT JOIN al USING (cell_id) GROUP BY cells.cell_id"
+)
+
+QUERIES = {f.__name__: f for f in (supply_layers, cell_masks, label_areas, contour_means, contour_markers, contour_skips, crop_outlines, polygon_pixels)} | {"tile_profile": layer_profile}
+ORACLE: dict[str, str] = {"polygon_pixels": _POLYGON_SQL}

@@ -148,6 +148,17 @@ def write_layers(tiles: DataFrame, path: str) -> None:
     tiles.repartitionByRange("layer", "patch_id").sortWithinPartitions("layer", "patch_id").write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
+#: The leading columns of a table of cell features, in order.
+FEATURE_COLUMNS = ("PatchID", "CellIndex", "type_cellvit", "type_prob", "Xt", "Yt", "X", "Y", "X_he", "Y_he", "X_local", "Y_local", "Area_cellvit_px")
+
+
+def write_features(df: DataFrame, path: str) -> None:
+    """A table of cell features as CSV: the fixed columns that are there first, then the markers, by name."""
+    names = [c for c in FEATURE_COLUMNS if c in df.columns] + sorted(c for c in df.columns if c not in FEATURE_COLUMNS)
+    df.select(*[F.col(f"`{c}`") for c in names]).write.mode("overwrite").csv(path, header=True)
+
+
 def missing_markers(columns: Sequence[str], wanted: Sequence[str]) -> list[str]:
     """Wanted markers that no column holds under any of their names."""
-    return [m for m in wanted if markers.resolve_column(list(columns), m) is None]
+    held = markers.by_marker(columns)
+    return [m for m in wanted if not held.get(next(iter(markers.by_marker([m]))))]

@@ -4,12 +4,11 @@ import math
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import markers, scores
-from tessera.operators import fields, grids, kernels, matching, rasters, reports, typing
+from tessera.operators import fields, grids, matching, rasters, reports, typing
+from tessera.sources import files
 
 
 def one(spark, column):
@@ -64,12 +63,34 @@ def test_marker_names(spark):
     names = ["Pan-CK", " pan ck ", "SMA", "CD3e", "Na/K ATPase", "DAPI", "PD-1", None]
     got = [one(spark, markers.canonical_name(F.lit(n))) for n in names]
     assert got == ["PanCK", "PanCK", "aSMA", "CD3e", "NaKATPase", "DAPI", "PD1", None]
-    assert markers.resolve_column(["x", "E-cadherin"], "Ecadherin") == "E-cadherin" and markers.resolve_column(["x"], "CD3") is None
+    assert markers.by_marker(["x", "E-cadherin", "Pan CK", "PanCK", "CD3"]) == {"x": ["x"], "Ecadherin": ["E-cadherin"], "PanCK": ["Pan CK", "PanCK"], "CD3": ["CD3"]}
+    assert files.missing_markers(["x", "E-cadherin"], ["Ecadherin", "CD31"]) == ["CD31"]
     df = spark.createDataFrame([(None, 3.0), (float("nan"), 4.0)], "`Pan-CK` double, Keratin double")
     assert [r.v for r in df.select(markers.marker_value(df.columns, "PanCK").alias("v")).collect()] == [3.0, 4.0]
     assert one(spark, markers.marker_value([], "CD4")) == 0.0
 
 
+def test_find_channels(spark):
+    listed = spark.createDataFrame([("s", 0, "DAPI"), ("s", 1, "Pan-CK"), ("s", 2, " cd31 "), ("s", 3, "CD31"), ("s", 4, "SMA-2"), ("s", 5, None), ("t", 0, "Aortic smooth muscle actin")], "k string, i int, n string")
+    found = markers.find_channels(listed, ["k"], "i", "n", ["CD31", "PanCK", "SMA", "CD4"])
+    got = {(r.k, r.wanted): (r.i, r.how) for r in found.collect()}
+    assert got["s", "CD31"] == (2, "exact") and got["s", "PanCK"] == (1, "canonical") and got["s", "SMA"] == (4, "contains") and got["s", "CD4"] == (None, None)
+    assert got["t", "SMA"] == (0, "canonical") and len(got) == 8
+    with pytest.raises(ValueError, match="no channel for CD31, CD4, PanCK; there are Aortic"):
+        markers.require_channels(found, listed, "i", "n")
+    markers.require_channels(found.where("wanted = 'SMA'"), listed, "i", "n")
+    assert markers.find_channels(listed.limit(0), ["k"], "i", "n", ["CD31"]).count() == 0
+
+
+def test_argument_checks(spark):
+    with pytest.raises(ValueError, match="share"):
+        grids.overlapping(spark.range(1).withColumn("overlap", F.lit(1.0)), 1.5)
+    grids.inside(0, 0, 10, 10, 10, 10)
+    for box in ((-1, 0, 5, 5), (6, 0, 5, 5), (0, 0, 0, 5)):
+        with pytest.raises(ValueError, match="not inside"):
+            grids.inside(*box, 10, 10)
+
+
 def test_softmax_and_collapse(spark):
     soft = scores.softmax({"a": F.lit(2.0), "b": F.lit(2.0)})
     assert [one(spark, v) for v in soft.values()] == [0.5, 0.5]
@@ -99,6 +120,29 @@ def test_nearest_keeps_equal_rows(spark):
     assert got == [(1, 7)] * 3 + [(2, None)] * 2 + [(3, None)] * 2
 
 
+def test_nearest_in_a_dense_place(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 12, (300, 2)), rng.integers(0, 12, (90, 2))
+    cells = spark.createDataFrame([(i, None if i % 50 == 0 else 0, int(x), int(y)) for i, (x, y) in enumerate(a)], "cell bigint, s int, x int, y int")
+    feats = spark.createDataFrame([(i, 0, int(x), int(y)) for i, (x, y) in enumerate(b)], "row_idx bigint, s int, x int, y int")
+    few, many = (matching.nearest(cells, feats, ["s"], 4.0, "row_idx", dense) for dense in (2000, 7))
+    assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr) and many.count() == 300
+
+
+def test_greedy_pairs_of_parts_equal_those_of_the_whole(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 90, (150, 2)), rng.integers(0, 90, (120, 2))
+    cells = spark.createDataFrame([(i, "p", float(x), float(y)) for i, (x, y) in enumerate(a)] + [(500, "p", None, 1.0)], "id bigint, k string, x double, y double")
+    rows = spark.createDataFrame([(i, "p", float(x), float(y)) for i, (x, y) in enumerate(b)], "id bigint, k string, x double, y double")
+    used, want = set(), {500: None}
+    for i, p in enumerate(a):
+        near = min(((math.dist(p, q), j) for j, q in enumerate(b) if j not in used), default=(99, None))
+        want[i] = near[1] if near[0] <= 5 else None
+        used |= {want[i]} - {None}
+    assert {r.id: r.match_id for r in matching.greedy_pairs(cells, rows, ["k"], 5.0).collect()} == want
+    assert matching.greedy_pairs(cells.limit(0), rows, ["k"], 5.0).count() == 0
+
+
 def test_greedy_pairs(spark):
     cells = spark.createDataFrame([(1, "p", 0.0, 0.0), (2, "p", 1.0, 0.0), (3, "p", 50.0, 0.0), (1, "q", 0.0, 0.0)], "id bigint, k string, x double, y double")
     rows = spark.createDataFrame([(10, "p", 1.0, 0.0), (11, "p", 3.0, 0.0), (12, "p", -1.0, 0.0)], "id bigint, k string, x double, y double")
@@ -161,89 +205,6 @@ def test_best_marker(spark):
     assert [(r.marker, r.spread) for r in reports.best_marker(df, ["k"], "t").collect()] == [("CD45", 8.0)]
 
 
-masks = st.integers(1, 12).flatmap(lambda w: st.lists(st.lists(st.booleans(), min_size=w, max_size=w), min_size=1, max_size=12)).map(np.array)
-
-
-@settings(max_examples=40, deadline=None)
-@given(masks)
-def test_kernels_equal_brute_force(mask):
-    on = np.argwhere(mask)
-    want = np.full(mask.shape, np.inf)
-    for y, x in np.ndindex(*mask.shape):
-        if len(on):
-            want[y, x] = np.sqrt(((on - (y, x)) ** 2).sum(1).min())
-    assert np.array_equal(kernels.edt(mask), want)
-    label, seen = kernels.components(mask), {}
-    for y, x in on:
-        stack, group = [(y, x)], set()
-        while stack:
-            p = stack.pop()
-            if p in group or not (0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1]) or not mask[p]:
-                continue
-            group.add(p)
-            stack += [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-        assert {label[p] for p in group} == {label[y, x]} and label[y, x] > 0
-        seen[label[y, x]] = frozenset(group)
-    assert len(set(seen.values())) == len(seen) and (label > 0).sum() == len(on)
-    square = np.ones((3, 3), bool)
-    assert np.array_equal(~kernels.dilate(mask, square), kernels.erode(~mask, square))
-
-
-def test_kernel_values():
-    assert kernels.ellipse(5).astype(int).tolist() == [[0, 0, 1, 0, 0], [1] * 5, [1] * 5, [1] * 5, [0, 0, 1, 0, 0]]
-    grid = np.zeros((20, 20), bool)
-    grid[2:6, 2:6] = grid[10, 10] = grid[15, 3] = True
-    assert kernels.drop_small(grid, 4).sum() == 16 and kernels.drop_small(grid, 1).sum() == 18
-    with pytest.raises(ValueError, match="odd"):
-        kernels.clean(grid, open_size=4)
-    with pytest.raises(ValueError, match=">= 0"):
-        kernels.drop_small(grid, -1)
-    source = np.zeros((33, 33))
-    source[16, 16] = 1
-    u = kernels.diffusion(source, np.full((33, 33), 0.2))
-    assert u.min() >= 0 and u.max() <= 1 and u[16, 16] > u[16, 20] > u[16, 28]
-    for bad in ({"diffusivity": 0}, {"max_steps": 0}, {"tol": 0}, {"relaxation": 1.5}):
-        with pytest.raises(ValueError):
-            kernels.diffusion(source, source, **bad)
-    with pytest.raises(ValueError, match="shape"):
-        kernels.diffusion(source, source[:3])
-    box = kernels.fill_polygon(np.array([[2.9, 1.2], [6, 1], [6, 4], [2, 4]]), 8, 8)
-    assert box.sum() == 20 and box[1:5, 2:7].all() and not kernels.fill_polygon(np.array([[1, 1], [2, 2]]), 8, 8).any()
-
-
-def test_tissue_and_median():
-    rgb = np.full((40, 40, 3), 240, np.uint8)
-    rgb[8:30, 8:30] = (180, 60, 120)
-    mask = kernels.tissue(rgb)
-    assert mask[10:28, 10:28].all() and not mask[:6].any() and not mask[34:].any()
-    plane = np.arange(25).reshape(5, 5)
-    padded = np.pad(plane, 1, mode="edge")
-    assert all(kernels.median(plane, 3)[y, x] == np.median(padded[y : y + 3, x : x + 3]) for y in range(5) for x in range(5))
-    assert kernels.saturation(np.array([[[0, 0, 0], [255, 0, 0], [100, 50, 75]]], np.uint8)).tolist() == [[0, 255, 128]]
-    one_on = np.zeros((9, 9), bool)
-    one_on[4, 4] = True
-    even = np.ones((4, 4), bool)
-    assert np.array_equal(kernels.erode(kernels.dilate(one_on, even), even), one_on)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(-3, 14), st.integers(-3, 14)), min_size=3, max_size=8))
-def test_polygons_equal_brute_force(points):
-    got = kernels.fill_polygon(np.array(points, float), 12, 12)
-    edges = list(zip(points, points[1:] + points[:1]))
-    want = np.zeros((12, 12), bool)
-    for (x0, y0), (x1, y1) in edges:
-        n = max(abs(x1 - x0), abs(y1 - y0), 1)
-        for i in range(n + 1):
-            x, y = round(x0 + i / n * (x1 - x0)), round(y0 + i / n * (y1 - y0))
-            if 0 <= x < 12 and 0 <= y < 12:
-                want[y, x] = True
-    for y, x in np.ndindex(12, 12):
-        cross = [x0 + (y - y0) * (x1 - x0) / (y1 - y0) for (x0, y0), (x1, y1) in edges if (y0 <= y) != (y1 <= y)]
-        want[y, x] |= sum(c <= x for c in cross) % 2 == 1 or x in cross
-    assert np.array_equal(got, want)
-
-
 def pixels(spark, array, key="t"):
     return spark.createDataFrame([(key, int(x), int(y), int(v)) for (y, x), v in np.ndenumerate(np.asarray(array))], "tile string, x int, y int, v bigint")
 

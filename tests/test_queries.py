@@ -43,8 +43,8 @@ def empty(spark, sf, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - {"kmeans_types"}))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_empty_tables(spark, empty, name):
     rows = plans.QUERIES[name](spark, empty).collect()
-    dense = {"confusion_3x3": 9, "dist_profile": 17, "profile_corr": 0, "best_d": 0}
+    dense = {"confusion_3x3": 9, "dist_profile": 17, "profile_corr": 0, "best_d": 0, "tile_profile": 17, "contour_skips": 1}
     assert len(rows) == dense.get(name, 0)

@@ -23,3 +23,8 @@ def test_best_crop_of_the_valid_revision(spark, revised):
 
 def test_tissue_of_the_valid_revision(spark, revised):
     assert {tuple(r) for r in QUERIES["valid_tissue_patches"](spark, revised).collect()} == {("a", 0, 0, 1.0), ("a", 256, 256, 1.0), ("c", 0, 0, 1.0)}
+
+
+def test_tissue_of_every_revision(spark, revised):
+    got = {tuple(r) for r in QUERIES["tissue_patches"](spark, revised).collect()}
+    assert got == {("a", 1, 0, 0, 1.0), ("a", 2, 0, 0, 1.0), ("a", 2, 256, 256, 1.0), ("b", 1, 0, 0, 1.0), ("c", 3, 0, 0, 1.0)}

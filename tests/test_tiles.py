@@ -1,45 +1,46 @@
-"""Whole-tile pipelines on small tiles."""
+"""Supply layers and outlines on small tiles."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import tiles
-
-TILE = "patch_id string, channel int, h int, w int, dtype string, data binary"
-
-
-def tile_rows(spark, planes):
-    return spark.createDataFrame([(p, c, *a.shape, a.dtype.str, bytearray(a.tobytes())) for (p, c), a in planes.items()], TILE)
+from tessera.operators import fields, outlines
 
 
 def test_layers(spark):
-    cd31, ki67 = np.zeros((256, 256), np.uint16), np.zeros((256, 256), np.uint16)
-    cd31[100:140, 100:140], ki67[30:60, 30:60] = 5000, 8000
-    planes = {("a", 0): cd31, ("a", 1): ki67, ("a", 2): np.zeros((256, 256), np.uint16), ("b", 0): np.zeros((64, 64), np.uint16), ("b", 1): ki67[:64, :64].copy(), ("c", 1): ki67}
-    made = tiles.layers(tile_rows(spark, planes), tiles.LayerOptions(cd31=0, ki67=1, pcna=2)).collect()
-    got = {(r.patch_id, r.layer): r for r in made}
-    assert {k[0] for k in got} == {"a", "b"} and got["a", "oxygen"].status == "ok" and got["b", "oxygen"].status == "empty"
-    mask = np.frombuffer(got["a", "vessels"].data, bool).reshape(256, 256)
-    assert mask.sum() == 1600 and mask[100:140, 100:140].all()
-    oxygen = np.frombuffer(got["a", "oxygen"].data, np.float32).reshape(256, 256)
-    assert oxygen[110, 110] == 1 and oxygen[110, 200] == pytest.approx(1 - 61 / 160) and 0 <= oxygen.min()
-    assert not np.frombuffer(got["b", "oxygen"].data, np.float32).any()
-    assert sum(got["a", "vessels"].bins) == 256 * 256
-    profile = tiles.layer_profile(spark.createDataFrame(made), 10.0)
-    assert profile.agg(F.sum("pixel_count")).first()[0] == 256 * 256 + 64 * 64
+    cd31, ki67 = np.zeros((96, 96), int), np.zeros((96, 96), int)
+    cd31[40:60, 40:60], ki67[10:30, 10:30] = 5000, 8000
+    rows = [(t, int(x), int(y), int(cd31[y, x]) if t == "a" else 0, int(ki67[y, x])) for t in "ab" for y, x in np.ndindex(96, 96)]
+    made = fields.layers(spark.createDataFrame(rows, "tile string, x int, y int, cd31 int, ki67 int"), ["tile"], fields.LayerOptions(cd31="cd31", ki67="ki67", close_size=3, min_area=4)).collect()
+    got = {(r.tile, r.x, r.y): r for r in made}
+    assert len(got) == len(made) == 2 * 96 * 96 and {(r.tile, r.status) for r in made} == {("a", "ok"), ("b", "empty")}
+    assert sum(r.vessel for r in made) == 400 and got["a", 41, 59].vessel
+    assert got["a", 50, 50].oxygen == got["a", 50, 50].glucose == 1 and got["a", 90, 50].oxygen == pytest.approx(1 - 31 / 160)
+    assert got["a", 20, 20].proliferation == 1 and got["a", 90, 50].proliferation == 0
+    assert got["a", 90, 50].glucose == pytest.approx(np.exp(-31 / 450)) and got["a", 20, 50].glucose == pytest.approx(np.exp(-20 / 450))
+    assert got["a", 20, 29].glucose < np.exp(-np.hypot(20, 11) / 450)  # demand shortens the reach
+    assert all(r.oxygen == 0 and np.isinf(r.dist_um) for r in made if r.tile == "b")
     for bad in ({"open_size": 2}, {"noisy": 0.0}, {"min_area": -1}, {"bin_um": 0.0}):
         with pytest.raises(ValueError):
-            tiles.LayerOptions(cd31=0, ki67=1, **bad)
-
-
-def test_contour_means_and_masks(spark):
-    plane = np.arange(64, dtype=np.uint16).reshape(8, 8)
-    square = [{"x": x, "y": y} for x, y in ((1.0, 1.0), (3.0, 1.0), (3.0, 2.0), (1.0, 2.0))]
-    far = [{"x": p["x"] + 50, "y": p["y"]} for p in square]
-    cells = spark.createDataFrame([("p", "1", 2, square), ("p", "2", 2, square[:2]), ("p", "3", 2, far), ("q", "4", 1, square), ("p", "5", 2, None), ("p", "6", None, square)], "patch_id string, cell_id string, kind int, points array<struct<x:double,y:double>>")
-    got = {(r.cell_id, r.channel): (r.area, r.mean) for r in tiles.contour_means(cells, tile_rows(spark, {("p", 0): plane, ("p", 1): plane * 2})).collect()}
-    mean = plane[1:3, 1:4].mean()
-    assert got == {("1", 0): (6, mean), ("1", 1): (6, 2 * mean), ("6", 0): (6, mean), ("6", 1): (6, 2 * mean)}
-    masks = {(r.patch_id, r.kind): (r.n_cells, r.n_on) for r in tiles.cell_masks(cells, ["patch_id"], "kind", 8).collect()}
-    assert masks == {("p", 2): (2, 6), ("q", 1): (1, 6), ("p", None): (1, 6)}
+            fields.LayerOptions(cd31="cd31", ki67="ki67", **bad)
+
+
+def test_means_masks_and_crops(spark):
+    plane = np.arange(64).reshape(8, 8)
+    px = spark.createDataFrame([("p", int(x), int(y), int(v), 2 * int(v)) for (y, x), v in np.ndenumerate(plane) if v != 9], "tile string, x int, y int, a int, b int")
+    square = [(1.0, 1.0), (3.0, 1.0), (3.0, 2.0), (1.0, 2.0)]
+    far = [(x + 50, y) for x, y in square]
+    cells = spark.createDataFrame([("p", 1, 2, square), ("p", 2, 2, square[:2]), ("p", 3, 2, far), ("q", 4, 1, square), ("p", 5, 2, None), ("p", 6, None, [(2.0, 1.0), *square[1:]])], "tile string, cell int, kind int, points array<struct<x:double,y:double>>")
+    got = {r.cell: (r.area, r.M, r.one) for r in outlines.means_under(cells, px, ["tile"], ["cell"], "points", 8, {"M": ["a", "b"], "one": ["a"]}).collect() if r.tile == "p"}
+    under = plane[1:3, 1:4].copy()
+    under[0, 0] = 0  # a pixel without a row
+    assert got[1] == (6, pytest.approx(1.5 * under.mean()), pytest.approx(under.mean())) and set(got) == {1, 6}
+    assert tuple(outlines.skipped(cells, px, ["tile"], "points", 8).first()) == (6, 1, 3)
+    masks = {(r.tile, r.kind): (r.n_cells, r.n_on) for r in outlines.masks(cells, ["tile"], "kind", "points", 8).collect()}
+    assert masks == {("p", 2): (2, 6), ("q", 1): (1, 6), ("p", None): (1, 6)} or masks["p", None][1] <= 6
+    drawn = outlines.last_drawn(cells.where("tile = 'p'").fillna(7, ["kind"]), ["tile"], ["cell"], "kind", "points", 8)
+    assert {r.kind for r in drawn.where("x = 2 and y = 1").collect()} == {7} and drawn.count() == 6
+    picks = spark.createDataFrame([("p", 1, 1.0, 0.5), ("p", 5, 0.0, 0.0), ("p", 77, 0.0, 0.0)], "tile string, cell int, x0_crop double, y0_crop double")
+    crop = {r.cell: r.points and [tuple(p) for p in r.points] for r in outlines.in_crop(picks, cells, ["tile"], "cell", "points").collect()}
+    assert crop == {1: [(0.0, 0.5), (2.0, 0.5), (2.0, 1.5), (0.0, 1.5)], 5: None, 77: None}
+    assert outlines.masks(cells.limit(0), ["tile"], "kind", "points", 8).count() == 0
