@@ -92,9 +92,14 @@ def compress(digest: DataFrame, keys: Sequence[str], eps: float) -> DataFrame:
     fewer than ``BITS / eps`` values stay exact and pass by as they are. Groups are bounded by the universe, not by their
     rows, and are handled many at a time in sorted batches.
     """
-    sized = materialize(digest.select(*keys, "node", "n").withColumn("__all", F.sum("n").over(Window.partitionBy(*keys))), "sized")
-    small, large = sized.where(F.col("__all") * eps < BITS), sized.where(F.col("__all") * eps >= BITS)
-    return small.drop("__all").unionByName(materialize(_compressed(large.drop("__all"), keys, eps), "compressed"))
+    digest = materialize(digest.select(*keys, "node", "n"), "digest")
+    sizes = digest.groupBy(*keys).agg(F.sum("n").alias("__all"), F.count("*").alias("__rows")).where(F.col("__all") * eps >= BITS)
+    large = materialize(sizes.select(*keys, "__rows", F.lit(True).alias("__large")), "large")
+    if large.isEmpty():
+        return digest
+    marked = attach(digest, large, keys, "__rows", "left")
+    small = marked.where("__large is null").drop("__large")
+    return small.unionByName(materialize(_compressed(marked.where("__large").drop("__large"), keys, eps), "compressed"))
 
 
 def _compressed(digest: DataFrame, keys: Sequence[str], eps: float) -> DataFrame:
@@ -158,10 +163,15 @@ def bounds(digest: DataFrame, keys: Sequence[str], shares: dict[str, float]) ->
     ``floor(q (count - 1)) + 1``-th value, the upper bound that of the next.
     """
     left, right = _ends()
-    by_right = Window.partitionBy(*keys).orderBy("__r", F.desc("__l"))
-    by_left = Window.partitionBy(*keys).orderBy(F.desc("__l"), "__r")
+    by_right = Window.partitionBy(*keys).orderBy("__r")
+    by_left = Window.partitionBy(*keys).orderBy(F.desc("__l"))
     per = digest.withColumns({"__l": left, "__r": right})
-    per = per.withColumns({"__up": F.sum("n").over(by_right), "__down": F.sum("n").over(by_left), "__all": F.sum("n").over(Window.partitionBy(*keys))})
+    per = per.withColumns({"__up": F.sum("n").over(by_right), "__all": F.sum("n").over(Window.partitionBy(*keys))})
+    if digest.where(F.col("node") < 1 << BITS).isEmpty():  # cells only: what lies at or above one is what isn't below it
+        before = F.coalesce(F.sum("n").over(by_right.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        per = per.withColumn("__down", F.col("__all") - before)
+    else:
+        per = per.withColumn("__down", F.sum("n").over(by_left))
     out = [F.max("__all").alias("count")]
     for name, q in shares.items():
         first = F.floor(F.lit(q) * (F.col("__all") - 1)) + 1
