@@ -50,13 +50,16 @@ def nearest(points: DataFrame, others: DataFrame, keys: Sequence[str], radius: f
     return best.select(*points.columns, F.col("__m.id").alias("match_id"), F.sqrt("__m.d2").alias("distance"))
 
 
+TOGETHER = 256
+
+
 def greedy_pairs(cells: DataFrame, rows: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
     """One-to-one nearest pairs per patch, in the order of cells, without replacement.
 
     ``cells`` and ``rows`` have the keys, ``id``, x and y; ``match_id`` is null where no unused row lies
     within ``radius``; the lowest id wins ties; null places match nothing. Sequential by nature, but only among what is linked: a patch is
-    parted into groups of adjoining squares of the radius that hold anything, between which no pair can be,
-    and each group is one call.
+    parted into groups of adjoining squares of the radius that hold anything, between which no pair can be, and
+    a call gets ``TOGETHER`` of them.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +87,7 @@ def greedy_pairs(cells: DataFrame, rows: DataFrame, keys: Sequence[str], radius:
     at = {"__bx": F.coalesce(F.floor(F.col("x") / radius).cast("int"), F.lit(0)), "__by": F.coalesce(F.floor(F.col("y") / radius).cast("int"), F.lit(0))}
     a, b = (df.select(*keys, F.col("id").cast("bigint").alias("id"), "x", "y").withColumns(at) for df in (cells, rows))
     held = a.select(*keys, F.col("__bx").alias("x"), F.col("__by").alias("y")).union(b.select(*keys, "__bx", "__by")).distinct()
-    parts = materialize(components(held, keys), "squares").select(*keys, F.col("x").alias("__bx"), F.col("y").alias("__by"), "label")
+    parts = materialize(components(held, keys), "squares").select(*keys, F.col("x").alias("__bx"), F.col("y").alias("__by"), F.floor(F.col("label") / TOGETHER).alias("label"))
     a, b = (df.join(parts.select(*[F.col(c).alias(c) for c in parts.columns]), [*keys, "__bx", "__by"]).select(*keys, "label", "id", "x", "y") for df in (a, b))
     return a.groupBy(*keys, "label").cogroup(b.groupBy(*keys, "label")).applyInPandas(run, schema)
 

@@ -149,11 +149,11 @@ def components(on: DataFrame, keys: Sequence[str]) -> DataFrame:
     while True:
         heard = edges.join(state.withColumnsRenamed({"node": "other"}), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("root").alias("__least"))
         nearer = state.join(heard, [*keys, "node"], "left").select(*keys, "node", F.col("root").alias("before"), F.least("root", F.coalesce("__least", "root")).alias("root"))
-        nearer = materialize(nearer, "nearer")
-        jumped = nearer.join(nearer.select(*keys, F.col("node").alias("root"), F.col("root").alias("further")), [*keys, "root"]).select(*keys, "node", F.col("further").alias("root"), "before")
-        jumped = materialize(jumped, "round")
-        state = jumped.drop("before")
-        if jumped.where("root <> before").isEmpty():
+        further = state.select(*keys, F.col("node").alias("root"), F.col("root").alias("__further"))
+        moved = nearer.join(further, [*keys, "root"]).select(*keys, "node", F.least("root", "__further").alias("root"), "before")
+        moved = materialize(moved, "round")
+        state = moved.drop("before")
+        if moved.where("root <> before").isEmpty():
             break
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("root"))
     labels = state.withColumn("label", number).select(*keys, F.col("node.y").alias("y"), F.col("node.x").alias("x0"), "label")

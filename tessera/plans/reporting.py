@@ -290,14 +290,6 @@ def channel_find(spark: SparkSession, d: str) -> DataFrame:
     return markers.find_channels(listed, ["slide_id"], "channel_index", "name", WANTED)
 
 
-def contour_moments(spark: SparkSession, d: str) -> DataFrame:
-    """Area, centroid and bounds of the outlines in the cell files, kept where the area is a nucleus's."""
-    from tessera.plans.tiling import cell_outlines
-
-    m = cell_outlines(spark, d).where("points is not null").select("file_id", "cell_pos", *[v.alias(k) for k, v in grids.polygon_measures(F.col("points")).items()])
-    return m.where("area between 30 and 6000").select("file_id", "cell_pos", *[r6(F.col(k)).alias(k) for k in ("area", "cx", "cy", "min_x", "min_y", "max_x", "max_y")])
-
-
 def crop_parse(spark: SparkSession, d: str) -> DataFrame:
     """Crop texts of two, three, four and other numbers of parts."""
     k = F.col("o_orderkey")
@@ -365,7 +357,7 @@ _CANON = "(VALUES ('keratin', 'Keratin'), ('panck', 'PanCK'), ('asma', 'aSMA'),
 _PATCH_SQL = _SLIDES + ", p AS (SELECT slide_id, patch_size, stride, sc, w, h, p.x0 AS x0, p.y0 AS y0, coalesce(p.multiplex_overlap_fraction, 0) AS f, coalesce(p.has_mask, FALSE) AS m, coalesce(p.has_multiplex, FALSE) AS mxp FROM (SELECT DISTINCT slide_id, patch_size, stride, coalesce(mpp_scale, 1.0) AS sc, floor(img_w*coalesce(mpp_scale, 1.0)*0.8)::BIGINT AS w, floor(img_h*coalesce(mpp_scale, 1.0)*0.8)::BIGINT AS h, unnest(patches) AS p FROM sl)), b AS (SELECT *, round_even(x0*sc, 0)::INT AS mx_x0, round_even(y0*sc, 0)::INT AS mx_y0, greatest(round_even(patch_size*sc, 0), 1)::INT AS mx_size FROM p) "
 _POLY = "WITH " + CELLS_SQL + ", p AS (SELECT cell_id, x::DOUBLE AS x, y::DOUBLE AS y, (cell_id % 40 + 3)::DOUBLE AS r FROM cells), c AS (SELECT cell_id, unnest(range(5)) AS i, unnest([x, x + r, x + 0.5*r, x - 0.5*r, x - r]) AS px, unnest([y - r, y - 0.25*r, y + r, y + r, y - 0.25*r]) AS py FROM p), e AS (SELECT a.cell_id, a.px, a.py, b.px AS qx, b.py AS qy FROM c a JOIN c b ON a.cell_id = b.cell_id AND b.i = (a.i + 1) % 5), m AS (SELECT cell_id, sum(px*qy - qx*py) AS t, sum((px+qx)*(px*qy - qx*py)) AS sx, sum((py+qy)*(px*qy - qx*py)) AS sy, min(px) AS min_x, min(py) AS min_y, max(px) AS max_x, max(py) AS max_y FROM e GROUP BY cell_id) "
 
-QUERIES = {f.__name__: f for f in (patch_summary, top_patches, representative_cells, agree_medium_disagree, class_margin, confusion_3x3, class_panel, best_marker, display_counts, majority_type, channel_panel, channel_lookup, alias_canonical, keep_first_cells, patch_grid, tissue_patches, valid_tissue_patches, mx_overlap, extent_check, coord_convert, dense_tile, bounds_split, available_patches, todo_patches, missing_counts, patch_key_union, affine_boxes, best_crop, valid_best_crop, overlapping_patches, multiplex_patches, channel_find, contour_moments, crop_parse, polygon_moments, json_cells, safe_numbers, sample_patches, cell_ordinals, stem_parse)}
+QUERIES = {f.__name__: f for f in (patch_summary, top_patches, representative_cells, agree_medium_disagree, class_margin, confusion_3x3, class_panel, best_marker, display_counts, majority_type, channel_panel, channel_lookup, alias_canonical, keep_first_cells, patch_grid, tissue_patches, valid_tissue_patches, mx_overlap, extent_check, coord_convert, dense_tile, bounds_split, available_patches, todo_patches, missing_counts, patch_key_union, affine_boxes, best_crop, valid_best_crop, overlapping_patches, multiplex_patches, channel_find, crop_parse, polygon_moments, json_cells, safe_numbers, sample_patches, cell_ordinals, stem_parse)}
 ORACLE = {
     "patch_summary": _W + f"SELECT slide_id, patch_id, {_SUMMARY}, round(avg(cs), 6) AS mean_confidence_score, round(avg(gap), 6) AS mean_final_margin, round(sum(coalesce(is_mismatch::INT, 0)) / count(*), 6) AS mismatch_rate FROM w GROUP BY slide_id, patch_id",
     "top_patches": _W + f"SELECT slide_id, patch_id, n_cells, mismatch_count, low_confidence_count, round(rate, 6) AS mismatch_rate FROM (SELECT slide_id, patch_id, {_SUMMARY}, sum(coalesce(is_mismatch::INT, 0)) / count(*) AS rate FROM w WHERE slide_id IS NOT NULL AND patch_id IS NOT NULL GROUP BY slide_id, patch_id) ORDER BY rate DESC, low_confidence_count DESC, n_cells DESC, slide_id, patch_id LIMIT 25",

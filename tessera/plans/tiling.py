@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import markers
-from tessera.operators import fields, nested, outlines
+from tessera.operators import fields, grids, nested, outlines
 from tessera.operators.dedup import keep_first, ordinals
-from tessera.plans.fixtures import CELLS_SQL, SIDE, cells
-from tessera.plans.rastering import CHANNELS, K, channels, r6
+from tessera.plans.fixtures import CELLS_SQL, SIDE, STAGE_SQL, cells, covered_sql
+from tessera.plans.rastering import _PX, CHANNELS, K, channels, r6
 from tessera.sources.tables import materialize, scratch, table
 
 BIN = 10.0
@@ -94,6 +94,12 @@ def crop_outlines(spark: SparkSession, d: str) -> DataFrame:
     return found.select("row_id", F.size("points").alias("n_points"), *[r6(v).alias(k) for k, v in ends.items()])
 
 
+def contour_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Area, centroid and bounds of the outlines in the cell files, kept where the area is a nucleus's."""
+    m = cell_outlines(spark, d).where("points is not null").select("file_id", "cell_pos", *[v.alias(k) for k, v in grids.polygon_measures(F.col("points")).items()])
+    return m.where("area between 30 and 6000").select("file_id", "cell_pos", *[r6(F.col(k)).alias(k) for k in ("area", "cx", "cy", "min_x", "min_y", "max_x", "max_y")])
+
+
 def polygon_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Pixels that a pentagon around each cell covers on a tile of 1,024 pixels, and their sums of places."""
     c = cells(spark, d)
@@ -107,16 +113,41 @@ def polygon_pixels(spark: SparkSession, d: str) -> DataFrame:
 
 _POLYGON_SQL = (
     "WITH " + CELLS_SQL + ", p AS (SELECT cell_id, x::DOUBLE AS x, y::DOUBLE AS y, (cell_id % 12 + 3)::DOUBLE AS r FROM cells), "
-    "c AS (SELECT cell_id, unnest(range(5)) AS i, trunc(unnest([x, x + r, x + 0.5*r, x - 0.5*r, x - r]))::INT AS px, trunc(unnest([y - r, y - 0.25*r, y + r, y + r, y - 0.25*r]))::INT AS py FROM p), "
-    "e AS (SELECT a.cell_id, a.px, a.py, b.px AS qx, b.py AS qy FROM c a JOIN c b ON a.cell_id = b.cell_id AND b.i = (a.i + 1) % 5), "
-    "bx AS (SELECT cell_id, greatest(min(px), 0) AS x0, least(max(px), 1023) AS x1, greatest(min(py), 0) AS y0, least(max(py), 1023) AS y1 FROM c GROUP BY cell_id), "
-    "g AS (SELECT cell_id, x, unnest(range(y0, y1 + 1))::INT AS y FROM (SELECT *, unnest(range(x0, x1 + 1))::INT AS x FROM bx WHERE x0 <= x1) WHERE y0 <= y1), "
-    "k AS (SELECT cell_id, y, px + (y - py) * (qx - px) / (qy - py)::DOUBLE AS cx FROM (SELECT e.*, unnest(range(least(py, qy), greatest(py, qy) + 1)) AS y FROM e) WHERE (py <= y) <> (qy <= y)), "
-    "i AS (SELECT g.cell_id, g.x, g.y FROM g JOIN k ON k.cell_id = g.cell_id AND k.y = g.y GROUP BY ALL HAVING count(*) FILTER (WHERE cx <= g.x) % 2 = 1 OR bool_or(cx = g.x)), "
-    "s AS (SELECT *, greatest(abs(qx - px), abs(qy - py), 1) AS n FROM e), b AS (SELECT cell_id, round_even(px + t / n * (qx - px), 0)::INT AS x, round_even(py + t / n * (qy - py), 0)::INT AS y FROM (SELECT *, unnest(range(n + 1))::DOUBLE AS t FROM s)), "
-    "al AS (SELECT cell_id, x, y FROM i UNION SELECT cell_id, x, y FROM b WHERE x BETWEEN 0 AND 1023 AND y BETWEEN 0 AND 1023) "
-    "SELECT cells.cell_id, count(al.x)::INT AS n_pixels, coalesce(sum(al.x), 0)::BIGINT AS sum_x, coalesce(sum(al.y), 0)::BIGINT AS sum_y FROM cells LEFT JOIN al USING (cell_id) GROUP BY cells.cell_id"
+    "c AS (SELECT cell_id AS id, unnest(range(5)) AS i, 5 AS n, trunc(unnest([x, x + r, x + 0.5*r, x - 0.5*r, x - r]))::INT AS px, trunc(unnest([y - r, y - 0.25*r, y + r, y + r, y - 0.25*r]))::INT AS py FROM p), "
+    + covered_sql(1024) + "SELECT cells.cell_id, count(al.x)::INT AS n_pixels, coalesce(sum(al.x), 0)::BIGINT AS sum_x, coalesce(sum(al.y), 0)::BIGINT AS sum_y FROM cells LEFT JOIN al ON al.id = cells.cell_id GROUP BY cells.cell_id"
+)
+_CELLS = STAGE_SQL + ", o AS (SELECT *, file_id * 1000000 + cell_pos AS id, kind_id::INT AS kind FROM jq)"
+
+
+def _on_side(side: int, scale: int) -> str:
+    corners = f"c AS (SELECT id, i, n, trunc(p.x / {scale})::INT AS px, trunc(p.y / {scale})::INT AS py FROM (SELECT id, len(points) AS n, unnest(range(len(points))) AS i, unnest(points) AS p FROM o WHERE len(points) >= 3)), "
+    return "WITH " + _CELLS + ", " + corners + covered_sql(side)
+
+
+def _means_sql(values: str) -> str:
+    tiles = ", tl AS (SELECT tile, row_number() OVER (ORDER BY tile) AS place FROM (SELECT DISTINCT tile FROM px)), nt AS (SELECT count(*) AS n FROM tl), "
+    sums = ", ".join(f"sum({c}) / count(*) AS {c}" for c in CHANNELS)
+    return (
+        _PX + tiles + (_on_side(SIDE, 4)).removeprefix("WITH ") + f", mn AS (SELECT o.file_id, o.cell_pos, count(*) AS area, {sums} FROM o JOIN al ON al.id = o.id JOIN nt ON TRUE JOIN tl ON tl.place = o.file_id % nt.n + 1 JOIN px ON px.tile = tl.tile AND px.x = al.x AND px.y = al.y GROUP BY ALL) SELECT file_id, cell_pos, area, {values} FROM mn"
+    )
+
+
+_SHOELACE_SQL = (
+    "WITH " + _CELLS + ", c AS (SELECT id, i, n, p.x AS px, p.y AS py FROM (SELECT id, len(points) AS n, unnest(range(len(points))) AS i, unnest(points) AS p FROM o)), e AS (SELECT a.id, a.px, a.py, b.px AS qx, b.py AS qy FROM c a JOIN c b ON a.id = b.id AND b.i = (a.i + 1) % a.n), "
+    "m AS (SELECT id, sum(px*qy - qx*py) AS t, sum((px+qx)*(px*qy - qx*py)) AS sx, sum((py+qy)*(px*qy - qx*py)) AS sy, min(px) AS min_x, min(py) AS min_y, max(px) AS max_x, max(py) AS max_y FROM e GROUP BY id) "
+    "SELECT file_id, cell_pos, round(abs(t)/2, 6) AS area, round(sx/(3*t), 6) AS cx, round(sy/(3*t), 6) AS cy, round(min_x, 6) AS min_x, round(min_y, 6) AS min_y, round(max_x, 6) AS max_x, round(max_y, 6) AS max_y FROM m JOIN o USING (id) WHERE abs(t)/2 BETWEEN 30 AND 6000"
 )
 
-QUERIES = {f.__name__: f for f in (supply_layers, cell_masks, label_areas, contour_means, contour_markers, contour_skips, crop_outlines, polygon_pixels)} | {"tile_profile": layer_profile}
-ORACLE: dict[str, str] = {"polygon_pixels": _POLYGON_SQL}
+QUERIES = {f.__name__: f for f in (supply_layers, cell_masks, label_areas, contour_means, contour_markers, contour_skips, contour_moments, crop_outlines, polygon_pixels)} | {"tile_profile": layer_profile}
+ORACLE: dict[str, str] = {
+    "polygon_pixels": _POLYGON_SQL,
+    "cell_masks": _on_side(256, 1) + "SELECT o.file_id, kind AS type_cellvit, count(DISTINCT o.id)::INT AS n_cells, count(DISTINCT al.y * 256 + al.x)::INT AS n_on FROM o LEFT JOIN al ON al.id = o.id WHERE len(points) >= 3 GROUP BY ALL",
+    "label_areas": _on_side(256, 1) + ", top AS (SELECT file_id, kind FROM o JOIN al ON al.id = o.id QUALIFY row_number() OVER (PARTITION BY file_id, x, y ORDER BY cell_pos DESC) = 1) SELECT file_id, kind AS type_cellvit, count(*) AS n_on FROM top GROUP BY ALL",
+    "contour_means": _means_sql(", ".join(f"round({c}, 6) AS {c}" for c in CHANNELS)),
+    "contour_markers": _means_sql('round((cd31 + sma) / 2, 6) AS "aSMA", round(ki67, 6) AS "Ki67", round(pcna, 6) AS "PCNA"'),
+    "contour_skips": _on_side(SIDE, 4) + "SELECT count(*) AS n_cells, 0::BIGINT AS n_no_tile, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.id = o.id)) AS n_no_pixel FROM o",
+    "contour_moments": _SHOELACE_SQL,
+    "crop_outlines": "WITH " + _CELLS + r", f AS (SELECT slide_id, regexp_extract(file_path, '([0-9]+_[0-9]+)\.json$', 1) AS patch_id, cell_pos, points FROM o QUALIFY row_number() OVER (PARTITION BY slide_id, patch_id, cell_pos ORDER BY file_id) = 1), "
+    + "a AS (SELECT row_id, slide_id, trim(patch_id) AS patch_id, row_id % 12 AS cell_pos, centroid_x_local - 32 AS xc, centroid_y_local - 32 AS yc FROM cell_assignments WHERE NOT isnan(centroid_x_local) AND NOT isnan(centroid_y_local)) "
+    "SELECT row_id, len(points)::INT AS n_points, round(list_min(list_transform(points, lambda p: p.x)) - xc, 6) AS x_low, round(list_max(list_transform(points, lambda p: p.x)) - xc, 6) AS x_high, round(list_min(list_transform(points, lambda p: p.y)) - yc, 6) AS y_low, round(list_max(list_transform(points, lambda p: p.y)) - yc, 6) AS y_high FROM a JOIN f USING (slide_id, patch_id, cell_pos) WHERE patch_id <> '' AND points IS NOT NULL",
+}

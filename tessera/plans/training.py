@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import compaction, nested, references
 from tessera.operators.dedup import later_copies
+from tessera.plans.fixtures import P1_SQL, P2_BOXES_SQL, P2_SQL, P2_TABLES_SQL
 from tessera.sources.tables import materialize, scratch, table
 
 
@@ -101,6 +102,10 @@ orphans AS (SELECT k.tbl_name, k.row_id, k.loaded_at,
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_sizes, p2_found, p2_tables, p2_boxes, p5_found, p5_report)}
 ORACLE = {
+    "p1_found": P1_SQL,
+    "p2_found": P2_SQL,
+    "p2_tables": P2_TABLES_SQL,
+    "p2_boxes": P2_BOXES_SQL,
     "p1_containers": "SELECT kind, count(*) AS n_files, count(*) FILTER (WHERE body IS NULL) AS n_null, coalesce(sum(strlen(body)), 0)::BIGINT AS n_bytes, sum(file_id)::BIGINT AS sum_ids FROM stage_files GROUP BY kind",
     "p1_sizes": "SELECT kind, count(*) AS n_files, coalesce(sum(strlen(body)), 0)::BIGINT AS n_bytes, TRUE AS few, TRUE AS well_filled, TRUE AS within_target FROM stage_files GROUP BY kind",
     "p5_found": _ORPHAN_SQL + "SELECT tbl_name, row_id, orphan_kind FROM orphans WHERE orphan_kind IS NOT NULL",
