@@ -26,13 +26,14 @@ def distance(pixels: DataFrame, keys: Sequence[str], on: str = "on") -> DataFram
     column = Window.partitionBy(*keys, "x").orderBy("y")
     here = F.when(F.col(on) > 0, F.col("y"))
     above = F.last(here, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    below = F.first(here, ignorenulls=True).over(column.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    down = pixels.select(*keys, "x", "y", F.least(F.col("y") - above, below - F.col("y")).cast("double").alias("__d"))
+    below = F.last(here, ignorenulls=True).over(Window.partitionBy(*keys, "x").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    down = rasters.spread(pixels.select(*keys, "x", "y", on), keys).select(*keys, "x", "y", F.least(F.col("y") - above, below - F.col("y")).cast("double").alias("__d"))
     lines = down.groupBy(*keys, "y").agg(F.collect_list(F.struct("x", (F.col("__d") * F.col("__d")).alias("d2"))).alias("__c"))
     lines = lines.withColumn("__n", F.filter("__c", lambda c: c["d2"].isNotNull()))
     across = lambda p: F.array_min(F.transform("__n", lambda c: (c["x"] - p["x"]) * (c["x"] - p["x"]) + c["d2"]))
     out = F.transform("__c", lambda p: F.struct(p["x"].alias("x"), F.coalesce(F.sqrt(across(p)), F.lit(float("inf"))).alias("dist")))
-    return lines.select(*keys, "y", F.explode(out).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.dist").alias("dist"))
+    # the outer form: for the inner one the optimizer would work out the lists once more to drop empty ones first
+    return lines.select(*keys, "y", F.explode_outer(out).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.dist").alias("dist"))
 
 
 def clamped(dist: Column, mpp: float, limit_um: float) -> Column:
@@ -57,7 +58,7 @@ def decay(on: Column, dist: Column, k: Column, mpp: float, limit_um: float, base
 def _lines(pixels: DataFrame, keys: Sequence[str], source: str, k: str) -> DataFrame:
     """One row a line, with its places, clipped sources and rates in order, and a field of 0."""
     clip = F.struct("x", F.least(F.greatest(F.col(source), F.lit(0.0)), F.lit(1.0)).alias("s"), F.greatest(F.col(k), F.lit(0.0)).alias("k"))
-    lines = pixels.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(clip)).alias("__p"))
+    lines = rasters.spread(pixels.select(*keys, "x", "y", source, k), keys).groupBy(*keys, "y").agg(F.array_sort(F.collect_list(clip)).alias("__p"))
     return lines.withColumns({"u": F.transform("__p", lambda _: F.lit(0.0)), "__moved": F.lit(0.0)})
 
 
@@ -77,7 +78,7 @@ def _relaxed(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _pixels(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return lines.select(*keys, "y", F.explode(F.arrays_zip(F.col("__p.x").alias("x"), "u")).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.u").alias("u"))
+    return lines.select(*keys, "y", F.explode_outer(F.arrays_zip(F.col("__p.x").alias("x"), "u")).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.u").alias("u"))
 
 
 def diffused(pixels: DataFrame, keys: Sequence[str], source: str, k: str, steps: int) -> DataFrame:
@@ -168,7 +169,7 @@ def layers(pixels: DataFrame, keys: Sequence[str], o: LayerOptions) -> DataFrame
     ``pixels`` has a row for every pixel and the columns named in ``o``; a tile without vessels has infinite distances and no supply.
     """
     at = [*keys, "x", "y"]
-    pixels = materialize(pixels.select(*at, *dict.fromkeys(c for c in (o.cd31, o.ki67, o.sma, o.pcna) if c)), "pixels")
+    pixels = rasters.spread(pixels.select(*at, *dict.fromkeys(c for c in (o.cd31, o.ki67, o.sma, o.pcna) if c)), keys)
     mask, status = vessel_mask(pixels, keys, o)
     dist = distance(mask.withColumn("on", F.col("vessel").cast("int")), keys).withColumn("dist_um", F.col("dist") * o.mpp)
     demand = rasters.percentile_norm(pixels, keys, o.ki67).select(*at, F.col("norm").alias("proliferation"), F.col("norm").alias("__demand"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import materialize
+
 #: Points further out than this many pixels count as so far out.
 FAR = float(1 << 20)
 
@@ -27,6 +29,20 @@ def _range(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
+def _exploded(cells: DataFrame, *names: str) -> DataFrame:
+    """One row a covered pixel. The outer form: for the inner one the optimizer would work out the pixels once more to drop empty lists first."""
+    return cells.select(*names, F.explode_outer("pixels").alias("p")).where("p is not null")
+
+
+#: Outlines for one task: rows are small and their pixels many, so they are spread by number, not by bytes.
+TOGETHER = 1_000
+
+
+def _spread(cells: DataFrame) -> DataFrame:
+    cells = materialize(cells, "outlines")
+    return cells.repartition(max(1, -(-cells.count() // TOGETHER)))
+
+
 def with_pixels(cells: DataFrame, points: str, width: int, height: int, name: str = "pixels") -> DataFrame:
     """``name``: the pixels (structs x, y, each once) of a ``width`` x ``height`` tile that an outline covers; empty for null, for fewer than 3 points or off the tile.
 
@@ -77,7 +93,7 @@ def means_under(cells: DataFrame, pixels: DataFrame, keys: Sequence[str], id_col
     and pixel, so the cells of one tile are spread over tasks.
     """
     names = list(dict.fromkeys(c for own in values.values() for c in own))
-    covered = with_pixels(cells.select(*keys, *id_cols, points), points, side, side).select(*keys, *id_cols, F.explode("pixels").alias("p")).select(*keys, *id_cols, "p.x", "p.y")
+    covered = _exploded(with_pixels(_spread(cells.select(*keys, *id_cols, points)), points, side, side), *keys, *id_cols).select(*keys, *id_cols, "p.x", "p.y")
     found = covered.join(pixels.select(*keys, "x", "y", *names), [*keys, "x", "y"], "left")
     each = found.groupBy(*keys, *id_cols).agg(F.count("*").alias("area"), *[(F.coalesce(F.sum(c), F.lit(0)) / F.count("*")).alias(f"__m_{c}") for c in names])
     mean = {k: sum((F.col(f"__m_{c}") for c in own[1:]), F.col(f"__m_{own[0]}")) / len(own) for k, own in values.items()}
@@ -87,15 +103,16 @@ def means_under(cells: DataFrame, pixels: DataFrame, keys: Sequence[str], id_col
 def skipped(cells: DataFrame, pixels: DataFrame, keys: Sequence[str], points: str, side: int) -> DataFrame:
     """(n_cells, n_no_tile, n_no_pixel): outlines in all, of tiles that have no raster, and of those that have, without a pixel on it."""
     tiles = pixels.select(*keys).distinct().withColumn("__t", F.lit(True))
-    at = with_pixels(cells.select(*keys, points), points, side, side).join(tiles, list(keys), "left")
+    at = with_pixels(_spread(cells.select(*keys, points)), points, side, side).join(tiles, list(keys), "left")
     return at.agg(F.count("*").alias("n_cells"), F.count_if(F.col("__t").isNull()).alias("n_no_tile"), F.count_if(F.col("__t").isNotNull() & (F.size("pixels") == 0)).alias("n_no_pixel"))
 
 
 def masks(cells: DataFrame, keys: Sequence[str], label: str, points: str, side: int) -> DataFrame:
     """(keys, label, n_cells, n_on): outlines of each label on each tile, and the pixels that any of them covers. Fewer than 3 points don't count."""
-    work = with_pixels(cells.where(F.size(points) >= 3).select(*keys, label, points), points, side, side)
+    work = _spread(cells.where(F.size(points) >= 3).select(*keys, label, points))
     counts = work.groupBy(*keys, label).agg(F.count("*").cast("int").alias("n_cells"))
-    on = work.select(*keys, label, F.explode("pixels").alias("p")).distinct().groupBy(*keys, label).agg(F.count("*").cast("int").alias("__on"))
+    pixels = _exploded(with_pixels(work, points, side, side), *keys, label).select(*keys, label, (F.col("p.y") * side + F.col("p.x")).alias("p"))
+    on = pixels.distinct().groupBy(*keys, label).agg(F.count("*").cast("int").alias("__on"))
     named = on.select(*[F.col(c).alias(f"__k_{c}") for c in (*keys, label)], "__on")
     same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*keys, label)]
     return counts.join(named, same, "left").select(*keys, label, "n_cells", F.coalesce("__on", F.lit(0)).alias("n_on"))
@@ -103,7 +120,7 @@ def masks(cells: DataFrame, keys: Sequence[str], label: str, points: str, side:
 
 def last_drawn(cells: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, points: str, side: int) -> DataFrame:
     """(keys, x, y, label) of the covered pixels, where outlines overlap with the label of the last one by ``order``."""
-    work = with_pixels(cells.select(*keys, *order, label, points), points, side, side).select(*keys, *order, label, F.explode("pixels").alias("p"))
+    work = _exploded(with_pixels(_spread(cells.select(*keys, *order, label, points)), points, side, side), *keys, *order, label)
     return work.groupBy(*keys, "p").agg(F.max_by(label, F.struct(*order)).alias(label)).select(*keys, "p.x", "p.y", label)
 
 

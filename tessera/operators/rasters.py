@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import materialize
 
+#: Pixels for one task. They are small and what is done for each is not, so they are spread by number, not by bytes.
+TOGETHER = 50_000
+
+
+def spread(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The pixels, written once and spread by tile: windows and groups within tiles then need no further shuffle."""
+    pixels = materialize(pixels, "pixels")
+    return pixels.repartition(max(1, -(-pixels.count() // TOGETHER)), *keys)
+
+
 def full_grid(pixels: DataFrame, keys: Sequence[str], side: int, values: Sequence[str]) -> DataFrame:
     """All ``side`` x ``side`` pixels of each key; absent pixels and null values are 0."""
     axis = F.sequence(F.lit(0), F.lit(side - 1))
@@ -188,7 +198,7 @@ def median_filter(pixels: DataFrame, keys: Sequence[str], value: str, size: int)
     if size < 1 or size % 2 == 0:
         raise ValueError(f"a median has a middle: the size is odd, not {size}")
     r = size // 2
-    lines = pixels.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("x", F.col(value).alias("v")))).alias("__p")).withColumn("__v", F.col("__p.v"))
+    lines = spread(pixels.select(*keys, "x", "y", value), keys).groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("x", F.col(value).alias("v")))).alias("__p")).withColumn("__v", F.col("__p.v"))
     padded = F.concat(F.array_repeat(F.get("__v", F.lit(0)), r), F.col("__v"), F.array_repeat(F.element_at("__v", -1), r))
     lines = lines.withColumn("__w", padded)
     tile = Window.partitionBy(*keys).orderBy("y")
@@ -197,7 +207,7 @@ def median_filter(pixels: DataFrame, keys: Sequence[str], value: str, size: int)
     lines = lines.select(*keys, "y", "__p", F.array(*near).alias("__near"))
     middle = lambda i: F.array_sort(F.flatten(F.transform("__near", lambda line: F.slice(line, i + 1, size))))[size * size // 2]
     out = F.transform("__p", lambda p, i: F.struct(p["x"].alias("x"), middle(i).alias("v")))
-    return lines.select(*keys, "y", F.explode(out).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.v").alias(value))
+    return lines.select(*keys, "y", F.explode_outer(out).alias("o")).select(*keys, F.col("o.x").alias("x"), "y", F.col("o.v").alias(value))
 
 
 def saturation(r: Column, g: Column, b: Column) -> Column:
