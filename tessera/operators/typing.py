@@ -118,7 +118,7 @@ def kmeans_centers(points: DataFrame, dims: Sequence[str], k: int, seeds: int =
     if points.isEmpty():
         return points.sparkSession.createDataFrame([], schema)
     data = VectorAssembler(inputCols=list(dims), outputCol="__f").transform(points).select("__f")
-    fit = inheritable_thread_target(lambda s: KMeans(k=k, seed=s, featuresCol="__f").fit(data))
+    fit = inheritable_thread_target(points.sparkSession)(lambda s: KMeans(k=k, seed=s, featuresCol="__f").fit(data))
     with ThreadPool(4) as runs:  # Spark jobs side by side, as a search over parameters runs them
         best = min(runs.imap(fit, range(seeds)), key=lambda m: m.summary.trainingCost)
     return points.sparkSession.createDataFrame([(i, *map(float, c)) for i, c in enumerate(best.clusterCenters())], schema)
