@@ -31,15 +31,19 @@ def _without(df: DataFrame, groups: DataFrame, group: Sequence[str]) -> DataFram
 
 
 def _unfilled(band: DataFrame, filled: DataFrame, group: Sequence[str], small_rows: int) -> DataFrame:
-    """``band`` (with __salt) without the filled groups: by broadcast if these are few, else only the band's hot ones so, and the others by a salted join."""
+    """``band`` (with __salt) without the filled groups: by broadcast if these are few, else only the band's hot ones so, and the others by a salted join.
+
+    Beyond ``small_rows`` the filled groups are told to be shuffled: their table is compressed and copied ``SALTS`` times when
+    read, so the planner, which goes by the size of its files, would broadcast what doesn't fit the driver.
+    """
     if filled.count() <= small_rows:
         return _without(band, F.broadcast(filled), group)
     sizes = materialize(band.groupBy(*group).agg(F.count("*").alias("__rows")), "sizes")
     total = sizes.agg(F.sum("__rows")).first()[0] or 0
     hot = sizes.where(F.col("__rows") * HOT_KEYS > total)  # fewer than HOT_KEYS groups
-    named = filled.select(*[F.col(c).alias(f"__f_{c}") for c in group])
+    named = filled.select(*[F.col(c).alias(f"__f_{c}") for c in group]).hint("merge")
     hot = hot.join(named, [F.col(c).eqNullSafe(F.col(f"__f_{c}")) for c in group], "left_semi")
-    spread = filled.select(*group, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    spread = filled.select(*group, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")).hint("merge")
     return _without(_without(band, F.broadcast(hot), group), spread, [*group, "__salt"])
 
 

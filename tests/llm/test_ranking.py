@@ -106,3 +106,13 @@ def test_percentiles_of_small_groups_are_exact_and_empty_is_empty(spark):
     assert [(r["count"], r.m) for r in quantiles.quantiles(digest, ["k"], {"m": 0.5}).collect()] == [(3, 5.0)]
     none = quantiles.compress(quantiles.leaf_counts(df.limit(0), ["k"], "v"), ["k"], 0.01)
     assert none.count() == 0 and quantiles.bounds(none, ["k"], {"m": 0.5}).count() == 0
+
+
+def test_filled_groups_are_shuffled_beyond_their_limit(spark):
+    band = materialize(spark.range(3000).selectExpr("id % 1500 AS g", "concat('i', id) AS item", "pmod(id, 16) AS __salt"), "band")
+    filled = materialize(spark.range(0, 1500, 2).selectExpr("id AS g"), "filled")  # a few kB of file, copied for every salt
+    left = topn._unfilled(band, filled, ["g"], 700)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") == 1  # the hot ones
+    assert left.count() == 1500 and left.where("g % 2 = 0").count() == 0
+    assert "SortMergeJoin" not in topn._unfilled(band, filled, ["g"], 750)._jdf.queryExecution().executedPlan().toString()
