@@ -24,9 +24,13 @@ def spread(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def full_grid(pixels: DataFrame, keys: Sequence[str], side: int, values: Sequence[str]) -> DataFrame:
-    """All ``side`` x ``side`` pixels of each key; absent pixels and null values are 0."""
-    axis = F.sequence(F.lit(0), F.lit(side - 1))
-    grid = pixels.select(*keys).distinct().withColumn("x", F.explode(axis)).withColumn("y", F.explode(axis))
+    """All ``side`` x ``side`` pixels of each key; absent pixels and null values are 0.
+
+    A join with the places and not an explosion, whose rows the planner would not count: it would broadcast the whole grid.
+    """
+    at = F.col("id")
+    places = pixels.sparkSession.range(side * side).select((at % side).cast("int").alias("x"), F.floor(at / side).cast("int").alias("y"))
+    grid = pixels.select(*keys).distinct().join(F.broadcast(places))
     return grid.join(pixels.select(*keys, "x", "y", *values), [*keys, "x", "y"], "left").fillna(0, list(values))
 
 

@@ -209,7 +209,8 @@ BIN, LIMIT = 2.6, 40.0
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
-    return fields.profile(_field(spark, d), F.col("dist") * MPP * STEP, F.col("ki67n"), BIN, LIMIT)
+    ki67 = rasters.percentile_norm(channels(spark, d), K, "ki67").select("tile", "x", "y", F.col("norm").alias("ki67n"))
+    return fields.profile(_distances(spark, d).join(ki67, [*K, "x", "y"]), F.col("dist") * MPP * STEP, F.col("ki67n"), BIN, LIMIT)
 
 
 def dist_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import fields, outlines, rasters
 from tessera.plans import QUERIES, rastering
+from tessera.sources.tables import materialize
 
 RNG = np.random.default_rng(11)
 TILES = [RNG.random((h, w)) < share for h, w, share in ((12, 9, 0.1), (9, 12, 0.4), (7, 7, 0.6), (5, 8, 0.0), (6, 6, 1.0), (1, 10, 0.5), (13, 13, 0.5))]
@@ -153,3 +154,11 @@ def test_muscle_near_all_vessels(spark, one_tile):
     vessels, muscle = one_tile
     for name, first, other in (("sma_vessels", vessels, muscle), ("sma_refine", muscle, vessels)):
         assert np.array_equal(on(QUERIES[name](spark, "").collect()), first | (other & neighbours(first, rasters.ellipse(5), any, False)))
+
+
+def test_the_grid_counts_its_pixels_for_the_planner(spark):
+    px = materialize(spark.createDataFrame([(t, 1, 2, 5) for t in range(3)], "tile int, x int, y int, v int").coalesce(1), "px").groupBy("tile", "x", "y").agg(F.sum("v").alias("v"))
+    grid = rasters.full_grid(px, ["tile"], 64, ["v"])
+    assert grid.count() == grid.select("tile", "x", "y").distinct().count() == 3 * 64 * 64
+    assert grid.agg({"x": "max"}).first()[0] == grid.agg({"y": "max"}).first()[0] == 63 and [tuple(r) for r in grid.where("v > 0").select("x", "y", "v").distinct().collect()] == [(1, 2, 5)]
+    assert int(str(grid.select("tile", "x", "y")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 3 * 64 * 64 * 12
