@@ -88,7 +88,8 @@ def greedy_pairs(cells: DataFrame, rows: DataFrame, keys: Sequence[str], radius:
     a, b = (df.select(*keys, F.col("id").cast("bigint").alias("id"), "x", "y").withColumns(at) for df in (cells, rows))
     held = a.select(*keys, F.col("__bx").alias("x"), F.col("__by").alias("y")).union(b.select(*keys, "__bx", "__by")).distinct()
     parts = materialize(components(held, keys), "squares").select(*keys, F.col("x").alias("__bx"), F.col("y").alias("__by"), F.floor(F.col("label") / TOGETHER).alias("label"))
-    a, b = (df.join(parts.select(*[F.col(c).alias(c) for c in parts.columns]), [*keys, "__bx", "__by"]).select(*keys, "label", "id", "x", "y") for df in (a, b))
+    # told to be shuffled: a row a square, in files so well compressed that the planner would broadcast all of them
+    a, b = (df.join(parts.select(*[F.col(c).alias(c) for c in parts.columns]).hint("merge"), [*keys, "__bx", "__by"]).select(*keys, "label", "id", "x", "y") for df in (a, b))
     return a.groupBy(*keys, "label").cogroup(b.groupBy(*keys, "label")).applyInPandas(run, schema)
 
 

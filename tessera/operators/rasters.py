@@ -15,6 +15,8 @@ from tessera.sources.tables import materialize
 
 #: Pixels for one task. They are small and what is done for each is not, so they are spread by number, not by bytes.
 TOGETHER = 50_000
+#: Up to so many rows of a table of runs or edges are broadcast.
+FEW = 10_000
 
 
 def spread(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,35 +146,40 @@ def erode(mask: DataFrame, keys: Sequence[str], on: str, element: Sequence[tuple
     return _over_neighbours(mask, keys, on, element, F.min)
 
 
-def components(on: DataFrame, keys: Sequence[str]) -> DataFrame:
+def components(on: DataFrame, keys: Sequence[str], few: int = FEW) -> DataFrame:
     """(keys, x, y, label) of on pixels, given once each: 8-connected components, numbered from 1 in scan order of their first pixels.
 
     Runs of pixels in a line are the nodes, runs that touch one of the next line the edges. In each round every node takes
     the least of its neighbours that is below it as its parent, sixteen parents further at once, and edges are
     drawn between what is left; at least half of the nodes that still have edges go. A round is two written tables of
-    a row a node and a row an edge, and the rounds' parents are followed at the end.
+    a row a node and a row an edge, and the rounds' parents are followed at the end. Parents and runs are broadcast where
+    there are ``few`` edges or runs, which are counted, and else shuffled: by the size of their files, which are well
+    compressed, the planner would broadcast tables that in memory are a hundred times as large.
     """
     line = Window.partitionBy(*keys, "y").orderBy("x")
     begins = F.coalesce(F.col("x") - F.lag("x").over(line) != 1, F.lit(True)).cast("int")
     pixels = materialize(on.select(*keys, "x", "y").withColumn("__b", begins).withColumn("__run", F.sum("__b").over(line)).drop("__b"), "runs")
     runs = pixels.groupBy(*keys, "y", "__run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("node", F.struct("y", F.col("x0").alias("x")))
     runs = materialize(runs, "nodes")
+    sent = lambda n: "broadcast" if n <= few else "merge"
+    by = sent(runs.count())
     below = runs.select(*keys, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("other"))
-    touch = runs.join(below, [*keys, "y"]).where("b0 <= x1 + 1 and b1 >= x0 - 1").select(*keys, "node", "other")
+    touch = runs.join(below.hint(by), [*keys, "y"]).where("b0 <= x1 + 1 and b1 >= x0 - 1").select(*keys, "node", "other")
     edges = materialize(touch.unionByName(touch.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))), "edges")
     state = runs.select(*keys, F.col("node"), F.col("node").alias("root"))
-    follow = lambda df, c, parents: df.join(parents.select(*keys, F.col("node").alias(c), F.col("parent").alias("__p")), [*keys, c], "left").withColumn(c, F.coalesce("__p", c)).drop("__p")
-    while not edges.isEmpty():
+    follow = lambda df, c, parents, how: df.join(parents.select(*keys, F.col("node").alias(c), F.col("parent").alias("__p")).hint(how), [*keys, c], "left").withColumn(c, F.coalesce("__p", c)).drop("__p")
+    while n := edges.count():
+        how = sent(n)
         parents = edges.groupBy(*keys, "node").agg(F.min("other").alias("parent")).where("parent < node")
         for _ in range(4):
-            parents = follow(parents, "parent", parents.select(*keys, F.col("node").alias("node"), F.col("parent").alias("parent")))
+            parents = follow(parents, "parent", parents.select(*keys, F.col("node").alias("node"), F.col("parent").alias("parent")), how)
         parents = materialize(parents, "parents")
-        edges = materialize(follow(follow(edges, "node", parents), "other", parents).where("node <> other").select(*keys, "node", "other").distinct(), "edges")
-        state = follow(state, "root", parents)
+        edges = materialize(follow(follow(edges, "node", parents, how), "other", parents, how).where("node <> other").select(*keys, "node", "other").distinct(), "edges")
+        state = follow(state, "root", parents, how)
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("root"))
     labels = state.withColumn("label", number).select(*keys, F.col("node.y").alias("y"), F.col("node.x").alias("x0"), "label")
-    named = runs.select(*keys, "y", "__run", "x0").join(labels, [*keys, "y", "x0"]).select(*keys, "y", "__run", "label")
-    return pixels.join(named, [*keys, "y", "__run"]).select(*keys, "x", "y", "label")
+    named = runs.select(*keys, "y", "__run", "x0").join(labels.hint(by), [*keys, "y", "x0"]).select(*keys, "y", "__run", "label")
+    return pixels.join(named.hint(by), [*keys, "y", "__run"]).select(*keys, "x", "y", "label")
 
 
 def clean(mask: DataFrame, keys: Sequence[str], on: str, open_size: int = 0, close_size: int = 0, min_area: int = 0) -> DataFrame:

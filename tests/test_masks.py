@@ -162,3 +162,10 @@ def test_the_grid_counts_its_pixels_for_the_planner(spark):
     assert grid.count() == grid.select("tile", "x", "y").distinct().count() == 3 * 64 * 64
     assert grid.agg({"x": "max"}).first()[0] == grid.agg({"y": "max"}).first()[0] == 63 and [tuple(r) for r in grid.where("v > 0").select("x", "y", "v").distinct().collect()] == [(1, 2, 5)]
     assert int(str(grid.select("tile", "x", "y")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 3 * 64 * 64 * 12
+
+
+def test_components_shuffle_what_is_not_few(spark):
+    on = spark.createDataFrame([(t, x, y) for t in range(2) for x in range(20) for y in range(20) if (x * 7 + y * 3 + t) % 5 < 2], "tile int, x int, y int")
+    few, many = (rasters.components(on, ["tile"], n) for n in (10_000, 0))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.count() == on.count()
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString().replace("autoBroadcast", "")
