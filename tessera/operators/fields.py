@@ -140,43 +140,49 @@ class LayerOptions:
             raise ValueError("bin_um and mpp must be > 0")
 
 
-def _strong(pixels: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """The pixels with ``name``: above Otsu's level of 256 levels of the value between its 1st and 99th percentile."""
-    levels = rasters.percentile_norm(pixels, keys, value).withColumn("__level", F.floor(F.col("norm") * 255).cast("int"))
+def _strong(pixels: DataFrame, keys: Sequence[str], value: str, name: str, how: str) -> DataFrame:
+    """The pixels with ``name``: above Otsu's level of 256 levels of the value between its 1st and 99th percentile. ``how``: the hint for joins with tables of tiles."""
+    levels = rasters.percentile_norm(pixels, keys, value, how=how).withColumn("__level", F.floor(F.col("norm") * 255).cast("int"))
     limit = rasters.otsu(levels, keys, "__level")
-    return levels.join(limit, list(keys)).withColumn(name, F.col("__level") > F.col("threshold")).drop("__level", "threshold", "norm")
+    return levels.join(limit.hint(how), list(keys)).withColumn(name, F.col("__level") > F.col("threshold")).drop("__level", "threshold", "norm")
 
 
-def vessel_mask(pixels: DataFrame, keys: Sequence[str], o: LayerOptions) -> tuple[DataFrame, DataFrame]:
-    """Vessels (keys, x, y, vessel) of every tile, and (keys, coverage, status) of how they were found: ok, noisy_fallback, empty_fallback or empty."""
+def vessel_mask(pixels: DataFrame, keys: Sequence[str], o: LayerOptions, how: str) -> tuple[DataFrame, DataFrame]:
+    """Vessels (keys, x, y, vessel) of every tile, and (keys, coverage, status) of how they were found: ok, noisy_fallback, empty_fallback or empty.
+
+    ``how`` is the hint for joins with tables of tiles, as of ``rasters.sent``.
+    """
     at = [*keys, "x", "y"]
-    found = _strong(pixels, keys, o.cd31, "plain")
+    found = _strong(pixels, keys, o.cd31, "plain", how)
     mask = found.select(*at, F.col("plain").alias("on"))
     if o.sma:
         near = rasters.dilate(mask, keys, "on", rasters.ellipse(2 * o.sma_reach + 1)).withColumnRenamed("on", "near")
-        muscle = _strong(found, keys, o.sma, "muscle").select(*at, "plain", "muscle")
-        mask = muscle.join(near, at).select(*at, (F.col("plain") | (F.col("muscle") & F.col("near"))).alias("on"))
+        muscle = _strong(found, keys, o.sma, "muscle", how).select(*at, "plain", "muscle")
+        mask = muscle.join(near.hint("merge"), at).select(*at, (F.col("plain") | (F.col("muscle") & F.col("near"))).alias("on"))
     cleaned = rasters.clean(mask, keys, "on", o.open_size, o.close_size, o.min_area)
-    both = materialize(found.select(*at, "plain").join(cleaned, at), "masks")
+    both = materialize(found.select(*at, "plain").join(cleaned.hint("merge"), at), "masks")
     status = rasters.mask_status(both, F.col("on"), F.col("plain"), keys, o.noisy)
-    chosen = both.join(status, list(keys)).select(*at, F.when(F.col("status") == "ok", F.col("on")).otherwise(F.col("plain")).alias("vessel"))
+    chosen = both.join(status.hint(how), list(keys)).select(*at, F.when(F.col("status") == "ok", F.col("on")).otherwise(F.col("plain")).alias("vessel"))
     return chosen, status
 
 
-def layers(pixels: DataFrame, keys: Sequence[str], o: LayerOptions) -> DataFrame:
+def layers(pixels: DataFrame, keys: Sequence[str], o: LayerOptions, few: int = rasters.FEW) -> DataFrame:
     """(keys, x, y, vessel, dist_um, proliferation, oxygen, glucose, status) of every pixel: vessel mask and supply maps in [0, 1], 1 at a vessel.
 
     ``pixels`` has a row for every pixel and the columns named in ``o``; a tile without vessels has infinite distances and no supply.
+    Tables of pixels are told to be shuffled, those of tiles to be broadcast where there are ``few`` tiles, which are counted: the planner goes by
+    the size of the files, which are so well compressed that it would broadcast millions of pixels.
     """
     at = [*keys, "x", "y"]
     pixels = rasters.spread(pixels.select(*at, *dict.fromkeys(c for c in (o.cd31, o.ki67, o.sma, o.pcna) if c)), keys)
-    mask, status = vessel_mask(pixels, keys, o)
+    how = rasters.sent(pixels.select(*keys).distinct().count(), few)
+    mask, status = vessel_mask(pixels, keys, o, how)
     dist = distance(mask.withColumn("on", F.col("vessel").cast("int")), keys).withColumn("dist_um", F.col("dist") * o.mpp)
-    demand = rasters.percentile_norm(pixels, keys, o.ki67).select(*at, F.col("norm").alias("proliferation"), F.col("norm").alias("__demand"))
+    demand = rasters.percentile_norm(pixels, keys, o.ki67, how=how).select(*at, F.col("norm").alias("proliferation"), F.col("norm").alias("__demand"))
     if o.pcna:
-        other = rasters.percentile_norm(pixels, keys, o.pcna).select(*at, F.col("norm").alias("__other"))
-        demand = demand.join(other, at).select(*at, "proliferation", F.greatest("__demand", "__other").alias("__demand"))
-    made = dist.join(demand, at).join(status.select(*keys, "status"), list(keys))
+        other = rasters.percentile_norm(pixels, keys, o.pcna, how=how).select(*at, F.col("norm").alias("__other"))
+        demand = demand.join(other.hint("merge"), at).select(*at, "proliferation", F.greatest("__demand", "__other").alias("__demand"))
+    made = dist.join(demand.hint("merge"), at).join(status.select(*keys, "status").hint(how), list(keys))
     oxygen = 1 - clamped(F.col("dist"), o.mpp, o.oxygen_um)
     glucose = decay(F.col("dist") == 0, F.least(F.col("dist"), F.lit(1e9)), uptake(F.col("__demand")), o.mpp, o.glucose_um)
     return made.select(*at, (F.col("dist") == 0).alias("vessel"), "dist_um", "proliferation", oxygen.alias("oxygen"), glucose.alias("glucose"), "status")

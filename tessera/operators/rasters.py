@@ -15,10 +15,15 @@ from tessera.sources.tables import materialize
 
 #: Pixels for one task. They are small and what is done for each is not, so they are spread by number, not by bytes.
 TOGETHER = 50_000
-#: Up to so many rows of a table of runs or edges are broadcast.
+#: Up to so many rows of a table of tiles, runs or edges are broadcast.
 FEW = 10_000
 
 
+def sent(n: int, few: int = FEW) -> str:
+    """The hint for a join with a table of ``n`` counted rows: broadcast if these are few, else shuffled."""
+    return "broadcast" if n <= few else "merge"
+
+
 def spread(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The pixels, written once and spread by tile: windows and groups within tiles then need no further shuffle."""
     pixels = materialize(pixels, "pixels")
@@ -72,9 +77,10 @@ def pick_level(levels: DataFrame, keys: Sequence[str], wanted: int, policy: str)
     return ranked.withColumn("stride", F.greatest(F.rint(wanted / F.col("factor")), F.lit(1.0)).cast("int"))
 
 
-def percentile_norm(pixels: DataFrame, keys: Sequence[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``norm``: clipped to the key's exact low and high percentile and scaled to [0, 1]; 0 where these are equal."""
+def percentile_norm(pixels: DataFrame, keys: Sequence[str], value: str, low: float = 0.01, high: float = 0.99, how: str | None = None) -> DataFrame:
+    """``norm``: clipped to the key's exact low and high percentile and scaled to [0, 1]; 0 where these are equal. ``how``: the hint for the join with the percentiles."""
     ends = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__e"))
+    ends = ends.hint(how) if how else ends
     lo, hi = F.col("__e")[0], F.col("__e")[1]
     norm = F.when(hi > lo, (F.least(F.greatest(F.col(value).cast("double"), lo), hi) - lo) / (hi - lo)).otherwise(0.0)
     return pixels.join(ends, list(keys)).withColumn("norm", norm).drop("__e")
@@ -161,15 +167,14 @@ def components(on: DataFrame, keys: Sequence[str], few: int = FEW) -> DataFrame:
     pixels = materialize(on.select(*keys, "x", "y").withColumn("__b", begins).withColumn("__run", F.sum("__b").over(line)).drop("__b"), "runs")
     runs = pixels.groupBy(*keys, "y", "__run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("node", F.struct("y", F.col("x0").alias("x")))
     runs = materialize(runs, "nodes")
-    sent = lambda n: "broadcast" if n <= few else "merge"
-    by = sent(runs.count())
+    by = sent(runs.count(), few)
     below = runs.select(*keys, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("other"))
     touch = runs.join(below.hint(by), [*keys, "y"]).where("b0 <= x1 + 1 and b1 >= x0 - 1").select(*keys, "node", "other")
     edges = materialize(touch.unionByName(touch.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))), "edges")
     state = runs.select(*keys, F.col("node"), F.col("node").alias("root"))
     follow = lambda df, c, parents, how: df.join(parents.select(*keys, F.col("node").alias(c), F.col("parent").alias("__p")).hint(how), [*keys, c], "left").withColumn(c, F.coalesce("__p", c)).drop("__p")
     while n := edges.count():
-        how = sent(n)
+        how = sent(n, few)
         parents = edges.groupBy(*keys, "node").agg(F.min("other").alias("parent")).where("parent < node")
         for _ in range(4):
             parents = follow(parents, "parent", parents.select(*keys, F.col("node").alias("node"), F.col("parent").alias("parent")), how)
@@ -183,7 +188,10 @@ def components(on: DataFrame, keys: Sequence[str], few: int = FEW) -> DataFrame:
 
 
 def clean(mask: DataFrame, keys: Sequence[str], on: str, open_size: int = 0, close_size: int = 0, min_area: int = 0) -> DataFrame:
-    """(keys, x, y, on) of a mask with all its pixels after opening, closing and removal of components of fewer than ``min_area`` pixels, each optional."""
+    """(keys, x, y, on) of a mask with all its pixels after opening, closing and removal of components of fewer than ``min_area`` pixels, each optional.
+
+    Components and kept pixels are told to be shuffled: the planner goes by the size of the written tables' files, which are well compressed.
+    """
     opening, closing = ellipse(open_size), ellipse(close_size)
     if min_area < 0:
         raise ValueError("a least area is not negative")
@@ -196,8 +204,8 @@ def clean(mask: DataFrame, keys: Sequence[str], on: str, open_size: int = 0, clo
         mask = materialize(mask, "mask")
         label = components(mask.where(on), keys)
         large = label.groupBy(*keys, "label").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_area).select(*keys, "label")
-        kept = label.join(large, [*keys, "label"]).select(*keys, "x", "y", F.lit(True).alias("__kept"))
-        mask = mask.join(kept, [*keys, "x", "y"], "left").select(*keys, "x", "y", F.coalesce("__kept", F.lit(False)).alias(on))
+        kept = label.join(large.hint("merge"), [*keys, "label"]).select(*keys, "x", "y", F.lit(True).alias("__kept"))
+        mask = mask.join(kept.hint("merge"), [*keys, "x", "y"], "left").select(*keys, "x", "y", F.coalesce("__kept", F.lit(False)).alias(on))
     return mask
 
 

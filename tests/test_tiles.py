@@ -1,10 +1,12 @@
 """Supply layers and outlines on small tiles."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import fields, outlines
+from tessera.operators import fields, outlines, rasters
 
 
 def test_layers(spark):
@@ -25,6 +27,30 @@ def test_layers(spark):
             fields.LayerOptions(cd31="cd31", ki67="ki67", **bad)
 
 
+def test_layers_never_broadcast_pixels(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(t, x, y, *map(int, rng.integers(0, 50, 4))) for t in range(6) for y in range(16) for x in range(16)]
+    px = spark.createDataFrame(rows, "tile int, x int, y int, cd31 int, sma int, ki67 int, pcna int")
+    o = fields.LayerOptions(cd31="cd31", sma="sma", ki67="ki67", pcna="pcna", close_size=3, min_area=4)
+    plans, write = [], rasters.materialize
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    for module in (fields, rasters):
+        monkeypatch.setattr(module, "materialize", written)
+    results = []
+    for few in (10_000, 0):
+        plans.clear()
+        made = fields.layers(px, ["tile"], o, few)
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        sent = {re.sub(r"#\d+L?", "", keys) for plan in plans for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)}
+        assert not [keys for keys in sent if {"x", "y"} <= {*keys.split(", ")} or "label" in keys] and ("tile" in sent) == (few > 0)
+        results.append(sorted(map(tuple, made.collect())))
+    assert results[0] == results[1] and len(results[0]) == len(rows)
+
+
 def test_means_masks_and_crops(spark):
     plane = np.arange(64).reshape(8, 8)
     px = spark.createDataFrame([("p", int(x), int(y), int(v), 2 * int(v)) for (y, x), v in np.ndenumerate(plane) if v != 9], "tile string, x int, y int, a int, b int")
